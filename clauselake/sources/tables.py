@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauselake.catalog import DOCUMENT_HEADER, FACT_STATUSES, MAX_DOCUMENT_BYTES
+from clauselake.session import ensure_checkpoint_dir
 
 DRIVER_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -173,29 +174,32 @@ def key_bucket(keys: list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
-def upsert(incoming: DataFrame, path: str, keys: list[str], buckets: int = 64) -> None:
+def upsert(
+    incoming: DataFrame, path: str, keys: list[str], buckets: int = 64, replaced: DataFrame | None = None
+) -> None:
     """Idempotent keyed write to a parquet table partitioned by a hash bucket of the key.
 
-    Only the partitions of incoming keys are read and replaced (dynamic
+    Only the partitions of the keys at hand are read and replaced (dynamic
     partition overwrite), which the commit protocol swaps in at the end of the
     job; a failed or repeated run leaves the same table. The merged rows are
     checkpointed before the overwrite because they are read from the same path.
-    A fresh table needs no merge.
+    ``replaced`` names keys whose old rows go even when nothing new comes. The
+    rebalance hint splits a bucket that one hot key fills.
     """
-    from clauselake.session import ensure_checkpoint_dir
-
     spark = incoming.sparkSession
-    new_rows = incoming.withColumn(BUCKET, key_bucket(keys, buckets))
-    jvm = spark.sparkContext._jvm
-    location = jvm.org.apache.hadoop.fs.Path(path)
-    exists = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(location)
-    if exists:
+    bucket = key_bucket(keys, buckets)
+    new_rows = incoming.withColumn(BUCKET, bucket)
+    if _exists(spark, path):
         ensure_checkpoint_dir(spark)
-        touched = new_rows.select(BUCKET).distinct()
-        existing = spark.read.parquet(path).join(touched, BUCKET, "left_semi")
-        new_rows = merge_rows(existing, new_rows, keys).checkpoint()
+        gone = (incoming if replaced is None else replaced).select(*keys).distinct().withColumn(BUCKET, bucket)
+        existing = spark.read.parquet(path).join(gone.select(BUCKET).distinct(), BUCKET, "left_semi")
+        kept = existing.join(gone, [*keys, BUCKET], "left_anti")
+        new_rows = kept.unionByName(new_rows.select(*existing.columns)).checkpoint()
+        emptied = gone.select(BUCKET).distinct().join(new_rows.select(BUCKET).distinct(), BUCKET, "left_anti")
+        # A partition that loses its last row is not written, so its marker row keeps the swap complete.
+        new_rows = new_rows.unionByName(emptied, allowMissingColumns=True)
     (
-        new_rows.repartition(BUCKET, *keys)
+        new_rows.hint("rebalance", BUCKET)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(BUCKET)
@@ -203,5 +207,11 @@ def upsert(incoming: DataFrame, path: str, keys: list[str], buckets: int = 64) -
     )
 
 
-def read_upserted(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop(BUCKET)
+def _exists(spark: SparkSession, path: str) -> bool:
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(location)
+
+
+def read_upserted(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Rows of a keyed table, without the marker rows of emptied partitions."""
+    return spark.read.parquet(path).dropna("all", subset=keys).drop(BUCKET)

@@ -9,7 +9,7 @@ from clauselake.operators.chunks import chunk_pages
 from clauselake.operators.embedding import with_hashed_embedding
 from clauselake.operators.pages import resolve_page_text
 from clauselake.operators.status import current_status
-from clauselake.sources.tables import upsert
+from clauselake.sources.tables import read_upserted, upsert
 
 PAGE_KEYS = ["document_id", "page_number"]
 
@@ -40,8 +40,8 @@ def ingest_stream(
         latest = batch.dropDuplicates(PAGE_KEYS)
         upsert(latest, pages_path, PAGE_KEYS, buckets)
         touched = batch.select("document_id").distinct()
-        stored = spark.read.parquet(pages_path).drop("key_bucket").join(touched, "document_id", "left_semi")
-        upsert(index_documents(stored), chunks_path, ["document_id"], buckets)
+        stored = read_upserted(spark, pages_path, PAGE_KEYS).join(touched, "document_id", "left_semi")
+        upsert(index_documents(stored), chunks_path, ["document_id"], buckets, replaced=touched)
 
     return (
         pages.writeStream.foreachBatch(apply)
