@@ -72,21 +72,20 @@ def strip_accents(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Strip, lower, remove accents, collapse spaces; empty text gives null."""
-    folded = collapse_spaces(strip_accents(F.lower(strip(text))))
-    return F.when(~is_blank(text), folded)
+    return F.nullif(collapse_spaces(strip_accents(F.lower(strip(text)))), F.lit(""))
 
 
-@F.pandas_udf("string")
-def fold_exact(text: pd.Series) -> pd.Series:
-    """O35 over all of Unicode (scripts beyond Latin), Arrow batched."""
-
-    def one(value: str | None) -> str | None:
-        if value is None or not value.strip():
-            return None
+def _fold_batch(batch: pd.Series) -> pd.Series:
+    def one(value: str) -> str | None:
         decomposed = unicodedata.normalize("NFKD", value.strip().lower())
-        return " ".join("".join(c for c in decomposed if not unicodedata.combining(c)).split())
+        return " ".join("".join(c for c in decomposed if not unicodedata.combining(c)).split()) or None
+
+    return batch.map(one, na_action="ignore")
 
-    return text.map(one, na_action="ignore")
+
+def fold_exact(text: Column) -> Column:
+    """O35 over all of Unicode (scripts beyond Latin), Arrow batched."""
+    return F.pandas_udf(_fold_batch, "string")(text)
 
 
 def clean_optional(text: Column, null_words: bool = False) -> Column:

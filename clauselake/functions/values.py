@@ -31,20 +31,13 @@ def decimal_text(raw: Column) -> Column:
 
     With both marks the later one is the decimal mark; a lone comma or a lone
     point is the decimal mark. All other characters are dropped, so digits
-    around words are joined. Not a number gives null.
+    around words are joined. The text may still be no number (``1.2.3``), which
+    the casts turn into null. Each step refers to the previous one once.
     """
-    text = strip(F.replace(F.replace(raw, F.lit("R$"), F.lit("")), F.lit("%"), F.lit("")))
-    last_comma = F.length(text) - F.instr(F.reverse(text), ",")
-    last_point = F.length(text) - F.instr(F.reverse(text), ".")
-    comma_to_point = F.replace(text, F.lit(","), F.lit("."))
-    plain = (
-        F.when(~F.contains(text, F.lit(",")), text)
-        .when(~F.contains(text, F.lit(".")), comma_to_point)
-        .when(last_comma > last_point, F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .otherwise(F.replace(text, F.lit(","), F.lit("")))
-    )
-    digits = F.regexp_replace(plain, r"[^0-9.\-]", "")
-    return F.when(digits.rlike(r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)$"), digits)
+    marks = F.regexp_replace(raw, r"[^0-9.,\-]", "")
+    without_points = F.regexp_replace(marks, r"\.(?=.*,[^.]*$)", "")  # the comma comes last
+    without_commas = F.regexp_replace(without_points, r",(?=.*\.)", "")  # the point comes last
+    return F.translate(without_commas, ",", ".")
 
 
 def parse_decimal(raw: Column) -> Column:
@@ -58,17 +51,15 @@ def parse_money(raw: Column) -> Column:
 
 def number_text(raw: Column) -> Column:
     """Number as text with its written scale: ``007`` -> ``7``, ``.5`` -> ``0.5``, ``1.`` -> ``1``."""
-    text = F.regexp_replace(decimal_text(raw), r"\.$", "")
-    text = F.regexp_replace(text, r"^(-?)0+(?=[0-9])", "$1")
-    bare_point = text.rlike(r"^-?\.")
-    return F.when(bare_point, F.replace(text, F.lit("."), F.lit("0."))).otherwise(text)
+    valid = F.regexp_extract(decimal_text(raw), r"^(-?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+))\.?$", 1)
+    padded = F.regexp_replace(F.nullif(valid, F.lit("")), r"^(-?)(?=\.)", "$1#")
+    return F.regexp_replace(F.translate(padded, "#", "0"), r"^(-?)0+(?=[0-9])", "$1")
 
 
 def parse_date(raw: Column) -> Column:
     """``YYYY-MM-DD``, ``DD/MM/YYYY`` or ``DD-MM-YYYY``; day and month may have one digit."""
-    text = strip(raw)
-    iso = F.regexp_replace(text, r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4})$", "$4-$3-$1")
-    return F.when(iso.rlike(r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}$"), iso.try_cast("date"))
+    iso = F.regexp_replace(strip(raw), r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4})$", "$4-$3-$1")
+    return F.regexp_extract(iso, r"^((?!0000)\d{4}-\d{1,2}-\d{1,2})$", 1).try_cast("date")
 
 
 def _raw(**parts: Column) -> Column:

@@ -9,6 +9,7 @@ from clauselake.catalog import CHUNK_MAX_CHARS, CHUNK_OVERLAP, METADATA_VERSION
 from clauselake.functions.ids import content_fingerprint
 from clauselake.functions.text import strip
 from clauselake.plans.carry import carry_forward
+from clauselake.plans.once import compute_once, let
 
 # fixed value: the closed family of section markers at the start of a line
 SECTION_MARKER = r"(?dimuU)^([ \t]*(?:cl[áa]usula|artigo|se[çc][ãa]o|ep[íi]grafe)\b[^\n]*)"
@@ -27,16 +28,20 @@ def chunk_text(text: Column, max_chars: int = CHUNK_MAX_CHARS, overlap: int = CH
     if not 0 <= overlap < max_chars:
         raise ValueError("overlap must lie in [0, max_chars)")
     step = max_chars - overlap
-    body = strip(text)
-    last = F.greatest(F.lit(0), F.ceil((F.length(body) - max_chars) / F.lit(step))).cast("int")
-    # Cut once into pieces of one step, then join neighbours: linear in the text length.
-    steps = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{step}}}"), 0)
     reach = -(-max_chars // step)
-    windows = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: strip(F.substring(F.array_join(F.slice(steps, i + 1, F.lit(reach)), ""), 1, max_chars)),
-    )
-    return F.filter(windows, lambda piece: piece != "")
+
+    def windows(body: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.length(body) - max_chars) / F.lit(step))).cast("int")
+        # Cut once into pieces of one step, then join neighbours: linear in the text length.
+        return let(
+            F.regexp_extract_all(body, F.lit(f"(?s).{{1,{step}}}"), 0),
+            lambda steps: F.transform(
+                F.sequence(F.lit(0), last),
+                lambda i: strip(F.substring(F.array_join(F.slice(steps, i + 1, F.lit(reach)), ""), 1, max_chars)),
+            ),
+        )
+
+    return F.filter(let(strip(text), windows), lambda piece: piece != "")
 
 
 def detect_section_markers(text: Column) -> Column:
@@ -57,7 +62,7 @@ def chunk_pages(
         chunk_text(F.coalesce("text", F.lit("")), max_chars, overlap),
         lambda piece: F.struct(piece.alias("text"), detect_section_markers(piece).alias("markers")),
     )
-    pages = resolved.withColumn("__pieces", pieces)
+    pages = compute_once(resolved, __pieces=pieces).drop("text")
     if sections:
         marked = F.filter(F.col("__pieces"), lambda p: F.size(p["markers"]) > 0)
         last_marker = F.try_element_at(F.try_element_at(marked, F.lit(-1))["markers"], F.lit(-1))
@@ -69,7 +74,7 @@ def chunk_pages(
 
     def with_section(piece: Column, index: Column) -> Column:
         own = F.try_element_at(piece["markers"], F.lit(1))
-        at_start = F.ltrim(piece["text"]).startswith(own)
+        at_start = piece["text"].startswith(own)
         earlier = F.filter(F.slice(F.col("__pieces"), F.lit(1), index), lambda p: F.size(p["markers"]) > 0)
         inherited = F.coalesce(
             F.try_element_at(F.try_element_at(earlier, F.lit(-1))["markers"], F.lit(-1)), F.col("__section")

@@ -9,6 +9,7 @@ from clauselake.catalog import FIELD_CODES, field_attribute
 from clauselake.functions.ids import comparison_id
 from clauselake.functions.text import is_blank
 from clauselake.functions.values import to_brl
+from clauselake.plans.once import compute_once
 
 PENDING = ["AMBIGUOUS", "NEEDS_REVIEW"]
 
@@ -29,7 +30,7 @@ def with_brl(facts: DataFrame, fx_rates: DataFrame | None = None) -> DataFrame:
         priced = facts.withColumn("__currency", currency).join(rates, "__currency", "left").drop("__currency")
     brl = to_brl(F.col("normalized_value.amount"), currency, F.col("__rate"))
     return (
-        priced.withColumn("amount_brl", brl)
+        compute_once(priced, amount_brl=brl)
         .withColumn("fx_error", currency.isNotNull() & F.col("amount_brl").isNull())
         .drop("__rate")
     )
@@ -128,7 +129,7 @@ def compare_policies(
         F.try_element_at("facts_a", F.col("field_code")).alias("a"),
         F.try_element_at("facts_b", F.col("field_code")).alias("b"),
     )
-    result = grid.withColumn("resultado", field_result(F.col("field_type"), F.col("a"), F.col("b")))
+    result = compute_once(grid, resultado=field_result(F.col("field_type"), F.col("a"), F.col("b")))
     fx_error = F.coalesce(F.col("a.fx_error"), F.lit(False)) | F.coalesce(F.col("b.fx_error"), F.lit(False))
     error = F.when(
         F.col("resultado").isNull(),

@@ -26,6 +26,7 @@ from clauselake.catalog import (
 )
 from clauselake.functions.text import clean_optional, fold, strip
 from clauselake.functions.values import normalize_value, parse_value
+from clauselake.plans.once import compute_once
 
 VIOLATIONS = "array<struct<rule:string,field_code:string,reason:string>>"
 QUOTED_SEGMENT = "[\"“”']([^\"“”']+)[\"“”']"
@@ -201,20 +202,21 @@ def build_facts(requests: DataFrame, responses: DataFrame, evidence: DataFrame)
 def _guarded(requests: DataFrame, responses: DataFrame, evidence: DataFrame) -> DataFrame:
     field_type = field_attribute(F.col("field_code"), "field_type")
     raw = complete_requests(requests, responses).withColumn("field_type", field_type)
-    raw = raw.withColumn("value", parse_value(F.col("field_type"), F.col("value_json")))
+    raw = compute_once(raw, value=parse_value(F.col("field_type"), F.col("value_json")))
     given = F.col("value_json").isNotNull() & (F.trim("value_json") != "null")
     unreadable = (F.col("status") == "FOUND") & given & F.col("value").isNull()
     found = (F.col("status") == "FOUND") & F.col("value").isNotNull()
-    raw = raw.withColumn("normalized_value", F.when(found, normalize_value(F.col("field_type"), F.col("value"))))
+    raw = compute_once(
+        raw,
+        normalized_value=F.when(found, normalize_value(F.col("field_type"), F.col("value"))),
+        excerpts=F.coalesce(collect_excerpts(F.col("value")), F.array().cast("array<string>")),
+    )
     demoted = unreadable | (found & F.col("normalized_value").isNull())
     raw = (
         raw.withColumn("__demoted", F.coalesce(demoted, F.lit(False)))
         .withColumn("status", F.when(F.col("__demoted"), F.lit("NEEDS_REVIEW")).otherwise(F.col("status")))
         .withColumn("requires_human_review", F.col("requires_human_review") | F.col("__demoted"))
         .drop("__demoted", "value_json")
-        .withColumn(
-            "excerpts", F.coalesce(collect_excerpts(F.col("value")), F.array().cast("array<string>"))
-        )
     )
     checked = anchor_check(raw, evidence, ["policy_id", "field_code"])
 
@@ -223,7 +225,7 @@ def _guarded(requests: DataFrame, responses: DataFrame, evidence: DataFrame) ->
         fact_found & F.col("normalized_value").isNotNull(),
         field_rules(F.col("field_code"), F.col("field_type"), F.col("normalized_value")),
     ).otherwise(F.array().cast(VIOLATIONS))
-    ruled = checked.withColumn("rule_violations", rules)
+    ruled = compute_once(checked, rule_violations=rules)
     broken = fact_found & ((F.col("unanchored") > 0) | (F.size("rule_violations") > 0))
     ruled = (
         ruled.withColumn("__broken", F.coalesce(broken, F.lit(False)))
@@ -263,7 +265,7 @@ def validate_normalized(facts: DataFrame) -> DataFrame:
         (F.col("status") == "FOUND") & F.col("normalized_value").isNotNull(),
         field_rules(F.col("field_code"), F.col("field_type"), F.col("normalized_value")),
     ).otherwise(F.array().cast(VIOLATIONS))
-    ruled = facts.withColumn("rule_violations", rules)
+    ruled = compute_once(facts, rule_violations=rules)
     broken = F.size("rule_violations") > 0
     ruled = ruled.withColumn("status", F.when(broken, F.lit("NEEDS_REVIEW")).otherwise(F.col("status"))).withColumn(
         "requires_human_review", F.col("requires_human_review") | broken

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clauselake.catalog import COMPANY_HINTS, INSURER_HEADER_LINES, TITLE_MARKERS, YEAR_RANGE
 from clauselake.functions.text import collapse_spaces, strip
 from clauselake.operators.pages import LINE_BREAK
+from clauselake.plans.once import compute_once
 from clauselake.plans.top_k import top_k
 
 # fixed values: patterns of tag lines, reference years, dates and digits
@@ -63,11 +64,9 @@ def line_year(line: Column) -> Column:
 def insurer_candidates(pages: DataFrame) -> DataFrame:
     """Lines that hold a candidate name or a year."""
     header = (F.col("page_number") == 1) & (F.col("line_number") <= INSURER_HEADER_LINES)
-    read = content_lines(pages).select(
-        "policy_id", "page_number", "line_number",
-        company_name(F.col("line"), header).alias("name"),
-        line_year(F.col("line")).alias("year"),
-    )
+    read = compute_once(
+        content_lines(pages), name=company_name(F.col("line"), header), year=line_year(F.col("line"))
+    ).select("policy_id", "page_number", "line_number", "name", "year")
     return read.filter(F.col("name").isNotNull() | F.col("year").isNotNull())
 
 

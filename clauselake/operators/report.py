@@ -23,6 +23,7 @@ from clauselake.catalog import (
 from clauselake.functions.ids import report_id
 from clauselake.functions.text import clean_optional, strip
 from clauselake.functions.values import is_object
+from clauselake.plans.once import compute_once
 
 CELL_KEYS = [
     "field_code", "status", "limite_franquia", "exclusoes_condicoes", "impacto_pratico", "impacto_financeiro",
@@ -93,7 +94,7 @@ def fill_matrix(policies: DataFrame, payloads: DataFrame) -> tuple[DataFrame, Da
     without an answer is not located. The answer for a field's own category, or
     for a later one, counts; the last wins.
     """
-    parsed = payloads.withColumn("cells", parse_cells(F.col("payload")))
+    parsed = compute_once(payloads, cells=parse_cells(F.col("payload")))
     known = F.array(*[F.lit(code) for code in REPORT_CODES])
     unknown = F.exists("cells", lambda cell: ~F.coalesce(F.array_contains(known, cell["field_code"]), F.lit(False)))
     rejects = parsed.filter(unknown).select("policy_id", "category", F.lit("LLM_SCHEMA_INVALID").alias("error_code"))

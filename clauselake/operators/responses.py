@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.functions.values import is_object
+from clauselake.plans.once import compute_once
 
 ITEM = (
     "struct<field_code:string,status:string,value:string,confidence:double,evidence_ids:array<string>,"
@@ -28,15 +29,11 @@ def parse_facts(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     body = F.when(is_object(F.col("payload")), F.coalesce(wrapped, F.col("payload"))).otherwise(F.col("payload"))
     raw_items = F.from_json("__body", "array<string>")
     prepared = (
-        answers.withColumn("__body", F.when(_well_formed(F.col("payload")), body))
+        compute_once(answers, __body=F.when(_well_formed(F.col("payload")), body))
         .withColumn("__raw", F.when(F.ltrim("__body").startswith("["), raw_items))
-        .withColumn(
-            "__valid",
-            F.coalesce(
-                F.col("__raw").isNotNull() & ~F.exists("__raw", lambda item: ~is_object(item)), F.lit(False)
-            ),
-        )
     )
+    well_formed = F.col("__raw").isNotNull() & ~F.exists("__raw", lambda item: ~is_object(item))
+    prepared = compute_once(prepared, __valid=F.coalesce(well_formed, F.lit(False)))
     rejects = prepared.filter(~F.col("__valid")).select("policy_id", F.lit(INVALID).alias("error_code"))
     items = prepared.filter("__valid").select("policy_id", F.posexplode("__raw").alias("position", "__item"))
     parsed = items.select("policy_id", "position", F.from_json("__item", ITEM).alias("__i"))

@@ -9,6 +9,7 @@ from clauselake.catalog import REVIEW_DECISIONS, field_attribute
 from clauselake.functions.text import is_blank
 from clauselake.functions.values import is_object, normalize_value, parse_value, raw_from_text, scalar_text
 from clauselake.operators.facts import field_rules
+from clauselake.plans.once import compute_once
 
 
 def pending_queue(facts: DataFrame) -> DataFrame:
@@ -32,9 +33,8 @@ def _checked_decisions(facts: DataFrame, decisions: DataFrame) -> DataFrame:
     typed = raw_from_text(field_type, scalar_text(F.col("value_json")), F.col("__original"))
     value = F.when(is_object(F.col("value_json")), parse_value(field_type, F.col("value_json"))).otherwise(typed)
     corrected = F.col("decision") == "CORRIGIDO"
-    joined = joined.withColumn("__value", F.when(corrected & given, value)).withColumn(
-        "__normalized", normalize_value(field_type, F.col("__value"))
-    )
+    joined = compute_once(joined, __value=F.when(corrected & given, value))
+    joined = compute_once(joined, __normalized=normalize_value(field_type, F.col("__value")))
     rules = field_rules(F.col("__code"), field_type, F.col("__normalized"))
     reason = (
         F.when(~F.coalesce(F.col("decision").isin(*REVIEW_DECISIONS), F.lit(False)), F.lit("INVALID_DECISION"))
@@ -44,8 +44,9 @@ def _checked_decisions(facts: DataFrame, decisions: DataFrame) -> DataFrame:
         .when(corrected & (F.size(rules) > 0), F.lit("RULE_VIOLATION"))
     )
     rule_names = F.array_join(F.transform(rules, lambda violation: violation["rule"]), ", ")
-    return joined.withColumn("reason", reason).withColumn(
-        "rules", F.when(F.col("reason") == "RULE_VIOLATION", rule_names)
+    checked = compute_once(joined, reason=reason, __rule_names=rule_names)
+    return checked.withColumn("rules", F.when(F.col("reason") == "RULE_VIOLATION", F.col("__rule_names"))).drop(
+        "__rule_names"
     )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from clauselake.catalog import (
     TOP_SECTIONS,
 )
 from clauselake.functions.text import strip_accents, truncate
+from clauselake.plans.once import compute_once
 from clauselake.plans.ranking import rank_by_sort
 from clauselake.plans.top_k import top_k
 
@@ -24,6 +28,14 @@ def terms(text: Column) -> Column:
     return F.array_except(tokens, F.array(*[F.lit(word) for word in STOPWORDS]))
 
 
+def catalog_terms(text: str) -> list[str]:
+    """The same terms of a fixed catalog text, as plan-time literals."""
+    decomposed = unicodedata.normalize("NFKD", text.casefold())
+    plain = "".join(c for c in decomposed if not unicodedata.combining(c))
+    tokens = dict.fromkeys(t for t in re.split("[^a-z0-9]+", plain) if len(t) >= 3)
+    return [t for t in tokens if t not in STOPWORDS]
+
+
 def overlap_score(query_terms: Column, text_terms: Column) -> Column:
     """Share of the query terms found in the text; 0 without query terms."""
     shared = F.size(F.array_intersect(query_terms, text_terms))
@@ -53,14 +65,16 @@ def rank_sections(sections: DataFrame, limit: int = TOP_SECTIONS) -> DataFrame:
     winners only.
     """
     limit = max(limit, 1)
-    keyed = sections.withColumn(
-        "__terms", terms(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.col("text")))
+    keyed = compute_once(
+        sections, __terms=terms(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.col("text")))
     ).select("policy_id", "page_number", "section_index", "__terms")
     scored = F.array(
         *[
             F.struct(
                 F.lit(code).alias("field_code"),
-                overlap_score(terms(F.lit(f"{label} {description}")), F.col("__terms")).alias("retrieval_score"),
+                overlap_score(
+                    F.array(*[F.lit(t) for t in catalog_terms(f"{label} {description}")]), F.col("__terms")
+                ).alias("retrieval_score"),
             )
             for code, _, _, label, description in FIELD_TABLE
         ]

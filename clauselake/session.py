@@ -23,6 +23,7 @@ def build_session(app_name: str = "clauselake", master: str | None = None, **con
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # no stack capture per expression
         **conf,
     }
     for key, value in settings.items():

@@ -15,6 +15,7 @@ from clauselake.functions.text import strip
 from clauselake.functions.values import normalize_value, parse_value
 from clauselake.operators.facts import validate_normalized
 from clauselake.operators.pages import REGIONS
+from clauselake.plans.once import compute_once
 from clauselake.sources.tables import table
 
 
@@ -156,12 +157,16 @@ def raw_facts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def normalized_facts(spark: SparkSession, folder: str) -> DataFrame:
-    raw = raw_facts(spark, folder).withColumn("field_type", field_attribute(F.col("field_code"), "field_type"))
-    raw = raw.withColumn("value", parse_value(F.col("field_type"), F.col("value_json")))
+    raw = compute_once(
+        raw_facts(spark, folder).withColumn("field_type", field_attribute(F.col("field_code"), "field_type")),
+        value=parse_value(F.col("field_type"), F.col("value_json")),
+    )
     found = F.col("status") == "FOUND"
-    return raw.withColumn(
-        "normalized_value", F.when(found, normalize_value(F.col("field_type"), F.col("value")))
-    ).withColumn("fact_id", F.concat(F.lit("FAC-"), F.col("policy_id"), F.lit("-"), F.col("field_code")))
+    return compute_once(
+        raw,
+        normalized_value=F.when(found, normalize_value(F.col("field_type"), F.col("value"))),
+        fact_id=F.concat(F.lit("FAC-"), F.col("policy_id"), F.lit("-"), F.col("field_code")),
+    )
 
 
 def checked_facts(spark: SparkSession, folder: str) -> DataFrame:
