@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clauselake.catalog import SNIPPET_CHARS
+from clauselake.plans.once import let
 
 # Every code point that counts as white space at the ends of a Python string.
 WHITESPACE = "".join(chr(cp) for cp in range(0x3001) if chr(cp).isspace())
@@ -61,13 +62,17 @@ def strip_accents(text: Column) -> Column:
     """NFKD without combining marks for Latin and compatibility characters.
 
     One-to-one letters go through ``translate``; the rare expanding characters
-    are replaced only in rows that contain one.
+    are replaced only in rows that still hold one after that.
     """
     single, images, marks, expanding = _fold_rules()
     pattern = "[" + "".join(char for char, _ in expanding) + "]"
     pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(p).alias("p")) for c, p in expanding])
-    expanded = F.aggregate(pairs, text, lambda acc, pair: F.replace(acc, pair["c"], pair["p"]))
-    return F.translate(F.when(text.rlike(pattern), expanded).otherwise(text), single + marks, images)
+
+    def expand(plain: Column) -> Column:
+        replaced = F.aggregate(pairs, plain, lambda acc, pair: F.replace(acc, pair["c"], pair["p"]))
+        return F.when(plain.rlike(r"[^\x00-\x7f]") & plain.rlike(pattern), replaced).otherwise(plain)
+
+    return let(F.translate(text, single + marks, images), expand)
 
 
 def fold(text: Column) -> Column:

@@ -108,6 +108,7 @@ def compare_policies(
     )
     by_policy = (
         with_brl(facts, fx_rates)
+        .repartition("policy_id")  # serves the aggregate, and both sides reuse this one shuffle
         .groupBy("policy_id")
         .agg(F.map_from_entries(F.collect_list(F.struct("field_code", fact))).alias("facts"))
     )

@@ -16,7 +16,8 @@ INVALID = "LLM_SCHEMA_INVALID"
 
 
 def _well_formed(payload: Column) -> Column:
-    return F.try_parse_json(payload).isNotNull()
+    # Inside an object, so that anything after the value counts as malformed.
+    return F.try_parse_json(F.concat(F.lit('{"v":'), payload, F.lit("}"))).isNotNull()
 
 
 def parse_facts(answers: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -16,7 +16,7 @@ from clauselake.functions.values import normalize_value, parse_value
 from clauselake.operators.facts import validate_normalized
 from clauselake.operators.pages import REGIONS
 from clauselake.plans.once import compute_once
-from clauselake.sources.tables import table
+from clauselake.sources.tables import partition_by, table
 
 
 def text(column: Column) -> Column:
@@ -136,7 +136,11 @@ def raw_facts(spark: SparkSession, folder: str) -> DataFrame:
             for i, (code, value) in enumerate(zip(FIELD_CODES, values), start=1)
         ]
     )
-    exploded = base.select("c_custkey", F.inline(rows))
+    # One row per policy is shuffled here, before it becomes ten: the windows and
+    # aggregates over a policy that follow find this partitioning and add none.
+    exploded = partition_by(base.withColumn("policy_id", text(key)), "policy_id").select(
+        "policy_id", "c_custkey", F.inline(rows)
+    )
     place = key + F.col("ordinal")
     status = (
         F.when((place % 17 == 0) | F.col("value_json").isNull(), F.lit("NOT_FOUND"))
@@ -145,7 +149,7 @@ def raw_facts(spark: SparkSession, folder: str) -> DataFrame:
     )
     ids = F.array(F.concat(F.lit("ev_"), text(key), F.lit("_"), text(F.col("ordinal"))))
     return exploded.select(
-        text(key).alias("policy_id"),
+        "policy_id",
         "field_code",
         "ordinal",
         status.alias("status"),

@@ -48,8 +48,33 @@ TABLE_KEYS = {
 }
 
 
+TEXT_TABLES = {"documents", "pages", "embeddings"}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    read = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(read) if name in TEXT_TABLES else read
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give costly row work one partition per core when the input has fewer.
+
+    The check looks at the planned scan only. An input with at least as many
+    splits as cores, as on a cluster, is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def partition_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitioning for costly work per row and for later operators on the same keys.
+
+    The explicit number keeps the adaptive coalescing from packing few bytes but
+    much computation into one task.
+    """
+    spark = df.sparkSession
+    partitions = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(partitions, *keys)
 
 
 def document_intake(spark: SparkSession, path: str, max_bytes: int = MAX_DOCUMENT_BYTES) -> DataFrame:

@@ -149,7 +149,7 @@ def ocr_confidence(spark, sf):
     )
     scored = lines.withColumn("score", (F.length("text") % 101) / 100.0)
     return pages.page_ocr(scored).select(
-        "document_id", F.md5("ocr_text").alias("text_md5"), F.round("ocr_confidence", 6).alias("ocr_confidence")
+        "document_id", F.md5("ocr_text").alias("text_md5"), F.round("ocr_confidence", 10).alias("ocr_confidence")
     )
 
 
