@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.catalog import PRICE_REFERENCE_DATE, PRICE_TABLE
 
 
 def with_cost(usage: DataFrame, prices: DataFrame | None = None) -> DataFrame:
-    """Cost in USD rounded to six digits; a model without a price gives null.
+    """Cost in USD rounded half up to six digits; a model without a price gives null.
 
-    The built-in prices are literals. A price table of the caller is joined and
-    the strategy left to the optimizer.
+    Prices are per million tokens, so tokens times price is the cost in
+    millionths and the rounding is exact in decimals. The built-in prices are
+    literals; a price table of the caller is joined, with the strategy left to
+    the optimizer.
     """
     if prices is None:
         price_in = price_out = None
         for model, first, second in PRICE_TABLE:
-            price_in = (F if price_in is None else price_in).when(F.col("model_name") == model, F.lit(float(first)))
-            price_out = (F if price_out is None else price_out).when(F.col("model_name") == model, F.lit(float(second)))
+            price_in = (F if price_in is None else price_in).when(F.col("model_name") == model, F.lit(first))
+            price_out = (F if price_out is None else price_out).when(F.col("model_name") == model, F.lit(second))
         priced = usage.withColumn("__in", price_in).withColumn("__out", price_out)
     else:
         priced = usage.join(
@@ -26,9 +28,12 @@ def with_cost(usage: DataFrame, prices: DataFrame | None = None) -> DataFrame:
             "model_name",
             "left",
         )
-    million = F.lit(1_000_000)
-    cost = F.col("request_tokens") / million * F.col("__in") + F.col("response_tokens") / million * F.col("__out")
-    return priced.withColumn("cost_usd", F.round(cost, 6)).drop("__in", "__out")
+
+    def part(tokens: str, price: str) -> Column:
+        return F.col(tokens).cast("decimal(18,0)") * F.col(price).cast("decimal(12,6)")
+
+    millionths = F.round(part("request_tokens", "__in") + part("response_tokens", "__out"), 0)
+    return priced.withColumn("cost_usd", millionths.cast("double") / 1_000_000).drop("__in", "__out")
 
 
 def summarize_runs(usage: DataFrame) -> DataFrame:

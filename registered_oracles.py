@@ -359,7 +359,7 @@ usage_v AS (
   SELECT user_id AS run_id, event_type AS kind, event_id AS seq, floor(value * 100)::BIGINT AS tin, floor(value * 10)::BIGINT AS tout,
          (props->>'$.k')::BIGINT * 3 AS latency, (props->>'$.k')::BIGINT % 3 AS m FROM events),
 cost_v AS (
-  SELECT *, CASE m WHEN 0 THEN round(tin / 1000000 * 0.10::DOUBLE + tout / 1000000 * 0.40::DOUBLE, 6) WHEN 1 THEN round(tin / 1000000 * 0.43::DOUBLE + tout / 1000000 * 0.87::DOUBLE, 6) END AS cost_usd
+  SELECT *, CASE m WHEN 0 THEN round(tin * 0.10 + tout * 0.40)::DOUBLE / 1000000 WHEN 1 THEN round(tin * 0.43 + tout * 0.87)::DOUBLE / 1000000 END AS cost_usd
   FROM usage_v)
 """
 
