@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from clauselake.catalog import SNIPPET_CHARS
+from clauselake.catalog import SNIPPET_CHARS, literal_map
 from clauselake.plans.once import let
 
 # Every code point that counts as white space at the ends of a Python string.
@@ -66,10 +66,10 @@ def strip_accents(text: Column) -> Column:
     """
     single, images, marks, expanding = _fold_rules()
     pattern = "[" + "".join(char for char, _ in expanding) + "]"
-    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(p).alias("p")) for c, p in expanding])
+    pairs = F.map_entries(literal_map(dict(expanding)))
 
     def expand(plain: Column) -> Column:
-        replaced = F.aggregate(pairs, plain, lambda acc, pair: F.replace(acc, pair["c"], pair["p"]))
+        replaced = F.aggregate(pairs, plain, lambda acc, pair: F.replace(acc, pair["key"], pair["value"]))
         return F.when(plain.rlike(r"[^\x00-\x7f]") & plain.rlike(pattern), replaced).otherwise(plain)
 
     return let(F.translate(text, single + marks, images), expand)

@@ -18,11 +18,11 @@ RAW_KEYS = ["amount", "currency", "number", "unit", "date", "start", "end", "tex
 RAW_VALUE = "struct<" + ",".join(f"`{key}`:string" for key in RAW_KEYS) + ">"
 MONEY_TYPE = "decimal(38,2)"
 NUMBER_TYPE = "decimal(38,10)"
-NORMALIZED_VALUE = (
-    f"struct<amount:{MONEY_TYPE},currency:string,number_text:string,number:{NUMBER_TYPE},"
-    "date:date,start:date,end:date,duration_days:int,text:string>"
-)
-NORMALIZED_KEYS = ["amount", "currency", "number_text", "number", "date", "start", "end", "duration_days", "text"]
+NORMALIZED_TYPES = {
+    "amount": MONEY_TYPE, "currency": "string", "number_text": "string", "number": NUMBER_TYPE, "date": "date",
+    "start": "date", "end": "date", "duration_days": "int", "text": "string",
+}
+NORMALIZED_VALUE = "struct<" + ",".join(f"{key}:{kind}" for key, kind in NORMALIZED_TYPES.items()) + ">"
 PERIOD_DATE = r"(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4})"
 
 
@@ -63,8 +63,10 @@ def parse_date(raw: Column) -> Column:
 
 
 def _raw(**parts: Column) -> Column:
-    null = F.lit(None).cast("string")
-    return F.struct(*[parts.get(key, null).cast("string").alias(key) for key in RAW_KEYS])
+    raw = F.expr("named_struct(" + ", ".join(f"'{key}', cast(null as string)" for key in RAW_KEYS) + ")")
+    for key, part in parts.items():
+        raw = raw.withField(key, part.cast("string"))
+    return raw
 
 
 def raw_from_text(field_type: Column, text: Column, original: Column | None = None) -> Column:
@@ -108,8 +110,10 @@ def parse_value(field_type: Column, value_json: Column) -> Column:
 
 
 def _normalized(**parts: Column) -> Column:
-    null = F.lit(None)
-    return F.struct(*[parts.get(key, null).alias(key) for key in NORMALIZED_KEYS]).cast(NORMALIZED_VALUE)
+    value = F.expr("named_struct(" + ", ".join(f"'{k}', cast(null as {t})" for k, t in NORMALIZED_TYPES.items()) + ")")
+    for key, part in parts.items():
+        value = value.withField(key, part.cast(NORMALIZED_TYPES[key]))
+    return value
 
 
 def normalize_value(field_type: Column, raw: Column) -> Column:

@@ -17,17 +17,19 @@ PENDING = ["AMBIGUOUS", "NEEDS_REVIEW"]
 def with_brl(facts: DataFrame, fx_rates: DataFrame | None = None) -> DataFrame:
     """Add ``amount_brl`` and ``fx_error`` to facts; a missing or non-positive rate is an error code.
 
-    The rate table has one row per currency, so its side stays small for any
-    number of facts; the join strategy is left to the optimizer.
+    Valid currencies are three letters, so the rate side has at most 26 cubed
+    rows whatever is passed in, and is broadcast: a shuffle on the few
+    currencies would put most facts into one task.
     """
     currency = F.col("normalized_value.currency")
     if fx_rates is None:
         priced = facts.withColumn("__rate", F.lit(None).cast("decimal(18,8)"))
     else:
-        rates = fx_rates.groupBy(F.upper("currency").alias("__currency")).agg(
+        code = F.upper("currency")
+        rates = fx_rates.filter(code.rlike("^[A-Z]{3}$")).groupBy(code.alias("__currency")).agg(
             F.max(F.col("rate").cast("decimal(18,8)")).alias("__rate")
         )
-        priced = facts.withColumn("__currency", currency).join(rates, "__currency", "left").drop("__currency")
+        priced = facts.withColumn("__currency", currency).join(F.broadcast(rates), "__currency", "left").drop("__currency")
     brl = to_brl(F.col("normalized_value.amount"), currency, F.col("__rate"))
     return (
         compute_once(priced, amount_brl=brl)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.catalog import CRITERION_CODES, GUARD_FACTS, RANKING_CRITERIA
+from clauselake.plans.broadcasting import checked_broadcast
 from clauselake.plans.ranking import rank_by_sort
 
 
@@ -44,7 +45,7 @@ def _scored(notes: DataFrame, weights: DataFrame, group: list[str]) -> DataFrame
     """Partial sums per policy and scenario. The weights are a few rows per scenario."""
     contribution = F.round(F.col("nota") * F.col("weight") / 10.0, 9).cast("decimal(20,9)")
     return (
-        notes.join(weights.select("scenario", "criterion", "weight"), "criterion")
+        notes.join(checked_broadcast(weights.select("scenario", "criterion", "weight")), "criterion")
         .groupBy("scenario", *group, "policy_id")
         .agg(
             F.min("input_pos").alias("input_pos"),
@@ -52,13 +53,13 @@ def _scored(notes: DataFrame, weights: DataFrame, group: list[str]) -> DataFrame
             F.count("nota").alias("__found"),
             F.count_if(~F.coalesce(F.col("nota").between(0.0, 10.0), F.lit(True))).alias("__outside"),
         )
-        .join(_bounds(weights), "scenario")
+        .join(checked_broadcast(_bounds(weights)), "scenario")
     )
 
 
 def contributions(notes: DataFrame, weights: DataFrame) -> DataFrame:
     """O107: note times weight over ten, per criterion."""
-    return notes.join(weights, "criterion").withColumn("contribution", F.col("nota") * F.col("weight") / 10.0)
+    return notes.join(checked_broadcast(weights), "criterion").withColumn("contribution", F.col("nota") * F.col("weight") / 10.0)
 
 
 def compute_ranking(notes: DataFrame, weights: DataFrame, group: list[str] | None = None) -> DataFrame:
@@ -133,7 +134,7 @@ def criterion_table(notes: DataFrame, weights: DataFrame, policy_ids: list[str])
     for code, text in labels.items():
         label = (F if label is None else label).when(F.col("criterion") == code, F.lit(text))
     return (
-        notes.join(weights, "criterion")
+        notes.join(checked_broadcast(weights), "criterion")
         .groupBy("scenario", "ordinal", "criterion", "weight")
         .pivot("policy_id", policy_ids)
         .agg(F.max("nota"))

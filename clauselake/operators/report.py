@@ -19,6 +19,9 @@ from clauselake.catalog import (
     REPORT_CATEGORIES,
     REPORT_FIELD_TABLE,
     SCENARIO_CAVEAT,
+    literal_array,
+    literal_map,
+    sql_text,
 )
 from clauselake.functions.ids import report_id
 from clauselake.functions.text import clean_optional, strip
@@ -95,15 +98,13 @@ def fill_matrix(policies: DataFrame, payloads: DataFrame) -> tuple[DataFrame, Da
     for a later one, counts; the last wins.
     """
     parsed = compute_once(payloads, cells=parse_cells(F.col("payload")))
-    known = F.array(*[F.lit(code) for code in REPORT_CODES])
+    known = literal_array(REPORT_CODES)
     unknown = F.exists("cells", lambda cell: ~F.coalesce(F.array_contains(known, cell["field_code"]), F.lit(False)))
     rejects = parsed.filter(unknown).select("policy_id", "category", F.lit("LLM_SCHEMA_INVALID").alias("error_code"))
     accepted = policies.select("policy_id").join(rejects.select("policy_id"), "policy_id", "left_anti")
-    own_category = None
-    for code, category, _, _ in REPORT_FIELD_TABLE:
-        own_category = (F if own_category is None else own_category).when(
-            F.col("cell.field_code") == code, F.lit(category)
-        )
+    own_category = F.try_element_at(
+        literal_map({code: category for code, category, _, _ in REPORT_FIELD_TABLE}), F.col("cell.field_code")
+    )
     answered = (
         parsed.filter(~unknown)
         .select("policy_id", "category", F.posexplode("cells").alias("position", "cell"))
@@ -114,11 +115,13 @@ def fill_matrix(policies: DataFrame, payloads: DataFrame) -> tuple[DataFrame, Da
         F.max_by("cell", order).alias("cell")
     )
     typed = guarded_cells(latest.select("policy_id", "cell.*"))
-    fields = F.array(
-        *[
-            F.struct(F.lit(i).alias("ordinal"), F.lit(code).alias("field_code"), F.lit(category).alias("category"))
+    fields = F.expr(
+        "array("
+        + ", ".join(
+            f"named_struct('ordinal', {i}, 'field_code', {sql_text(code)}, 'category', {sql_text(category)})"
             for i, (code, category, _, _) in enumerate(REPORT_FIELD_TABLE, start=1)
-        ]
+        )
+        + ")"
     )
     grid = accepted.select("policy_id", F.inline(fields))
     cells = (
@@ -130,7 +133,7 @@ def fill_matrix(policies: DataFrame, payloads: DataFrame) -> tuple[DataFrame, Da
 
 
 def _category_ordinal(category: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(code) for code, _ in REPORT_CATEGORIES]), category).alias("c")
+    return F.array_position(literal_array([code for code, _ in REPORT_CATEGORIES]), category).alias("c")
 
 
 IDENTIFICATION = (

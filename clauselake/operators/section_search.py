@@ -14,6 +14,7 @@ from clauselake.catalog import (
     MAX_READING_SECTIONS,
     STOPWORDS,
     TOP_SECTIONS,
+    literal_array,
 )
 from clauselake.functions.text import strip_accents, truncate
 from clauselake.plans.once import compute_once
@@ -25,7 +26,7 @@ def terms(text: Column) -> Column:
     """Distinct folded terms of three letters or more, without stopwords."""
     plain = strip_accents(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
     tokens = F.filter(F.split(plain, "[^a-z0-9]+"), lambda t: F.length(t) >= 3)
-    return F.array_except(tokens, F.array(*[F.lit(word) for word in STOPWORDS]))
+    return F.array_except(tokens, literal_array(STOPWORDS))
 
 
 def catalog_terms(text: str) -> list[str]:
@@ -73,7 +74,7 @@ def rank_sections(sections: DataFrame, limit: int = TOP_SECTIONS) -> DataFrame:
             F.struct(
                 F.lit(code).alias("field_code"),
                 overlap_score(
-                    F.array(*[F.lit(t) for t in catalog_terms(f"{label} {description}")]), F.col("__terms")
+                    literal_array(catalog_terms(f"{label} {description}")), F.col("__terms")
                 ).alias("retrieval_score"),
             )
             for code, _, _, label, description in FIELD_TABLE

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.catalog import PRICE_REFERENCE_DATE, PRICE_TABLE
+from clauselake.plans.broadcasting import checked_broadcast
 
 
 def with_cost(usage: DataFrame, prices: DataFrame | None = None) -> DataFrame:
@@ -13,8 +14,7 @@ def with_cost(usage: DataFrame, prices: DataFrame | None = None) -> DataFrame:
 
     Prices are per million tokens, so tokens times price is the cost in
     millionths and the rounding is exact in decimals. The built-in prices are
-    literals; a price table of the caller is joined, with the strategy left to
-    the optimizer.
+    literals; a price table of the caller is broadcast while it is small.
     """
     if prices is None:
         price_in = price_out = None
@@ -24,7 +24,9 @@ def with_cost(usage: DataFrame, prices: DataFrame | None = None) -> DataFrame:
         priced = usage.withColumn("__in", price_in).withColumn("__out", price_out)
     else:
         priced = usage.join(
-            prices.select("model_name", F.col("usd_per_1m_in").alias("__in"), F.col("usd_per_1m_out").alias("__out")),
+            checked_broadcast(
+                prices.select("model_name", F.col("usd_per_1m_in").alias("__in"), F.col("usd_per_1m_out").alias("__out"))
+            ),
             "model_name",
             "left",
         )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.catalog import CRITERION_CODES, FIELD_CODES, REPORT_CATEGORIES, REPORT_FIELD_TABLE, field_attribute
+from clauselake.catalog import CRITERION_CODES, FIELD_CODES, REPORT_CATEGORIES, REPORT_FIELD_TABLE, field_attribute, sql_text
 from clauselake.functions.text import strip
 from clauselake.functions.values import normalize_value, parse_value
 from clauselake.operators.facts import validate_normalized
@@ -352,34 +352,26 @@ CELL_STATUSES = ["Previsto", "EXCLUIDO", "condicionado", "Não localizado", "amb
 
 def cell_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Matrix answers per supplier and category, in the three accepted shapes."""
-    key = F.col("s_suppkey")
-    statuses = F.array(*[F.lit(s) for s in CELL_STATUSES])
+    statuses = ", ".join(sql_text(status) for status in CELL_STATUSES)
     payloads = []
     for number, (category, _) in enumerate(REPORT_CATEGORIES):
-        cells = []
-        for ordinal, (code, owner, _, _) in enumerate(REPORT_FIELD_TABLE, start=1):
-            if owner != category:
-                continue
-            place = key + ordinal
-            cell = F.struct(
-                F.lit(code).alias("field_code"),
-                F.element_at(statuses, (place % 7 + 1).cast("int")).alias("status"),
-                F.when(place % 3 == 0, F.concat(F.lit(" até "), text(place))).alias("limite_franquia"),
-                F.when(place % 4 == 0, F.lit(" | ressalva\n")).alias("exclusoes_condicoes"),
-                F.when(place % 5 != 0, F.concat(F.lit("doc "), text(key), F.lit(" · pág. "), F.lit(str(ordinal)))).alias("referencia"),
-                F.when(place % 6 == 0, F.lit("Interpretacao")).when(place % 6 == 1, F.lit("suposição")).alias("origem"),
-            )
-            cells.append(F.when(place % 4 != 1, cell))
-        listed = F.array_compact(F.array(*cells))
-        if number % 3 == 0:
-            payload = F.to_json(listed)
-        elif number % 3 == 1:
-            payload = F.to_json(F.struct(listed.alias("cells")))
-        else:
-            by_code = F.map_from_entries(F.transform(listed, lambda c: F.struct(c["field_code"].alias("k"), c.alias("v"))))
-            payload = F.to_json(by_code)
-        payloads.append(F.struct(F.lit(category).alias("category"), payload.alias("payload")))
-    return table(spark, folder, "supplier").select(text(key).alias("policy_id"), F.inline(F.array(*payloads)))
+        fields = [(i, row[0]) for i, row in enumerate(REPORT_FIELD_TABLE, start=1) if row[1] == category]
+        names = ", ".join(f"named_struct('o', {i}, 'c', {sql_text(code)})" for i, code in fields)
+        listed = f"""transform(filter(array({names}), f -> (s_suppkey + f.o) % 4 != 1), f -> named_struct(
+            'field_code', f.c,
+            'status', element_at(array({statuses}), cast((s_suppkey + f.o) % 7 + 1 as int)),
+            'limite_franquia', if((s_suppkey + f.o) % 3 = 0, concat(' até ', s_suppkey + f.o), null),
+            'exclusoes_condicoes', if((s_suppkey + f.o) % 4 = 0, ' | ressalva\\n', null),
+            'referencia', if((s_suppkey + f.o) % 5 != 0, concat('doc ', s_suppkey, ' · pág. ', f.o), null),
+            'origem', case (s_suppkey + f.o) % 6 when 0 then 'Interpretacao' when 1 then 'suposição' end))"""
+        shapes = [
+            listed,
+            f"named_struct('cells', {listed})",
+            f"map_from_entries(transform({listed}, c -> named_struct('k', c.field_code, 'v', c)))",
+        ]
+        payloads.append(f"named_struct('category', {sql_text(category)}, 'payload', to_json({shapes[number % 3]}))")
+    rows = F.expr("array(" + ", ".join(payloads) + ")")
+    return table(spark, folder, "supplier").select(text(F.col("s_suppkey")).alias("policy_id"), F.inline(rows))
 
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:

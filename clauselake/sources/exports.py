@@ -131,7 +131,8 @@ def report_lines(
 
     ``reports(report_id, policy_id, doc_order, profile_mode)``. Sorting by the
     five keys gives the document, so a report of any width is written without
-    gathering it: each line is produced where its data lies.
+    gathering it: each line is produced where its data lies. ``fields`` is the
+    fixed table of ninety fields.
     """
     label = F.concat(F.lit("Doc "), F.col("doc_order").cast("string"), F.lit(" ("), F.col("policy_id"), F.lit(")"))
     ids = reports.select("report_id", "profile_mode").distinct()
@@ -160,7 +161,7 @@ def report_lines(
     rule = F.lit("|" + "|".join([" --- "] * len(MATRIX_HEADERS)) + "|")
     parts.append(ids.select(*_line(5, [_at(F.lit(0))], header)))
     parts.append(ids.select(*_line(5, [_at(F.lit(0)), F.lit("1")], rule)))
-    named = cells.drop("category", "ordinal").join(fields, "field_code").join(reports, "policy_id")
+    named = cells.drop("category", "ordinal").join(F.broadcast(fields), "field_code").join(reports, "policy_id")
     matrix = row_line(
         escape_cell(F.col("category_label")), escape_cell(F.col("label")), escape_cell(F.col("importance")),
         escape_cell(label), escape_cell(F.col("status")),
