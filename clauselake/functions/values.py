@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from clauselake.catalog import CITATION_KEYS
 from clauselake.functions.text import fold, is_blank, strip
+from clauselake.plans.once import let
 
 RAW_KEYS = ["amount", "currency", "number", "unit", "date", "start", "end", "text", "value_text", *CITATION_KEYS]
 RAW_VALUE = "struct<" + ",".join(f"`{key}`:string" for key in RAW_KEYS) + ">"
@@ -76,18 +77,22 @@ def raw_from_text(field_type: Column, text: Column, original: Column | None = No
     """
     original_currency = F.lit(None).cast("string") if original is None else original["currency"]
     original_unit = F.lit(None).cast("string") if original is None else original["unit"]
-    dates = F.regexp_extract_all(text, F.lit(PERIOD_DATE), 1)
-    typed = (
-        F.when(field_type == "text", _raw(text=text))
-        .when(field_type == "number", _raw(number=text, unit=original_unit))
-        .when(field_type == "money", _raw(amount=text, currency=F.coalesce(original_currency, F.lit("BRL"))))
-        .when(field_type == "date", _raw(date=text))
-        .when(
-            (field_type == "period") & (F.size(dates) == 2),
-            _raw(start=F.get(dates, F.lit(0)), end=F.get(dates, F.lit(1))),
+
+    def typed(given: Column) -> Column:
+        dates = F.regexp_extract_all(given, F.lit(PERIOD_DATE), 1)
+        period = let(
+            dates, lambda found: F.when(F.size(found) == 2, _raw(start=F.get(found, F.lit(0)), end=F.get(found, F.lit(1))))
         )
-    )
-    return F.when(~is_blank(text), typed)
+        value = (
+            F.when(field_type == "text", _raw(text=given))
+            .when(field_type == "number", _raw(number=given, unit=original_unit))
+            .when(field_type == "money", _raw(amount=given, currency=F.coalesce(original_currency, F.lit("BRL"))))
+            .when(field_type == "date", _raw(date=given))
+            .when(field_type == "period", period)
+        )
+        return F.when(~is_blank(given), value)
+
+    return let(text, typed)
 
 
 def is_object(value_json: Column) -> Column:
@@ -103,9 +108,11 @@ def scalar_text(value_json: Column) -> Column:
 
 def parse_value(field_type: Column, value_json: Column) -> Column:
     """JSON value -> raw struct; scalars go through the typed-text rule."""
-    parsed = F.from_json(value_json, RAW_VALUE)
     null_currency = value_json.rlike(r'"currency"\s*:\s*null')
-    parsed = parsed.withField("currency", F.when(null_currency, F.lit("NONE")).otherwise(parsed["currency"]))
+    parsed = let(
+        F.from_json(value_json, RAW_VALUE),
+        lambda raw: raw.withField("currency", F.when(null_currency, F.lit("NONE")).otherwise(raw["currency"])),
+    )
     return F.when(is_object(value_json), parsed).otherwise(raw_from_text(field_type, scalar_text(value_json)))
 
 
