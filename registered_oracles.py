@@ -5,7 +5,6 @@ from __future__ import annotations
 from clauselake.catalog import (
     BREADTH_QUERIES,
     CHECKLIST,
-    COMPANY_HINTS,
     CONCLUSION_TITLES,
     CRITERION_CODES,
     FIELD_TABLE,
@@ -14,10 +13,8 @@ from clauselake.catalog import (
     RANKING_CRITERIA,
     REPORT_CATEGORIES,
     REPORT_FIELD_TABLE,
-    SCENARIO_CAVEAT,
     SENSITIVITY_SCENARIOS,
     STOPWORDS,
-    TITLE_MARKERS,
 )
 from clauselake.sources.derived import CELL_STATUSES
 
@@ -365,9 +362,19 @@ cost_v AS (
 
 COVERS = """
 covers AS (
-  SELECT c.c_custkey AS k, n.n_name AS raw_nation, upper(substr(n.n_name, 1, 1)) || lower(substr(n.n_name, 2)) AS nation, c.c_mktsegment AS seg, c.c_name, o.last
-  FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey
-  LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last FROM orders GROUP BY 1) o ON o.o_custkey = c.c_custkey)
+  SELECT c.c_custkey AS k, c.c_custkey::VARCHAR AS policy_id, c.c_nationkey AS scope, c.c_mktsegment AS seg, c.c_name, o.last,
+         upper(substr(c.c_mktsegment, 1, 1)) || lower(substr(c.c_mktsegment, 2)) AS seg_title,
+         CASE r.r_name WHEN 'MIDDLE EAST' THEN 'Middle East' ELSE upper(substr(r.r_name, 1, 1)) || lower(substr(r.r_name, 2)) END AS brand
+  FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey
+  LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last FROM orders GROUP BY 1) o ON o.o_custkey = c.c_custkey),
+read_names AS (
+  SELECT k, policy_id, 1 AS line_number, CASE WHEN k % 3 = 0 THEN brand || ' Seguros S.A.' ELSE brand END AS name, NULL::VARCHAR AS year FROM covers
+  UNION ALL SELECT k, policy_id, 2, brand || ' seguros', NULL FROM covers WHERE k % 4 = 0
+  UNION ALL SELECT k, policy_id, 3, NULL, year(last)::VARCHAR FROM covers WHERE last IS NOT NULL
+  UNION ALL SELECT k, policy_id, CASE WHEN last IS NULL THEN 3 ELSE 4 END, seg_title, NULL FROM covers WHERE k % 7 = 0),
+detected AS (
+  SELECT k, policy_id, CASE WHEN k % 3 = 0 THEN brand || ' Seguros S.A.' WHEN k % 4 = 0 THEN brand || ' seguros' ELSE brand END AS name, year(last)::VARCHAR AS year
+  FROM covers WHERE k % 7 <> 0)
 """
 
 # --- reports
@@ -430,6 +437,26 @@ def br(number: str, decimals: bool) -> str:
     )
 
 
+EVIDENCE_LINE = f"""'- [' || evidence_id || '] pág. ' || page_number || CASE WHEN coalesce(title, '') <> '' THEN ' seção ' || title ELSE '' END || ': "' || {QUOTED} || '"'"""
+EXTRACTION_HEAD = (
+    "Extraia os campos pedidos de uma apólice de seguro.\nDevolva apenas JSON, sem texto ao redor, na forma "
+    '{"facts": [{"field_code", "status", "value", "confidence", "evidence_ids", "requires_human_review"}]}.\n'
+    "status: FOUND, NOT_FOUND, AMBIGUOUS ou NEEDS_REVIEW.\nCite somente os identificadores de evidência listados abaixo.\n\n"
+)
+FINDINGS_HEAD = (
+    "Liste achados relevantes da apólice que não fazem parte do catálogo de campos.\nDevolva apenas JSON, sem texto ao redor, na forma "
+    '{"findings": [{"label", "value", "detail", "evidence_ids"}]}.\nCite somente os identificadores de evidência listados abaixo.\n\n## Seções\n'
+)
+EXPLANATION_HEAD = (
+    "Explique a um analista a diferença entre duas apólices.\nDevolva apenas JSON, sem texto ao redor, na forma "
+    '{"text", "evidence_ids"}.\nCite evidências dos dois lados quando houver.\n'
+)
+QUESTION_HEAD = (
+    "Responda à pergunta do analista apenas com base nas evidências.\nCite somente os identificadores de evidência listados abaixo.\n"
+    'Devolva apenas JSON, sem texto ao redor, na forma {"text", "evidence_ids"}.\n\n## Pergunta\n'
+)
+
+
 ORACLES: dict[str, str] = {
     "fold_text": f"SELECT doc_id, md5({fold('text')}) AS folded_md5, length({fold('text')})::INT AS folded_chars FROM documents",
     "parse_numbers": f"""SELECT o_orderkey, {printed_sql} AS raw, ({number_sql})::DECIMAL(38,10)::VARCHAR AS number,
@@ -583,6 +610,38 @@ ORACLES: dict[str, str] = {
         FROM events JOIN (VALUES ('click', 'RECEIVED', 0.0), ('view', 'TEXT_EXTRACTED', 0.3), ('signup', 'OCR_COMPLETED', 0.5), ('purchase', 'INDEXED', 1.0), ('error', 'FAILED', 0.0)) s(event_type, stage, progress) USING (event_type) GROUP BY user_id""",
     "failure_status": """SELECT doc_id::VARCHAR AS document_id, 'FAILED' AS stage, 0.0::DOUBLE AS progress, 'EVIDENCE_UNKNOWN: evidência desconhecida em ' || f.field_code || ' (reexecutável=' || CASE WHEN f.pos = 0 THEN 'True' ELSE 'False' END || ')' AS message
         FROM documents, (VALUES (0, 'limite_agregado'), (1, 'prazo_notificacao_sinistro'), (2, 'exclusoes_chave')) f(pos, field_code)""",
+    "insurer_candidates": f"WITH {COVERS} SELECT policy_id, 1::INT AS page_number, line_number::INT AS line_number, name, year FROM read_names",
+    "insurer_detection": f"WITH {COVERS} SELECT policy_id, name, year FROM detected",
+    "insurer_escalation": f"""WITH {COVERS} SELECT c.policy_id, CASE WHEN d.k IS NOT NULL THEN d.name WHEN c.k % 4 = 2 THEN c.c_name WHEN c.k % 8 <> 0 THEN 'Digitada ' || c.seg END AS name,
+        CASE WHEN d.k IS NOT NULL THEN d.year WHEN c.k % 4 = 2 THEN '2020' END AS year FROM covers c LEFT JOIN detected d USING (k)""",
+    "display_labels": f"""WITH {COVERS}, n AS (SELECT *, CASE WHEN k % 9 <> 0 THEN seg END AS name, coalesce(strftime(last, '%Y-%m'), '') AS y FROM covers),
+        g AS (SELECT scope, name, count(*) AS n, count(DISTINCT y) = count(*) AND bool_and(y <> '') AS by_year FROM n WHERE name IS NOT NULL GROUP BY 1, 2),
+        p AS (SELECT n.*, g.n AS size, g.by_year, row_number() OVER (PARTITION BY n.scope, n.name ORDER BY k) AS place FROM n LEFT JOIN g ON g.scope = n.scope AND g.name = n.name)
+        SELECT scope, policy_id, CASE WHEN name IS NULL THEN policy_id WHEN size = 1 THEN name WHEN by_year THEN name || ' ' || y WHEN place <= 26 THEN name || ' ' || chr((64 + place)::INT) ELSE name END AS label FROM p""",
+    "report_checklist": f"""WITH {CELLS}, m AS (SELECT *, status <> 'Não localizado' AS filled FROM cells),
+        per_code AS (SELECT s_nationkey AS n, field_code, count(*) FILTER (filled) AS c FROM m GROUP BY 1, 2),
+        r AS (SELECT s_nationkey AS n, count(DISTINCT k) AS policies, count(*) FILTER (category = 'coberturas_extensoes' AND status = 'Previsto' AND referencia IS NULL) = 0 AS extensions,
+              count(*) FILTER (category = 'custos_defesa' AND filled) > 0 AS defense, count(*) FILTER (category = 'exclusoes' AND exclusoes_condicoes IS NOT NULL) > 0 AS conditions,
+              count(*) FILTER (NOT filled AND origem <> 'nao_localizado') = 0 AS gaps, bool_and(k % 5 < 3) AS companies FROM m GROUP BY 1),
+        c AS (SELECT r.*, (SELECT bool_and(c > 0) FROM per_code p WHERE p.n = r.n AND field_code IN ('lmg', 'lmi', 'limite_agregado', 'sublimites')) AS limits,
+              (SELECT bool_and(c >= least(2, r.policies)) FROM per_code p WHERE p.n = r.n AND field_code IN ('base_ocorrencia_claims_made', 'notificacao_quem_prazo_forma')) AS notices,
+              (SELECT bool_and(c > 0) FROM per_code p WHERE p.n = r.n AND field_code IN ('protecao_direta_administrador_ab_side', 'protecao_sociedade_c_side')) AS sides FROM r)
+        SELECT 'r' || n AS report_id, i.item_order::INT AS item_order, i.item,
+          [n % 2 = 0, n % 3 = 0, extensions, limits, defense, notices, conditions, sides, companies, n % 4 = 0, n % 4 = 0 OR n % 3 = 0, gaps, n % 5 = 0, n % 6 = 0][i.item_order] AS ok
+        FROM c, (VALUES {", ".join(f"({i}, {lit(item)})" for i, (_, item) in enumerate(CHECKLIST, start=1))}) i(item_order, item)""",
+    "extraction_prompts": f"""WITH {READING}, e AS (SELECT policy_id, string_agg({EVIDENCE_LINE}, chr(10) ORDER BY rank) AS lines FROM reading GROUP BY 1),
+        p AS (SELECT policy_id, {lit(EXTRACTION_HEAD)} || {" || repeat(chr(10), 2) || ".join(f"'## Campo: {row[0]} (schema_version=1.0)' || chr(10) || lines" for row in FIELD_TABLE)} AS prompt FROM e)
+        SELECT policy_id, '1' AS prompt_version, substr(sha256(prompt), 1, 12) AS prompt_hash, length(prompt)::INT AS prompt_chars FROM p""",
+    "findings_prompts": f"""WITH {READING}, p AS (SELECT policy_id, {lit(FINDINGS_HEAD)} || string_agg({EVIDENCE_LINE}, chr(10) ORDER BY rank) AS prompt FROM reading GROUP BY 1)
+        SELECT policy_id, substr(sha256(prompt), 1, 12) AS prompt_hash, length(prompt)::INT AS prompt_chars FROM p""",
+    "explanation_prompts": f"""WITH {COMPARED}, ids AS (SELECT a, b, {COMPARISON_ID} AS comparison_id FROM pairs_v),
+        p AS (SELECT comparison_id, field_code, {lit(EXPLANATION_HEAD)} || 'Campo: ' || field_code || ' | resultado: ' || resultado || chr(10) || 'Lado A: ' || coalesce(valor_a, 'ausente') || ' | evidências: ' || coalesce(ev_a, '')
+          || chr(10) || 'Lado B: ' || coalesce(valor_b, 'ausente') || ' | evidências: ' || coalesce(ev_b, '') AS prompt FROM grid_v JOIN ids USING (a, b) WHERE resultado NOT IN ('IGUAL', 'AUSENTES_AMBOS'))
+        SELECT comparison_id, field_code, substr(sha256(prompt), 1, 12) AS prompt_hash, length(prompt)::INT AS prompt_chars FROM p""",
+    "question_prompts": f"""WITH {VECTORS}, {QUESTIONS}, asked AS MATERIALIZED (SELECT query_id, {embed('query')} AS v FROM questions), {search('asked', 5)},
+        e AS (SELECT query_id, string_agg('- [ev_' || chunk_id || '] pág. ' || page_number || CASE WHEN coalesce(section_name, '') <> '' THEN ' seção ' || section_name ELSE '' END || ': "' || quoted_text || '"', chr(10) ORDER BY rank) AS lines FROM hits GROUP BY 1),
+        p AS (SELECT query_id, {lit(QUESTION_HEAD)} || {strip('query')} || repeat(chr(10), 2) || '## Evidências' || chr(10) || lines AS prompt FROM questions JOIN e USING (query_id))
+        SELECT query_id, substr(sha256(prompt), 1, 12) AS prompt_hash, length(prompt)::INT AS prompt_chars FROM p""",
     "report_matrix": f"""WITH {CELLS} SELECT k::VARCHAR AS policy_id, ordinal::INT AS ordinal, field_code, category, status, limite_franquia, exclusoes_condicoes, NULL::VARCHAR AS impacto_pratico, NULL::VARCHAR AS impacto_financeiro, referencia, origem FROM cells""",
     "report_matrix_rejects": f"""WITH lmg AS (SELECT ordinal FROM {REPORT_FIELDS} WHERE field_code = 'lmg'), s AS (SELECT s_suppkey AS k, s_suppkey % 13 = 0 AND (s_suppkey + ordinal) % 4 <> 1 AS bad FROM supplier, lmg)
         SELECT k::VARCHAR AS policy_id, 90::BIGINT AS cells, NULL::VARCHAR AS error_code FROM s WHERE NOT bad UNION ALL SELECT k::VARCHAR, 0::BIGINT, 'LLM_SCHEMA_INVALID' FROM s WHERE bad""",

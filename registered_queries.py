@@ -733,16 +733,17 @@ def failure_status(spark, sf):
 
 
 def _covers(spark, sf):
-    """Customers as policies: a cover page whose lines come from the customer and its nation."""
-    nations = tables.table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    """Customers as policies: a cover page whose lines come from the customer and its region."""
+    regions = tables.table(spark, sf, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.initcap("r_name").alias("brand"))
+    nations = tables.table(spark, sf, "nation").join(regions, "n_regionkey").select(F.col("n_nationkey").alias("c_nationkey"), "brand")
     dates = tables.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("last"))
     key = F.col("c_custkey")
     base = tables.table(spark, sf, "customer").join(nations, "c_nationkey", "left").join(dates, "c_custkey", "left")
     cover = F.concat_ws(
         "\n",
         F.lit("[OCR/visão]"),
-        F.when(key % 3 == 0, F.concat(F.lit("** "), F.initcap("n_name"), F.lit("  Seguros S.A. -"))).otherwise(F.initcap("n_name")),
-        F.when(key % 4 == 0, F.concat(F.initcap("n_name"), F.lit(" seguros"))).otherwise(F.lit("Condições Gerais de Seguro")),
+        F.when(key % 3 == 0, F.concat(F.lit("** "), F.col("brand"), F.lit("  Seguros S.A. -"))).otherwise(F.col("brand")),
+        F.when(key % 4 == 0, F.concat(F.col("brand"), F.lit(" seguros"))).otherwise(F.lit("Condições Gerais de Seguro")),
         F.when(key % 5 == 0, F.concat(F.lit("Vigência: a partir de "), F.date_format("last", "yyyy"))).otherwise(
             F.concat(F.lit("emitida em "), F.date_format("last", "dd/MM/yyyy"))
         ),
