@@ -58,6 +58,17 @@ def _fold_rules() -> tuple[str, str, str, tuple[tuple[str, str], ...]]:
     return "".join(single), "".join(images), "".join(marks), tuple(expanding)
 
 
+def _char_class(chars: list[str]) -> str:
+    """Character class of sorted characters, with runs written as ranges."""
+    runs: list[list[int]] = []
+    for cp in sorted(map(ord, chars)):
+        if runs and cp == runs[-1][1] + 1:
+            runs[-1][1] = cp
+        else:
+            runs.append([cp, cp])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+
+
 def strip_accents(text: Column) -> Column:
     """NFKD without combining marks for Latin and compatibility characters.
 
@@ -65,7 +76,7 @@ def strip_accents(text: Column) -> Column:
     are replaced only in rows that still hold one after that.
     """
     single, images, marks, expanding = _fold_rules()
-    pattern = "[" + "".join(char for char, _ in expanding) + "]"
+    pattern = _char_class([char for char, _ in expanding])
     pairs = F.map_entries(literal_map(dict(expanding)))
 
     def expand(plain: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clauselake.catalog import COMPANY_HINTS, INSURER_HEADER_LINES, TITLE_MARKERS, YEAR_RANGE
 from clauselake.functions.text import collapse_spaces, strip
 from clauselake.operators.pages import LINE_BREAK
-from clauselake.plans.once import compute_once
+from clauselake.plans.once import compute_once, let
 from clauselake.plans.top_k import top_k
 
 # fixed values: patterns of tag lines, reference years, dates and digits
@@ -30,26 +30,25 @@ def content_lines(pages: DataFrame) -> DataFrame:
 
 def company_name(line: Column, in_header: Column) -> Column:
     """Plausible company name in a line, else null."""
-    text = F.trim(collapse_spaces(F.regexp_replace(strip(line), r"(?U)^\W+", "")), F.lit(" -:|\t"))
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    lowered = F.lower(text)
-
-    def has_any(needles: list[str]) -> Column:
-        found = F.lit(False)
-        for needle in needles:
-            found = found | F.contains(lowered, F.lit(needle))
-        return found
-
-    plausible = (
-        F.length(text).between(3, 60)
-        & F.size(F.split(text, " ")).between(1, 8)
-        & ~text.rlike(DIGIT)
-        & (letters >= 3)
-        & (letters / F.length(text) >= 0.55)
-        & ~has_any(TITLE_MARKERS)
-        & (has_any(COMPANY_HINTS) | (in_header & text.rlike(r"^\p{Lu}")))
-    )
-    return F.when(plausible, text)
+    cleaned = F.trim(collapse_spaces(F.regexp_replace(strip(line), r"(?U)^\W+", "")), F.lit(" -:|\t"))
+
+    def any_of(needles: list[str]) -> str:
+        return "|".join(needle.replace(".", "[.]") for needle in needles)
+
+    def accepted(text: Column) -> Column:
+        letters = F.regexp_count(text, F.lit(r"\p{L}"))
+        plausible = (
+            F.length(text).between(3, 60)
+            & F.size(F.split(text, " ")).between(1, 8)
+            & ~text.rlike(DIGIT)
+            & (letters >= 3)
+            & (letters / F.length(text) >= 0.55)
+            & ~F.lower(text).rlike(any_of(TITLE_MARKERS))
+            & (F.lower(text).rlike(any_of(COMPANY_HINTS)) | (in_header & text.rlike(r"^\p{Lu}")))
+        )
+        return F.when(plausible, text)
+
+    return let(cleaned, accepted)
 
 
 def line_year(line: Column) -> Column:
