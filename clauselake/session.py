@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -54,3 +55,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="spark-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
     context.setCheckpointDir(folder)
     return folder
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the library to the Python workers once per application; results are read in UTC."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    home = os.path.dirname(package)
+    archive = os.path.join(tempfile.mkdtemp(prefix="clauselake-"), "clauselake.zip")
+    with zipfile.ZipFile(archive, "w") as bundle:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    bundle.write(path, os.path.relpath(path, home))
+    spark.sparkContext.addPyFile(archive)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    _shipped.add(application)
