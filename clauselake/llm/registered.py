@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clauselake.llm import mixing
+from clauselake.llm import decontaminate, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,3 +27,38 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def op4_cube_mix(spark, sf):
     mixed = mixing.mix_sources(table(spark, sf, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op3_decontaminate(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    judged = decontaminate.judge(docs, table(spark, sf, "benchmark"))
+    return judged.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+ORACLES["op3_decontaminate"] = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+b AS (
+  SELECT item_id, w, least(len(w), 13) AS k FROM (
+    SELECT item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+    FROM benchmark) WHERE len(w) > 0),
+g AS (SELECT DISTINCT item_id, k, w[i : i + k - 1] AS gram FROM (SELECT item_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM b)),
+p AS (SELECT rid, k, i, w[i : i + k - 1] AS gram FROM (
+        SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM g) WHERE len(w) >= k)),
+h AS (SELECT p.rid, p.i, p.k, g.item_id FROM p JOIN g ON p.gram = g.gram AND p.k = g.k),
+c AS (SELECT rid, count(DISTINCT j) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS j FROM (SELECT DISTINCT rid, i, k FROM h)) GROUP BY rid),
+m AS (SELECT rid, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+      FROM (SELECT DISTINCT rid, item_id FROM h) GROUP BY rid)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(m.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(m.ids, '')) AS items_sha256,
+       coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN c USING (rid) LEFT JOIN m USING (rid)
+"""
