@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.llm import decontaminate, mixing
+from clauselake.llm import decontaminate, mixing, sanitize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,3 +62,13 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0)
        coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN c USING (rid) LEFT JOIN m USING (rid)
 """
+
+
+@query
+def op5_disclosure(spark, sf):
+    found = sanitize.find_spans(table(spark, sf, "documents").select("doc_id", "text"))
+    counts = [F.coalesce(F.size(kind), F.lit(0)).cast("long").alias(f"n_{kind}") for kind in sanitize.PATTERNS]
+    return found.select(
+        "doc_id", *counts, F.sha2(sanitize.span_list(list(sanitize.PATTERNS)), 256).alias("base_sha256"),
+        sanitize.span_list(sanitize.KINDS).alias("spans"),
+    )
