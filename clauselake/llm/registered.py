@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.llm import decontaminate, mixing, sanitize
+from clauselake.llm import decontaminate, mixing, sanitize, substrings, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,3 +72,32 @@ def op5_disclosure(spark, sf):
         "doc_id", *counts, F.sha2(sanitize.span_list(list(sanitize.PATTERNS)), 256).alias("base_sha256"),
         sanitize.span_list(sanitize.KINDS).alias("spans"),
     )
+
+
+@query
+def op2_rabin_karp(spark, sf):
+    left = substrings.remove_repeated_windows(table(spark, sf, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLES["op2_rabin_karp"] = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid,
+         coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+p AS (SELECT doc_id, rid, i, w[i : i + 19] AS gram FROM (SELECT doc_id, rid, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+r AS (SELECT rid, i FROM (
+        SELECT rid, i, rank() OVER (PARTITION BY gram ORDER BY doc_id, i) AS k FROM p) WHERE k > 1),
+c AS (SELECT DISTINCT rid, unnest(range(i, i + 20)) AS j FROM r),
+k AS (SELECT rid, list(j) AS gone FROM c GROUP BY rid),
+o AS (SELECT d.doc_id, d.w, coalesce(k.gone, []) AS gone FROM d LEFT JOIN k USING (rid))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN len(gone) = 0 THEN w
+         ELSE [x.v FOR x IN list_transform(w, lambda v, i: {'v': v, 'i': i}) IF NOT list_contains(gone, x.i)] END, ' ')) AS kept_sha256
+FROM o
+"""
+
+
+@query
+def op8_suffix_merge(spark, sf):
+    left = suffixes.remove_repeated_bytes(table(spark, sf, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
