@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.llm import decontaminate, mixing, sanitize, substrings, suffixes
+from clauselake.llm import decontaminate, mixing, neighbours, sanitize, substrings, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,3 +101,8 @@ FROM o
 def op8_suffix_merge(spark, sf):
     left = suffixes.remove_repeated_bytes(table(spark, sf, "documents"))
     return left.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op9_kmeans_tree(spark, sf):
+    return neighbours.nearest(table(spark, sf, "embeddings"))
