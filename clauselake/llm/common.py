@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,7 +90,7 @@ def slices(batches: Iterator[pa.RecordBatch] | pa.Table, limit: int = SLICE_BYTE
     for batch in batches.to_batches() if isinstance(batches, pa.Table) else batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.binary_length(batch.column("text").cast(pa.large_binary())).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(batch.column("text").cast(pa.large_binary())).fill_null(0).to_numpy(zero_copy_only=False)
         part = (np.cumsum(sizes) - sizes) // limit
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for begin, end in zip(cuts, cuts[1:], strict=False):

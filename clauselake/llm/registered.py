@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.llm import decontaminate, mixing, neighbours, sanitize, substrings, suffixes
+from clauselake.llm import decontaminate, hidden_markov, mixing, neighbours, sanitize, substrings, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,3 +106,9 @@ def op8_suffix_merge(spark, sf):
 @query
 def op9_kmeans_tree(spark, sf):
     return neighbours.nearest(table(spark, sf, "embeddings"))
+
+
+@query
+def op7_baum_welch(spark, sf):
+    learn = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 1
+    return hidden_markov.score_documents(table(spark, sf, "documents"), learn)
