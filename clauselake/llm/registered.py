@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.llm import decontaminate, hidden_markov, language_crf, mixing, neighbours, sanitize, substrings, suffixes
+from clauselake.llm import decontaminate, hidden_markov, language_crf, mixing, neighbours, quality, sanitize, substrings, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -119,3 +119,8 @@ def op1_crf_language(spark, sf):
     docs = table(spark, sf, "documents")
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
     return language_crf.identify(docs, remainder != 2, remainder == 2).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op6_kneser_ney(spark, sf):
+    return quality.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))[0]
