@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.llm import decontaminate, hidden_markov, language_crf, mixing, neighbours, quality, sanitize, substrings, suffixes
+from clauselake.llm import decontaminate, hidden_markov, language_crf, mixing, near_dedup, neighbours, quality, sanitize, substrings, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -124,3 +124,9 @@ def op1_crf_language(spark, sf):
 @query
 def op6_kneser_ney(spark, sf):
     return quality.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))[0]
+
+
+@query
+def op10_order_minhash(spark, sf):
+    found = near_dedup.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", "class_id", "shingles", "kept")
