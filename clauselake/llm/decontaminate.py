@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.llm.common import stored
+from clauselake.plans.once import compute_once
 
 WINDOW = 13
 MAX_BROADCAST_WINDOWS = 50_000
@@ -93,7 +94,7 @@ def covered(spans: Column) -> Column:
 def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
     """``docs`` with ``words``, ``spans`` (word positions of the occurrences, by start) and ``item_ids`` (by name)."""
     grams = stored(window_table(items, window), "windows")
-    tagged = docs.withColumn("words", words(F.col("text")))
+    tagged = compute_once(docs, words=words(F.col("text")))
     lengths = [row["length"] for row in grams.select("length").distinct().orderBy("length").collect()]  # window at most
     if grams.count() > broadcast_windows:
         return _joined(tagged, grams, lengths)
@@ -102,7 +103,7 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast
     for n in lengths:
         own = [row for row in known if row["length"] == n]
         found = F.concat(found, _occurrences(n, sorted({row["gram_hash"] for row in own}), sorted(row["gram"] for row in own)))
-    tagged = tagged.withColumn("spans", F.array_sort(found))
+    tagged = compute_once(tagged, spans=F.array_sort(found))
     names = F.from_json(F.lit(json.dumps([row["gram"] for row in known])), "array<string>")
     owners = F.from_json(F.lit(json.dumps([sorted(row["item_ids"]) for row in known])), "array<array<string>>")
     held = F.transform(
@@ -110,7 +111,7 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast
         lambda g: F.element_at(owners, F.array_position(names, g).cast("int")),
     )
     items_hit = F.when(F.size("spans") > 0, F.array_sort(F.array_distinct(F.flatten(held))))
-    return tagged.withColumn("item_ids", F.coalesce(items_hit, F.array().cast("array<string>")))
+    return compute_once(tagged, item_ids=F.coalesce(items_hit, F.array().cast("array<string>")))
 
 
 def _joined(tagged: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
@@ -140,10 +141,11 @@ def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int =
     A document is contaminated when at least one in ``share`` of its words is hit.
     """
     hits = find_hits(docs, items, window, **settings)
-    hits = hits.withColumns({"n_words": F.size("words").cast("long"), "n_hit": covered(F.col("spans")).cast("long")}).drop("words")
+    hits = compute_once(hits, n_words=F.size("words").cast("long"), n_hit=covered(F.col("spans")).cast("long")).drop("words")
     return hits.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
     """The documents that are not contaminated, with the columns of ``docs``."""
-    return judge(docs, items, window, share).filter(~F.col("contaminated")).select(*docs.columns)
+    core = docs.select("doc_id", "text", F.struct(*docs.columns).alias("whole"))
+    return judge(core, items, window, share).filter(~F.col("contaminated")).select("whole.*")
