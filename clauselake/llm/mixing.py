@@ -4,8 +4,9 @@ Every document of a source is taken ``floor(r)`` whole times, r being target ove
 with the remaining fraction as its inclusion probability. The flight phase moves the probabilities of three documents
 at a time along the null space of two constraints, the number of documents and the number of words, until one of the
 three is 0 or 1. It runs in chunks of bounded size; the at most two undecided documents of each chunk meet again in the
-next level, until one chunk per source is left. Its last two documents are landed by dropping first the word and then
-the document constraint, so a source's words miss their target by about one document.
+next level, until one chunk per source is left. There the last two documents of the flight are landed by dropping first
+the word and then the document constraint, and a small reserve of documents of at most average size is fitted to the
+words still wanted, so a source's words miss their target by less than a document.
 
 Defined results: a null or empty text has size 0 and is taken 0 words; a null source is a source of its own, last in
 order; a source whose size is 0 has target 0; repeated rows are documents of their own; an empty table gives no rows;
@@ -23,6 +24,7 @@ from clauselake.llm.common import stored
 
 CHUNK_ROWS = 4096
 NEAR = 1e-9
+LANDING = 20
 SIZE_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
@@ -54,13 +56,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cei
 
 
 def flight(sizes: list[float], chances: list[float], draws: np.random.Generator, land: bool) -> list[float]:
-    """Move inclusion chances until at most two are undecided; ``land`` decides those as well."""
-    chances = list(chances)
-    waiting = [i for i, p in enumerate(chances) if NEAR < p < 1 - NEAR]
-    for i, p in enumerate(chances):
-        if p <= NEAR or p >= 1 - NEAR:
-            chances[i] = round(p)
-    waiting.reverse()
+    """Move inclusion chances until at most two are undecided; ``land`` decides all.
+
+    For the landing, documents of at most average size are held back until they outweigh the largest one a few times.
+    The flight decides the others and the landing fits the reserve to the words that are then still wanted.
+    """
+    chances = [round(p) if p <= NEAR or p >= 1 - NEAR else p for p in chances]
+    waiting = [i for i, p in enumerate(chances) if 0 < p < 1]
+    reserve = _reserve(sizes, waiting, draws) if land else []
+    kept_back = set(reserve)
+    waiting = [i for i in reversed(waiting) if i not in kept_back]
+    wanted = sum(chances[i] * sizes[i] for i in [*waiting, *reserve])
+    moved = list(waiting)
     held: list[int] = []
     uniform = iter(draws.random(2 * len(waiting) + 8).tolist())
     while True:
@@ -72,7 +79,7 @@ def flight(sizes: list[float], chances: list[float], draws: np.random.Generator,
             if not any(move):
                 move = (1.0, -1.0, 0.0)
         elif not land or not held:
-            return chances
+            break
         else:
             move = (1.0, -1.0)[: len(held)]
         up, down = np.inf, np.inf
@@ -86,6 +93,34 @@ def flight(sizes: list[float], chances: list[float], draws: np.random.Generator,
             p = chances[i] + step * m
             chances[i] = 0.0 if p <= NEAR else 1.0 if p >= 1 - NEAR else p
         held = [i for i in held if 0.0 < chances[i] < 1.0]
+    if land:
+        _land(sizes, chances, reserve, wanted - sum(chances[i] * sizes[i] for i in moved), draws)
+    return chances
+
+
+def _reserve(sizes: list[float], waiting: list[int], draws: np.random.Generator) -> list[int]:
+    if not waiting:
+        return []
+    mean, largest = sum(sizes[i] for i in waiting) / len(waiting), max(sizes[i] for i in waiting)
+    reserve, total = [], 0.0
+    for i in draws.permutation([i for i in waiting if sizes[i] <= mean]).tolist():
+        if total >= 4 * largest:
+            break
+        reserve.append(i)
+        total += sizes[i]
+    return reserve
+
+
+def _land(sizes: list[float], chances: list[float], reserve: list[int], wanted: float, draws: np.random.Generator) -> None:
+    """Draw the reserve with the chance that fits what is still wanted; fit the last few, largest first."""
+    last = min(len(reserve), LANDING)
+    for place, i in enumerate(reserve[: len(reserve) - last]):
+        left = sum(sizes[j] for j in reserve[place:])
+        chances[i] = float(draws.random() * left < wanted)
+        wanted -= chances[i] * sizes[i]
+    for i in sorted(reserve[len(reserve) - last :], key=lambda i: (-sizes[i], i)):
+        chances[i] = float(wanted > sizes[i] / 2)
+        wanted -= chances[i] * sizes[i]
 
 
 def mix_sources(
@@ -146,3 +181,15 @@ def mix_sources(
         "doc_id", "source", "row_hash", "size", "source_size", "target", times.alias("times"),
         (F.col("size") * times).alias("taken"),
     )
+
+
+def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+    """The documents that the mix takes, with ``size``, ``source_size``, ``target``, ``times`` and ``taken``.
+
+    Equal rows share the greatest number of times that one of them is taken.
+    """
+    taken = mix_sources(docs, **settings).filter("times > 0")
+    taken = taken.groupBy(F.col("doc_id").alias("mix_id"), "row_hash", "size", "source_size", "target").agg(F.max("times").alias("times"))
+    whole = docs.select(F.struct(*docs.columns).alias("whole"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("doc_id", "text").alias("hash"))
+    joined = whole.join(taken, (whole["hash"] == taken["row_hash"]) & whole["id"].eqNullSafe(taken["mix_id"]))
+    return joined.select("whole.*", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
