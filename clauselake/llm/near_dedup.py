@@ -132,7 +132,7 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     """Shared over all shingles of the best alignment; 0 where it cannot reach ``least``."""
     m, n = len(a), len(b)
     wanted = least * (m + n) / (1 + least)
-    if min(m, n) < wanted - 1e-9:
+    if not m or not n or min(m, n) < wanted - 1e-9:
         return 0.0
     short = min(m, n)
     differs = np.flatnonzero(a[:short] != b[:short])
@@ -153,12 +153,12 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, similarity: float) ->
     """The pairs whose alignment reaches ``similarity``."""
     load = pairs.groupBy("other").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
     dealt = pairs.join(load, "other").select("doc", "other", F.pmod(F.xxhash64("doc"), "salts").cast("int").alias("salt"))
-    dealt = stored(dealt, "pairs")
+    dealt = stored(dealt, "pairs").hint("merge")  # pairs grow with the corpus: never broadcast, alike at every size
     texts = docs.select("doc_id", "text")
     left = texts.join(dealt, texts["doc_id"] == dealt["doc"]).select("doc", "other", "salt", F.col("text").alias("left"))
-    wanted = dealt.select(F.col("other").alias("id"), F.col("salt").alias("part")).distinct()
+    wanted = dealt.select(F.col("other").alias("id"), F.col("salt").alias("part")).distinct().hint("merge")
     right = texts.join(wanted, texts["doc_id"] == wanted["id"]).select("id", "part", F.col("text").alias("right"))
-    both = left.join(right, (left["other"] == right["id"]) & (left["salt"] == right["part"])).select("doc", "other", "left", "right")
+    both = left.join(right.hint("merge"), (left["other"] == right["id"]) & (left["salt"] == right["part"])).select("doc", "other", "left", "right")
 
     def sequences(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
         column = pa.record_batch([batch.column(name)], names=["text"])
