@@ -169,8 +169,8 @@ def read_comparison(comparisons: DataFrame, comparison: str) -> DataFrame:
 
 
 def differences(comparisons: DataFrame) -> DataFrame:
-    """O125: fields that differ or wait for review."""
-    return comparisons.filter(~F.col("resultado").isin("IGUAL", "AUSENTES_AMBOS"))
+    """O125: fields that differ, wait for review, or have no result because of an error."""
+    return comparisons.filter(~F.coalesce("resultado", F.lit("")).isin("IGUAL", "AUSENTES_AMBOS"))
 
 
 def citation_is_valid(text: Column, ids: Column, a: Column, b: Column) -> Column:

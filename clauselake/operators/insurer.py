@@ -9,7 +9,7 @@ from clauselake.catalog import COMPANY_HINTS, INSURER_HEADER_LINES, TITLE_MARKER
 from clauselake.functions.text import collapse_spaces, strip
 from clauselake.operators.pages import LINE_BREAK
 from clauselake.plans.once import compute_once, let
-from clauselake.plans.top_k import top_k
+from clauselake.plans.ranking import rank_by_sort
 
 # fixed values: patterns of tag lines, reference years, dates and digits
 TAG_LINE = r"^\[[^\]]+\]$"
@@ -121,14 +121,30 @@ def manual_override(info: DataFrame, manual: DataFrame) -> DataFrame:
     )
 
 
+def letter_number(number: Column) -> Column:
+    """1 -> A, 26 -> Z, 27 -> AA, and so on."""
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(7)),  # 26**7 exceeds any group
+        F.struct(number.cast("long").alias("rest"), F.lit("").alias("text")),
+        lambda acc, _: F.when(
+            acc["rest"] > 0,
+            F.struct(
+                F.floor((acc["rest"] - 1) / 26).cast("long").alias("rest"),
+                F.concat(F.char((acc["rest"] - 1) % 26 + 65), acc["text"]).alias("text"),
+            ),
+        ).otherwise(acc),
+        lambda acc: acc["text"],
+    )
+
+
 def display_labels(info: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Label per policy within a scope of policies shown together.
 
     ``info(policy_id, position, name, year)``. A unique name is its own label;
     shared names take their years when all are present and different, else the
-    letters A to Z in input order, after which the plain name stays. Without a
-    name the label is the policy id. Group sizes come from aggregates and the
-    letters from a top-26, so a name that most policies share is no hot task.
+    letters A to Z, AA, AB, ... in input order. Without a name the label is the
+    policy id. Group sizes come from aggregates and the letters from a
+    distributed rank of the keys, so a name that most policies share is no hot task.
     """
     keys = [*(scope or []), "name"]
     named = info.withColumn("name", F.coalesce("name", F.lit(""))).withColumn("year", F.coalesce("year", F.lit("")))
@@ -141,14 +157,12 @@ def display_labels(info: DataFrame, scope: list[str] | None = None) -> DataFrame
         *keys, ((F.col("__no_year") == 0) & (F.col("__years") == F.col("__n"))).alias("__by_year")
     )
     marked = named.join(shared, keys, "left")
-    letters = top_k(
+    letters = rank_by_sort(
         marked.filter(~F.col("__by_year")).select(*keys, "policy_id", "position"),
-        keys, [F.asc("position"), F.asc("policy_id")], 26, "__letter",
+        keys, [F.asc("position"), F.asc("policy_id")], "__letter",
     ).drop("position")
     labelled = marked.join(letters, [*keys, "policy_id"], "left")
-    suffix = F.when(F.col("__by_year"), F.col("year")).when(
-        F.col("__letter").isNotNull(), F.char(F.col("__letter") + 64)
-    )
+    suffix = F.when(F.col("__by_year"), F.col("year")).when(F.col("__letter").isNotNull(), letter_number(F.col("__letter")))
     return labelled.select(
         *(scope or []),
         "policy_id",

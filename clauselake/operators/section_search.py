@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from clauselake.catalog import (
     FIELD_TABLE,
-    MAX_QUOTED_CHARS,
     MAX_READING_SECTIONS,
     STOPWORDS,
     TOP_SECTIONS,
@@ -43,7 +42,8 @@ def overlap_score(query_terms: Column, text_terms: Column) -> Column:
     return F.when(F.size(query_terms) > 0, shared / F.size(query_terms)).otherwise(F.lit(0.0))
 
 
-def _evidence_columns() -> list[Column]:
+def _evidence_columns(quoted_chars: int | None = None) -> list[Column]:
+    """Evidence of a section; ``quoted_chars`` shortens the text for display, by default it stays whole."""
     return [
         "policy_id",
         F.concat(
@@ -53,12 +53,12 @@ def _evidence_columns() -> list[Column]:
         "page_number",
         "section_index",
         F.col("title").alias("section_name"),
-        truncate(F.col("text"), MAX_QUOTED_CHARS).alias("quoted_text"),
+        (truncate(F.col("text"), quoted_chars) if quoted_chars else F.col("text")).alias("quoted_text"),
         F.lit("PP_STRUCTURE").alias("source_type"),
     ]
 
 
-def rank_sections(sections: DataFrame, limit: int = TOP_SECTIONS) -> DataFrame:
+def rank_sections(sections: DataFrame, limit: int = TOP_SECTIONS, quoted_chars: int | None = None) -> DataFrame:
     """Best sections of a policy for every catalog field, zero scores included.
 
     The ten field queries are literals: each section computes its terms once and
@@ -85,17 +85,19 @@ def rank_sections(sections: DataFrame, limit: int = TOP_SECTIONS) -> DataFrame:
         pairs, ["policy_id", "field_code"],
         [F.desc("retrieval_score"), F.asc("page_number"), F.asc("section_index")], limit,
     )
-    texts = sections.select(*_evidence_columns())
+    texts = sections.select(*_evidence_columns(quoted_chars))
     return best.join(texts, ["policy_id", "page_number", "section_index"]).select(
         "policy_id", "field_code", "rank", "evidence_id", "page_number", "section_name", "quoted_text",
         "retrieval_score", "source_type",
     )
 
 
-def reading_order_evidence(sections: DataFrame, limit: int = MAX_READING_SECTIONS) -> DataFrame:
+def reading_order_evidence(
+    sections: DataFrame, limit: int = MAX_READING_SECTIONS, quoted_chars: int | None = None
+) -> DataFrame:
     """First sections of a policy in reading order, without a score."""
     first = top_k(sections, ["policy_id"], [F.asc("page_number"), F.asc("section_index")], limit)
-    return first.select("rank", *_evidence_columns(), F.lit(None).cast("double").alias("retrieval_score"))
+    return first.select("rank", *_evidence_columns(quoted_chars), F.lit(None).cast("double").alias("retrieval_score"))
 
 
 def section_feed(evidence: DataFrame) -> DataFrame:

@@ -69,19 +69,19 @@ def number_cell(number: Column) -> Column:
 
 def _line(section: int, order: list[Column], text: Column) -> list[Column]:
     """Section number, three sort keys and the line."""
-    keys = [*order, *[F.lit("")] * (3 - len(order))]
+    keys = [*order, *[F.lit(-1)] * (3 - len(order))]
     return [
         "report_id", F.lit(section).alias("section"),
-        *[F.coalesce(k.cast("string"), F.lit("")).alias(f"k{i}") for i, k in enumerate(keys, start=1)],
+        *[F.coalesce(k.cast("bigint"), F.lit(-1)).alias(f"k{i}") for i, k in enumerate(keys, start=1)],
         text.alias("line"),
     ]
 
 
 def _at(number: Column) -> Column:
-    """Sortable text of a small number."""
-    return F.lpad(number.cast("string"), 8, "0")
+    return number.cast("bigint")
 
 
+LAST = 1 << 62  # sort key behind all numbers
 MATRIX_HEADERS = [
     "Categoria", "Campo", "Importância", "Documento", "Status de contratação", "Limite/franquia",
     "Exclusões e condições", "Impacto prático", "Impacto financeiro", "Referência documental",
@@ -93,15 +93,20 @@ IDENTIFICATION_FIELDS = [
     ("secoes_natureza", "Seções/natureza"), ("coberturas_descritas", "Coberturas descritas"),
     ("limitacoes", "Limitações"), ("ausentes", "Ausentes"),
 ]
+# The note on traceability that closes every report, line by line.
 TRACE_LINES = [
-    "Toda célula com status diferente de \"Não localizado\" traz referência documental (arquivo/página/seção);",
-    "sem referência, a célula passa a \"Requer confirmação\".",
     "",
-    "- **fato:** trecho localizado no documento;",
-    "- **interpretacao:** leitura do texto, com referência;",
-    "- **inferencia:** deduzida de outros trechos, a revisar;",
-    "- **nao_localizado:** ausência nos documentos analisados;",
-    "- **requer_confirmacao:** sem lastro suficiente, a confirmar.",
+    "Toda célula com status diferente de \"Não localizado\" carrega referência documental",
+    "(arquivo/página/seção); célula sem lastro documental foi rebaixada para",
+    "\"Requer confirmação\" — nada de afirmação sem fonte.",
+    "",
+    "- **fato:** trecho localizado no documento analisado;",
+    "- **interpretacao:** leitura do texto pelo analista/agente (com referência);",
+    "- **inferencia:** derivada de outros trechos — revisar antes de decidir;",
+    "- **nao_localizado:** ausência no conjunto de documentos analisados — a ausência",
+    "  é sempre relativa aos documentos analisados (rótulo oficial \"Não localizado\");",
+    "- **requer_confirmacao:** sem lastro documental suficiente; confirmar com o corretor.",
+    "",
 ]
 HEADINGS = {
     1: "## 1. Identificação dos documentos analisados",
@@ -155,12 +160,12 @@ def report_lines(
     ]
     for section, text in HEADINGS.items():
         heading = F.concat(F.lit("\n" + text + "\n"))
-        parts.append(ids.select(*_line(section, [F.lit("")], heading)))
+        parts.append(ids.select(*_line(section, [F.lit(-1)], heading)))
 
     header = row_line(*[F.lit(h) for h in MATRIX_HEADERS])
     rule = F.lit("|" + "|".join([" --- "] * len(MATRIX_HEADERS)) + "|")
     parts.append(ids.select(*_line(5, [_at(F.lit(0))], header)))
-    parts.append(ids.select(*_line(5, [_at(F.lit(0)), F.lit("1")], rule)))
+    parts.append(ids.select(*_line(5, [_at(F.lit(0)), F.lit(1)], rule)))
     named = cells.drop("category", "ordinal").join(F.broadcast(fields), "field_code").join(reports, "policy_id")
     matrix = row_line(
         escape_cell(F.col("category_label")), escape_cell(F.col("label")), escape_cell(F.col("importance")),
@@ -199,7 +204,7 @@ def report_lines(
     if scenarios is not None:
         heads = scenarios.select("report_id", "scenario_order", "name", "caveat").distinct()
         parts.append(heads.select(*_line(7, [_at(F.col("scenario_order"))], F.concat(F.lit("### "), F.col("name")))))
-        parts.append(heads.select(*_line(7, [_at(F.col("scenario_order")), F.lit("~")], F.concat(F.lit("> "), F.col("caveat")))))
+        parts.append(heads.select(*_line(7, [_at(F.col("scenario_order")), F.lit(LAST)], F.concat(F.lit("> "), F.col("caveat")))))
         shown = F.when(F.col("finding") == "", F.lit(DASH)).otherwise(F.col("finding"))
         finding = F.concat(F.lit("- **"), label, F.lit(":** "), shown)
         parts.append(scenarios.select(*_line(7, [_at(F.col("scenario_order")), _at(F.col("doc_order"))], finding)))
@@ -210,7 +215,7 @@ def report_lines(
         parts.append(ranking.select(*_line(8, [_at(F.col("scenario_ordinal")), _at(F.col("rank"))], placed)))
     if guard is not None:
         note = F.concat(F.lit("> **Ranking informativo, sem vencedora geral** — "), F.col("reason"))
-        parts.append(guard.filter("informative_only").select(*_line(8, [F.lit("~")], note)))
+        parts.append(guard.filter("informative_only").select(*_line(8, [F.lit(LAST)], note)))
     if conclusions is not None:
         parts.append(
             conclusions.select(

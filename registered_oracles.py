@@ -113,7 +113,7 @@ sections AS (
   SELECT policy_id, page_number, row_number() OVER (PARTITION BY policy_id, page_number ORDER BY block) - 1 AS section_index, title, text
   FROM bodies WHERE text <> '')
 """
-QUOTED = "CASE WHEN length(text) > 4000 THEN substr(text, 1, 4000) || '…' ELSE text END"
+QUOTED = "text"
 EVIDENCE_ID = "'ev_md_' || policy_id || ':p' || page_number || ':s' || section_index"
 READING = f"""
 {SECTIONS},
@@ -397,7 +397,7 @@ cells AS (
          WHEN p % 6 = 0 THEN 'interpretacao' WHEN raw_status = 'Não localizado' THEN 'nao_localizado' ELSE 'fato' END AS origem
   FROM raw_cells)
 """
-WEIGHTS = "(VALUES " + ", ".join(f"({i}, {lit(code)}, {weight})" for i, (code, weight, _, _) in enumerate(RANKING_CRITERIA, start=1)) + ") w(ordinal, criterion, weight)"
+WEIGHTS = "(VALUES " + ", ".join(f"({i}, {lit(code)}, {weight})" for i, (code, weight, _) in enumerate(RANKING_CRITERIA, start=1)) + ") w(ordinal, criterion, weight)"
 SCENARIOS = "(VALUES " + ", ".join(
     f"({lit(name)}, {i}, {weight} * 100 / {sum(weights)})"
     for name, weights in SENSITIVITY_SCENARIOS.items() for i, weight in enumerate(weights, start=1)
@@ -512,6 +512,10 @@ ORACLES: dict[str, str] = {
     "vector_topk": """WITH e AS (SELECT vec_id::VARCHAR AS id, embedding::DOUBLE[] AS v FROM embeddings)
         SELECT query_id, rank::INT AS rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
         FROM (SELECT q.id AS query_id, c.id AS chunk_id, round(list_cosine_similarity(q.v, c.v), 6) + 0.0 AS score FROM e q, e c)) WHERE rank <= 5""",
+    "vector_topk_wide": """WITH e AS (SELECT vec_id, vec_id::VARCHAR AS id, embedding::DOUBLE[] AS v, label FROM embeddings)
+        SELECT query_id, rank::INT AS rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+        FROM (SELECT q.id AS query_id, q.vec_id % 51 AS k, c.id AS chunk_id, round(list_cosine_similarity(q.v, c.v), 6) + 0.0 AS score FROM e q JOIN e c ON q.vec_id % 2 = 0 OR q.label = c.label WHERE q.vec_id % 50 < 3)) WHERE rank <= k""",
+    "retrieval_rejects": "SELECT conv_id || '.' || turn AS query_id, CASE WHEN coalesce(length(text), 0) < 1 THEN 'QUERY_EMPTY' ELSE 'TOP_K_OUT_OF_RANGE' END AS error_code FROM conversations WHERE coalesce(length(text), 0) < 1 OR NOT (turn * 9 BETWEEN 1 AND 20)",
     "vector_topk_filtered": """WITH e AS (SELECT vec_id::VARCHAR AS id, embedding::DOUBLE[] AS v, label FROM embeddings)
         SELECT query_id, rank::INT AS rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
         FROM (SELECT q.id AS query_id, c.id AS chunk_id, round(list_cosine_similarity(q.v, c.v), 6) + 0.0 AS score FROM e q JOIN e c USING (label))) WHERE rank <= 3""",
@@ -617,7 +621,7 @@ ORACLES: dict[str, str] = {
     "display_labels": f"""WITH {COVERS}, n AS (SELECT *, CASE WHEN k % 9 <> 0 THEN seg END AS name, coalesce(strftime(last, '%Y-%m'), '') AS y FROM covers),
         g AS (SELECT scope, name, count(*) AS n, count(DISTINCT y) = count(*) AND bool_and(y <> '') AS by_year FROM n WHERE name IS NOT NULL GROUP BY 1, 2),
         p AS (SELECT n.*, g.n AS size, g.by_year, row_number() OVER (PARTITION BY n.scope, n.name ORDER BY k) AS place FROM n LEFT JOIN g ON g.scope = n.scope AND g.name = n.name)
-        SELECT scope, policy_id, CASE WHEN name IS NULL THEN policy_id WHEN size = 1 THEN name WHEN by_year THEN name || ' ' || y WHEN place <= 26 THEN name || ' ' || chr((64 + place)::INT) ELSE name END AS label FROM p""",
+        SELECT scope, policy_id, CASE WHEN name IS NULL THEN policy_id WHEN size = 1 THEN name WHEN by_year THEN name || ' ' || y ELSE name || ' ' || CASE WHEN place > 702 THEN chr((65 + (place - 703) // 676 % 26)::INT) ELSE '' END || CASE WHEN place > 26 THEN chr((65 + (place - 27) // 26 % 26)::INT) ELSE '' END || chr((65 + (place - 1) % 26)::INT) END AS label FROM p""",
     "report_checklist": f"""WITH {CELLS}, m AS (SELECT *, status <> 'Não localizado' AS filled FROM cells),
         per_code AS (SELECT s_nationkey AS n, field_code, count(*) FILTER (filled) AS c FROM m GROUP BY 1, 2),
         r AS (SELECT s_nationkey AS n, count(DISTINCT k) AS policies, count(*) FILTER (category = 'coberturas_extensoes' AND status = 'Previsto' AND referencia IS NULL) = 0 AS extensions,

@@ -35,9 +35,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-QUERIES_DEF = None
-
-
 def query(build: Query) -> Query:
     QUERIES[build.__name__] = build
     return build
@@ -254,6 +251,27 @@ def vector_topk_filtered(spark, sf):
     return vector_search.cosine_top_k(stored, asked)
 
 
+@query
+def vector_topk_wide(spark, sf):
+    """Limits from 0 (rejected, no hits) to 50; half of the queries filter."""
+    stored = _embedding_chunks(spark, sf)
+    number = F.col("chunk_id").cast("long")
+    asked = stored.filter(number % 50 < 3).select(
+        F.col("chunk_id").alias("query_id"), "vector", F.when(number % 2 == 1, F.col("policy_id")).alias("policy_id"),
+        (number % 51).cast("int").alias("top_k"),
+    )
+    return vector_search.cosine_top_k(stored, asked)
+
+
+@query
+def retrieval_rejects(spark, sf):
+    asked = tables.table(spark, sf, "conversations").select(
+        F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"),
+        F.col("text").alias("query"), (F.col("turn") * 9).cast("int").alias("top_k"),
+    )
+    return vector_search.invalid_queries(asked).select("query_id", "error_code")
+
+
 def _indexed_chunks(spark, sf):
     cut = chunks.chunk_pages(pages.resolve_page_text(derived.pages(spark, sf)))
     return embedding.with_hashed_embedding(cut)

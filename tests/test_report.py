@@ -104,7 +104,7 @@ def test_insurer_reading(spark):
     info = spark.createDataFrame(labels, "policy_id string, position int, name string, year string")
     shown = {r["policy_id"]: r["label"] for r in insurer.display_labels(info).collect()}
     assert [shown[k] for k in "abcdef"] == ["X 2024", "X 2025", "c", "Y A", "Y B", "Z"]
-    assert shown["n00"] == "Comum A" and shown["n25"] == "Comum Z" and shown["n26"] == "Comum" and len(shown) == 36
+    assert shown["n00"] == "Comum A" and shown["n25"] == "Comum Z" and shown["n26"] == "Comum AA" and shown["n29"] == "Comum AD" and len(shown) == 36
 
 
 def test_usage(spark):

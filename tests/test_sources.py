@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from clauselake.operators import evaluation, facts, status
-from clauselake.sources import derived, exports, tables
+from clauselake.sources import derived, exports, html, tables
 from clauselake.streaming import ingest
 
 C = F.col
@@ -105,11 +105,25 @@ def test_report_lines_sort_into_a_document(spark, sf, tmp_path):
     lines = QUERIES["report_markdown"](spark, sf)
     report = lines.groupBy("report_id").count().orderBy("report_id").first()["report_id"]
     ordered = [r["line"] for r in lines.filter(C("report_id") == report).orderBy("section", "k1", "k2", "k3").collect()]
-    assert ordered[0] == "# Relatório D&O — Comparação de Apólices" and ordered[-1].startswith("- **requer_confirmacao")
+    assert ordered[0] == "# Relatório D&O — Comparação de Apólices" and ordered[-2].startswith("- **requer_confirmacao")
     assert sum(line.startswith("- ✓") or line.startswith("- ✗") for line in ordered) == 14
     assert sum("Crítica |" in line for line in ordered) > 0
 
 
+def test_report_lines_sort_by_number(spark):
+    keys = [9, 10, 99_999_999, 100_000_000, 1_234_567_890]
+    rows = spark.createDataFrame([(k,) for k in reversed(keys)], "n bigint")
+    lines = rows.withColumn("report_id", F.lit("r")).select(*exports._line(5, [exports._at(C("n"))], C("n").cast("string")))
+    assert [int(r["line"]) for r in lines.orderBy("section", "k1", "k2", "k3").collect()] == keys
+
+
+def test_nested_and_unclosed_tables():
+    page = "<table><tr><td>a<td>b<tr><th>c</th><td>x<table><tr><td>n1<td>n2</table>y</td></table><h2>T</h2>p<br>q<script>no</script>"
+    assert [(r["kind"], r["text"]) for r in html.parse_regions(page)] == [
+        ("table", "a\tb\nc\tx n1 n2 y"), ("heading", "T"), ("text", "p"), ("text", "q")]
+    assert html.parse_regions("<table><tr><td>open")[0]["text"] == "open" and html.parse_regions(None) == []
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as contract
 
