@@ -50,6 +50,19 @@ def with_group(docs: DataFrame, groups: int) -> DataFrame:
     )
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``, the other columns under names that no operator uses."""
+    rest = [name for name in docs.columns if name not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", *[F.col(f"`{name}`").alias(f"__carried_{i}") for i, name in enumerate(rest)])
+
+
+def restored(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again, ``text`` as it is now."""
+    rest = [name for name in docs.columns if name not in ("doc_id", "text")]
+    names = {name: f"__carried_{i}" for i, name in enumerate(rest)}
+    return df.select(*[F.col(names.get(name, name)).alias(name) for name in docs.columns])
+
+
 class Slice:
     """Texts of some rows as one byte array; ``offsets`` has a bound more than rows. Null texts are empty."""
 

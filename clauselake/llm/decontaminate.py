@@ -19,7 +19,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauselake.llm.common import stored
+from clauselake.llm.common import carried, restored, stored
 from clauselake.plans.once import compute_once
 
 WINDOW = 13
@@ -147,5 +147,4 @@ def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int =
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
     """The documents that are not contaminated, with the columns of ``docs``."""
-    core = docs.select("doc_id", "text", F.struct(*docs.columns).alias("whole"))
-    return judge(core, items, window, share).filter(~F.col("contaminated")).select("whole.*")
+    return restored(judge(carried(docs), items, window, share).filter(~F.col("contaminated")), docs)
