@@ -62,7 +62,9 @@ def test_query(spark, sf):
         assert r["source_size"] == sizes[source] and r["target"] == pytest.approx(targets[source])
         assert r["taken"] in (0, r["size"], 2 * r["size"])
         taken[source] = taken.get(source, 0) + r["taken"]
-    assert all(abs(taken[s] - targets[s]) <= 0.05 * targets[s] + 400 for s in sizes)
+    # Ten documents a source: no choice of whole documents comes nearer for certain than half of the largest one.
+    largest = {s: max(len((r["text"] or "").split()) for r in texts.values() if r["source"] == s) for s in sizes}
+    assert all(abs(taken[s] - targets[s]) <= 0.05 * targets[s] + largest[s] / 2 for s in sizes), [(taken[s], targets[s], largest[s]) for s in sizes]
 
 
 def test_chunks_and_cases(frame):

@@ -107,7 +107,12 @@ def test_copies_disclose_nothing(frame):
     assert all(r["term"] == [] for r in found.collect())
 
 
-def test_empty_table_and_extra_columns(frame):
-    empty = frame([], "doc_id bigint, text string, term string, word string, merged int")
-    assert sanitize.sanitize(empty.select("doc_id", "text")).collect() == []
-    assert sanitize.find_spans(empty.select("doc_id", "text")).collect() == []
+def test_extra_columns_with_clashing_names(frame):
+    rows = [(i, t, "t", "w", 3, "en") for i, t in disclosing()]
+    docs = frame(rows, "doc_id bigint, text string, term string, word string, merged int, lang string")
+    clean = sanitize.sanitize(docs, exposure=0.7)
+    assert clean.columns == docs.columns
+    assert {tuple(r)[2:] for r in clean.collect()} == {("t", "w", 3, "en")}
+    assert (0, "alphaa betaa [TERM] [EMAIL] gammaa the end") in {tuple(r)[:2] for r in clean.select("doc_id", "text").collect()}
+    assert sanitize.sanitize(docs.limit(0)).collect() == []
+    assert sanitize.find_spans(docs.limit(0).select("doc_id", "text")).collect() == []
