@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauselake.llm.common import stored
+from clauselake.llm.common import carried, restored, stored
+from clauselake.plans.once import compute_once
 
 # Fixed values of the contract: kinds in order and their patterns, written so that no match attempt is repeated.
 PATTERNS = {
@@ -115,7 +116,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
         worth = digit if kind != "email" else F.lit(True)
         worth = worth & F.contains("text", F.lit(mark)) if mark else worth
         found[kind] = F.when(worth, _checked(located(F.col("text"), pattern), CHECKS[kind])).otherwise(F.array().cast(SPANS))
-    return docs.withColumns(found)
+    return compute_once(docs, **found)
 
 
 def _checked(spans: Column, valid) -> Column:
@@ -150,13 +151,18 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, reach: int, support: int
     said = stored(mentions(found, reach), "mentions")
     entities = said.groupBy("kind", "value").agg(F.count_distinct("text_hash").alias("n_e"))
     entities = entities.filter(F.col("n_e") >= support)
+    documents = F.broadcast(docs.select(F.count_distinct(F.xxhash64("text")).alias("n")))  # one row
     pairs = (
         said.join(entities, ["kind", "value"], "left_semi")
         .select("kind", "value", F.xxhash64("context").alias("context_hash"), F.explode(F.array_distinct("context")).alias("term"))
         .groupBy("kind", "value", "term").agg(F.count_distinct("context_hash").alias("n_et"))
         .filter(F.col("n_et") >= support)
     )
-    pairs = stored(pairs.join(entities, ["kind", "value"]), "pairs")
+    # The texts that hold a term near some entity are a lower bound of n_t: most common terms fail by it alone.
+    seen = said.select("text_hash", F.explode(F.array_distinct("context")).alias("term"))
+    seen = seen.groupBy("term").agg(F.count_distinct("text_hash").alias("n_t"))
+    pairs = pairs.join(entities, ["kind", "value"]).crossJoin(documents)
+    pairs = stored(pairs.join(seen, "term").filter(_discloses(exposure)).drop("n_t"), "pairs")
     near = pairs.select("term").distinct()
     some = near.limit(BROADCAST_TERMS + 1).count()
     if not some:
@@ -164,10 +170,12 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, reach: int, support: int
     known = F.broadcast(near) if some <= BROADCAST_TERMS else near
     terms = docs.select(F.xxhash64("text").alias("text_hash"), F.explode(F.array_distinct(term_list(F.col("text")))).alias("term"))
     counted = terms.join(known, "term", "left_semi").groupBy("term").agg(F.count_distinct("text_hash").alias("n_t"))
-    documents = docs.select(F.count_distinct(F.xxhash64("text")).alias("n"))
-    scored = pairs.join(counted, "term").crossJoin(F.broadcast(documents))  # one row
+    return pairs.join(counted, "term").filter(_discloses(exposure)).select("term").distinct()
+
+
+def _discloses(exposure: float) -> Column:
     pmi = F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t")))
-    return scored.filter(pmi >= exposure * F.log2(F.col("n") / F.col("n_e"))).select("term").distinct()
+    return pmi >= exposure * F.log2(F.col("n") / F.col("n_e"))
 
 
 def find_spans(docs: DataFrame, reach: int = 5, support: int = 3, exposure: float = 0.9) -> DataFrame:
@@ -183,7 +191,7 @@ def find_spans(docs: DataFrame, reach: int = 5, support: int = 3, exposure: floa
         known = sorted(row["term"] for row in terms.collect())  # at most BROADCAST_TERMS terms
         held = F.exists(term_list(F.col("text")), lambda t: t.isin(known))
         word = F.filter(located(F.col("text"), TERM), lambda w: F.lower(w["value"]).isin(known))
-        return found.withColumn("word", F.when(held, word).otherwise(F.array().cast(SPANS))).withColumn("term", outside).drop("word")
+        return compute_once(compute_once(found, word=F.when(held, word).otherwise(F.array().cast(SPANS))), term=outside).drop("word")
     spread = found.withColumn("row", F.xxhash64("doc_id", "text"))
     held = spread.select("row", F.inline(located(F.col("text"), TERM))).distinct().withColumn("term", F.lower("value")).join(terms, "term", "left_semi")
     words = held.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "value"))).alias("word"))
@@ -205,7 +213,7 @@ def sanitize(docs: DataFrame, **settings) -> DataFrame:
 
     Overlapping spans are replaced once, under the kind of the first.
     """
-    found = find_spans(docs, **settings)
+    found = find_spans(carried(docs), **settings)
     every = F.array_sort(F.concat(*[_named(kind) for kind in KINDS]))
     merged = F.aggregate(
         every, F.array().cast("array<struct<start:int,stop:int,kind:string>>"),
@@ -224,7 +232,7 @@ def sanitize(docs: DataFrame, **settings) -> DataFrame:
     )
     tail = F.substr("text", F.element_at(from_stop, -1) + 1, F.char_length("text"))
     clean = F.when(F.size("merged") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col("text"))
-    return found.withColumn("merged", merged).withColumn("text", clean).select(*docs.columns)
+    return restored(compute_once(found, merged=merged).withColumn("text", clean), docs)
 
 
 def _named(kind: str) -> Column:
