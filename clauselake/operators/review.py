@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauselake.catalog import REVIEW_DECISIONS, field_attribute
-from clauselake.functions.text import is_blank
 from clauselake.functions.values import is_object, normalize_value, parse_value, raw_from_text, scalar_text
 from clauselake.operators.facts import field_rules
-from clauselake.plans.once import compute_once
+from clauselake.plans.once import compute_once, let
 
 
 def pending_queue(facts: DataFrame) -> DataFrame:
@@ -30,9 +29,18 @@ def _checked_decisions(facts: DataFrame, decisions: DataFrame) -> DataFrame:
     joined = decisions.join(target, "fact_id", "left")
     field_type = field_attribute(F.col("__code"), "field_type")
     given = F.col("value_json").isNotNull() & (F.trim("value_json") != "null")
-    typed = raw_from_text(field_type, scalar_text(F.col("value_json")), F.col("__original"))
-    value = F.when(is_object(F.col("value_json")), parse_value(field_type, F.col("value_json"))).otherwise(typed)
     corrected = F.col("decision") == "CORRIGIDO"
+    # A typed value takes currency and unit from the fact as the decisions before it left it. Typed corrections keep
+    # both, so only accepted objects change them, and whether an object is accepted does not depend on its order.
+    joined = compute_once(joined, __own=F.when(corrected & is_object(F.col("value_json")), parse_value(field_type, F.col("value_json"))))
+    sound = normalize_value(field_type, F.col("__own"))
+    accepted = let(sound, lambda n: n.isNotNull() & (F.size(field_rules(F.col("__code"), field_type, n)) == 0))
+    joined = compute_once(joined, __sets=F.when(F.col("__own").isNotNull() & accepted, F.struct("__own.currency", "__own.unit")))
+    before = Window.partitionBy("fact_id").orderBy("decided_at", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    current = F.coalesce(F.last("__sets", ignorenulls=True).over(before), F.col("__original"))  # a fact's few human decisions
+    joined = joined.withColumn("__current", current)
+    typed = raw_from_text(field_type, scalar_text(F.col("value_json")), F.col("__current"))
+    value = F.when(is_object(F.col("value_json")), F.col("__own")).otherwise(typed)
     joined = compute_once(joined, __value=F.when(corrected & given, value))
     joined = compute_once(joined, __normalized=normalize_value(field_type, F.col("__value")))
     rules = field_rules(F.col("__code"), field_type, F.col("__normalized"))
@@ -46,7 +54,7 @@ def _checked_decisions(facts: DataFrame, decisions: DataFrame) -> DataFrame:
     rule_names = F.array_join(F.transform(rules, lambda violation: violation["rule"]), ", ")
     checked = compute_once(joined, reason=reason, __rule_names=rule_names)
     return checked.withColumn("rules", F.when(F.col("reason") == "RULE_VIOLATION", F.col("__rule_names"))).drop(
-        "__rule_names"
+        "__rule_names", "__own", "__sets", "__current"
     )
 
 
@@ -54,8 +62,8 @@ def apply_decisions(facts: DataFrame, decisions: DataFrame) -> tuple[DataFrame,
     """(facts after review, rejected decisions).
 
     ``decisions(fact_id, decision, decided_by, value_json, note, decided_at,
-    seq)``. Every decision is checked against the stored fact. Valid ones apply
-    in (decided_at, seq) order: a correction sets the value, a confirmation or
+    seq)``. Typed values take currency and unit from the fact as the
+    valid decisions before them left it. Valid ones apply in (decided_at, seq) order: a correction sets the value, a confirmation or
     correction makes the fact FOUND and clears the flag, a divergence raises the
     flag and leaves status and value. The decisions of a fact are reduced by
     partial aggregates, so a fact with very many decisions is no hot task.
@@ -65,13 +73,10 @@ def apply_decisions(facts: DataFrame, decisions: DataFrame) -> tuple[DataFrame,
         "fact_id", "decision", "decided_by", "seq", "reason", "rules"
     )
     order = F.struct("decided_at", "seq")
-    payload = F.to_json(
-        F.struct(
-            F.col("decision").alias("decisao"),
-            F.when(F.col("decision") != "DIVERGENTE", F.col("value_json")).alias("value"),
-            F.when(~is_blank(F.col("note")), F.col("note")).alias("nota"),
-        )
-    )
+    given = F.when(F.try_parse_json("value_json").isNotNull(), F.col("value_json"))
+    shown = F.when(F.col("decision") == "CORRIGIDO", F.to_json("__value")).when(F.col("decision") == "CONFIRMADO", given)
+    head = F.to_json(F.struct(F.col("decision").alias("decisao"), F.when(F.col("note") != "", F.col("note")).alias("nota")))
+    payload = F.concat(F.lit('{"value":'), F.coalesce(shown, F.lit("null")), F.lit(","), F.substr(head, F.lit(2)))
     last = F.struct("decision", "decided_by", "decided_at", payload.alias("payload"))
     correction = F.struct(F.col("__value").alias("value"), F.col("__normalized").alias("normalized_value"))
     corrected = F.col("decision") == "CORRIGIDO"

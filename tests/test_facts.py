@@ -185,6 +185,25 @@ def test_review_decisions_merge_in_order(spark):
     assert result["indice_reajuste"]["error_code"] == "NORMALIZATION_ERROR" and result["franquia"]["resultado"] == "AGUARDANDO_REVISAO"
 
 
+def test_corrections_build_on_each_other(spark):
+    built, _ = facts.build_facts(*bundle(spark))
+    rows = [
+        ("CORRIGIDO", '{"amount": "5", "currency": "USD"}', " ", 1), ("CORRIGIDO", '"7"', "", 2), ("CORRIGIDO", '{"amount": "x", "currency": "EUR"}', None, 3),
+    ]
+    decisions = spark.createDataFrame(
+        [("FAC-A-franquia", d, "ana", v, n, "2026-01-01", i) for d, v, n, i in rows],
+        "fact_id string, decision string, decided_by string, value_json string, note string, decided_at string, seq int",
+    )
+    stored = facts.with_review_state(built, F.lit("r"))
+    for upto, amount, note in ((1, "5", " "), (3, "7", None)):
+        after, rejects = review.apply_decisions(stored, decisions.filter(F.col("seq") <= upto))
+        fact = after.filter("fact_id = 'FAC-A-franquia'").first()
+        assert (fact["value"]["amount"], fact["value"]["currency"], fact["normalized_value"]["currency"]) == (amount, "USD", "USD")
+        payload = json.loads(fact["revisao_decisao"])
+        assert payload["decisao"] == "CORRIGIDO" and payload["value"] == {"amount": amount, "currency": "USD"} and payload.get("nota") == note
+    assert [r["seq"] for r in rejects.collect()] == [3]
+
+
 def test_bulk_feedback_defaults(spark):
     built, _ = facts.build_facts(*bundle(spark))
     rows = [("FAC-A-franquia", "corrigir", "2000000.00", 1), ("FAC-B-franquia", None, None, 2), ("zz", "CONFIRMADO", None, 3), ("FAC-B-vigencia", "CORRIGIDO", '"x"', 4)]
