@@ -69,11 +69,17 @@ def line_regions(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.reverse(regions).cast(REGIONS).alias("regions"))
 
 
-def markdown_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as markdown: lines that start with D, E or L become headings of level 2."""
+def section_policy() -> Column:
+    """Eight documents in a row make a policy, so policies and their sections grow with the corpus."""
+    return F.concat(F.lit("pol"), text(F.floor(F.col("doc_id") / 8)))
+
+
+def markdown_pages(spark: SparkSession, folder: str, policy: Column | None = None) -> DataFrame:
+    """Documents as markdown pages of a policy: lines that start with D, E or L become headings of level 2."""
+    policy = section_policy() if policy is None else policy
     return table(spark, folder, "documents").select(
-        F.col("source").alias("policy_id"),
-        F.col("source").alias("document_id"),
+        policy.alias("policy_id"),
+        policy.alias("document_id"),
         (F.col("doc_id") + 1).alias("page_number"),
         F.regexp_replace("text", "(?m)^([DEL])", "## $1").alias("markdown"),
     )

@@ -99,8 +99,9 @@ chunks_v AS (
          CASE WHEN len(marks) > 0 AND starts_with(text, marks[1]) THEN marks[1] ELSE inherited END AS section_name
   FROM carried)
 """
+SECTION_POLICY = "'pol' || (doc_id // 8)"
 SECTIONS = f"""
-md AS (SELECT source AS policy_id, doc_id + 1 AS page_number, regexp_replace(text, '(?m)^([DEL])', '## \\1', 'g') AS md FROM documents),
+md AS (SELECT {SECTION_POLICY} AS policy_id, doc_id + 1 AS page_number, regexp_replace(text, '(?m)^([DEL])', '## \\1', 'g') AS md FROM documents),
 lines_v AS (SELECT policy_id, page_number, unnest(string_split(md, chr(10))) AS line, unnest(range(1, len(string_split(md, chr(10))) + 1)) AS n FROM md),
 headed AS (SELECT *, regexp_matches(line, '^#{{1,4}}[ \\t]+\\S') AS is_head FROM lines_v),
 blocks AS (SELECT *, sum(CASE WHEN is_head THEN 1 ELSE 0 END) OVER (PARTITION BY policy_id, page_number ORDER BY n) AS block FROM headed),
@@ -528,7 +529,7 @@ ORACLES: dict[str, str] = {
                  row_number() OVER (PARTITION BY h.policy_id, chunk_id ORDER BY ordinal, rank) AS n FROM hits h JOIN topics USING (query_id))
         SELECT policy_id, evidence_id, ordinal::INT AS query_ordinal, rank::INT AS rank, retrieval_score FROM best WHERE n = 1""",
     "question_evidence": f"""WITH {VECTORS}, {QUESTIONS}, asked AS MATERIALIZED (SELECT query_id, conv_id, 'src' || conv_id % 25 AS policy_id, {embed('query')} AS v FROM questions),
-        {search('asked', 5, 'q.policy_id = c.policy_id')}, {READING},
+        {search('asked', 5, 'q.policy_id = c.policy_id')}, {READING.replace(SECTION_POLICY, 'source')},
         open_q AS (SELECT query_id, conv_id FROM asked WHERE query_id NOT IN (SELECT query_id FROM hits)),
         filled AS (SELECT query_id, rank AS position, evidence_id FROM open_q JOIN reading ON conv_id % 2 = 0 AND policy_id = 'src' || conv_id % 3 WHERE rank <= 10)
         SELECT query_id, rank::INT AS position, 'ev_' || chunk_id AS evidence_id, 'search' AS origin FROM hits

@@ -210,7 +210,7 @@ def html_sections(spark, sf):
 @query
 def run_profile(spark, sf):
     found = derived.checked_facts(spark, sf).withColumn("policy_id", F.concat(F.lit("src"), F.pmod(F.col("policy_id").cast("bigint"), F.lit(20)).cast("string")))
-    return pages.run_profile(derived.markdown_pages(spark, sf), found)
+    return pages.run_profile(derived.markdown_pages(spark, sf, F.col("source")), found)
 
 
 @query
@@ -303,7 +303,7 @@ def question_evidence(spark, sf):
     indexed = _indexed_chunks(spark, sf)
     hits = vector_search.retrieve_evidence(indexed, asked)
     fallback = section_search.reading_order_evidence(
-        chunks.split_markdown_sections(derived.markdown_pages(spark, sf)), limit=10
+        chunks.split_markdown_sections(derived.markdown_pages(spark, sf, F.col("source"))), limit=10
     ).select("policy_id", F.col("rank").alias("evidence_order"), "evidence_id")
     absent = F.lit("src99")
     listed = asked.select(
@@ -361,7 +361,7 @@ def markdown_feed(spark, sf):
 @query
 def extraction_prompts(spark, sf):
     ordered = section_search.reading_order_evidence(chunks.split_markdown_sections(derived.markdown_pages(spark, sf)))
-    policies = tables.table(spark, sf, "documents").select(F.col("source").alias("policy_id")).distinct()
+    policies = tables.table(spark, sf, "documents").select(derived.section_policy().alias("policy_id")).distinct()
     built = prompts.extraction_prompts(policies, ordered, F.col("rank"))
     return built.select("policy_id", "prompt_version", "prompt_hash", "prompt_chars")
 
@@ -401,8 +401,8 @@ def insurer_prompts(spark, sf):
     return prompts.insurer_prompts(pages_of.join(open_ones, "policy_id", "left_semi")).select("policy_id", "prompt_hash", "prompt_chars")
 
 
-def _feed(spark, sf):
-    ordered = section_search.reading_order_evidence(chunks.split_markdown_sections(derived.markdown_pages(spark, sf)))
+def _feed(spark, sf, policy=None):
+    ordered = section_search.reading_order_evidence(chunks.split_markdown_sections(derived.markdown_pages(spark, sf, policy)))
     fed = section_search.section_feed(ordered.withColumn("document_id", F.col("policy_id")))
     return fed.join(ordered.select("evidence_id", "rank"), "evidence_id")
 
@@ -419,7 +419,7 @@ def report_prompts(spark, sf):
         F.col("lang").alias("report_id"), F.col("source").alias("policy_id")
     ).distinct()
     ordered = members.withColumn("doc_order", F.regexp_extract("policy_id", "([0-9]+)", 1).cast("int"))
-    return prompts.report_prompts(ordered, _feed(spark, sf), F.col("rank")).select("report_id", "kind", "prompt_hash", "prompt_chars")
+    return prompts.report_prompts(ordered, _feed(spark, sf, F.col("source")), F.col("rank")).select("report_id", "kind", "prompt_hash", "prompt_chars")
 
 
 def _fact_answers(spark, sf):
