@@ -200,7 +200,8 @@ def key_bucket(keys: list[str], buckets: int) -> Column:
 
 
 def upsert(
-    incoming: DataFrame, path: str, keys: list[str], buckets: int = 64, replaced: DataFrame | None = None
+    incoming: DataFrame, path: str, keys: list[str], buckets: int = 64, replaced: DataFrame | None = None,
+    bucket_keys: list[str] | None = None,
 ) -> None:
     """Idempotent keyed write to a parquet table partitioned by a hash bucket of the key.
 
@@ -208,11 +209,12 @@ def upsert(
     partition overwrite), which the commit protocol swaps in at the end of the
     job; a failed or repeated run leaves the same table. The merged rows are
     checkpointed before the overwrite because they are read from the same path.
-    ``replaced`` names keys whose old rows go even when nothing new comes. The
+    ``replaced`` names keys whose old rows go even when nothing new comes;
+    ``bucket_keys`` are the keys that choose the partition (all by default). The
     rebalance hint splits a bucket that one hot key fills.
     """
     spark = incoming.sparkSession
-    bucket = key_bucket(keys, buckets)
+    bucket = key_bucket(bucket_keys or keys, buckets)
     new_rows = incoming.withColumn(BUCKET, bucket)
     if _exists(spark, path):
         ensure_checkpoint_dir(spark)
@@ -240,3 +242,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def read_upserted(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Rows of a keyed table, without the marker rows of emptied partitions."""
     return spark.read.parquet(path).dropna("all", subset=keys).drop(BUCKET)
+
+
+def read_keyed(spark: SparkSession, path: str, wanted: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Rows of the wanted values of ``key`` from a table bucketed by it: only their partitions are read."""
+    places = wanted.select(key).distinct().withColumn(BUCKET, key_bucket([key], buckets))
+    return spark.read.parquet(path).join(places, [BUCKET, key], "left_semi").drop(BUCKET)

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from clauselake.operators.chunks import chunk_pages
 from clauselake.operators.embedding import with_hashed_embedding
 from clauselake.operators.pages import resolve_page_text
 from clauselake.operators.status import current_status
-from clauselake.sources.tables import read_upserted, upsert
+from clauselake.sources.tables import latest_by_key, read_keyed, upsert
 
 PAGE_KEYS = ["document_id", "page_number"]
+ARRIVAL = "arrival"
 
 
 def index_documents(pages: DataFrame, layout_mode: str = "scanned") -> DataFrame:
@@ -20,8 +22,9 @@ def index_documents(pages: DataFrame, layout_mode: str = "scanned") -> DataFrame
 
 
 def stream_pages(spark: SparkSession, path: str, schema) -> DataFrame:
-    """File stream of arriving page tables."""
-    return spark.readStream.schema(schema).parquet(path)
+    """File stream of arriving page tables; ``arrival`` orders the versions of a page."""
+    arrival = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.row_index")
+    return spark.readStream.schema(schema).parquet(path).select("*", arrival.alias(ARRIVAL))
 
 
 def ingest_stream(
@@ -32,15 +35,17 @@ def ingest_stream(
     Each micro-batch first upserts its pages by (document, page), then rebuilds
     the chunks of the touched documents from all their stored pages, because a
     section crosses pages, and replaces them by document. Both writes are keyed,
-    so a micro-batch that runs again leaves the same tables.
+    so a micro-batch that runs again leaves the same tables. Of a page that
+    comes twice in one batch the last to arrive counts.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        latest = batch.dropDuplicates(PAGE_KEYS)
-        upsert(latest, pages_path, PAGE_KEYS, buckets)
+        order = F.col(ARRIVAL) if ARRIVAL in batch.columns else F.xxhash64(*batch.columns)
+        latest = latest_by_key(batch, PAGE_KEYS, order).drop(ARRIVAL)
+        upsert(latest, pages_path, PAGE_KEYS, buckets, bucket_keys=["document_id"])
         touched = batch.select("document_id").distinct()
-        stored = read_upserted(spark, pages_path, PAGE_KEYS).join(touched, "document_id", "left_semi")
+        stored = read_keyed(spark, pages_path, touched, "document_id", buckets)
         upsert(index_documents(stored), chunks_path, ["document_id"], buckets, replaced=touched)
 
     return (
@@ -51,9 +56,18 @@ def ingest_stream(
     )
 
 
-def status_stream(events: DataFrame, name: str, checkpoint: str | None = None) -> StreamingQuery:
-    """O120: current status per document as an updating stream; keyed state without event time."""
-    writer = current_status(events).writeStream.outputMode("complete").format("memory").queryName(name)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+def status_stream(events: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """O120: current status per document, kept in a table keyed by document.
+
+    Keyed state without event time; each micro-batch writes only the documents whose status changed.
+    """
+
+    def apply(changed: DataFrame, batch_id: int) -> None:
+        upsert(changed, path, ["document_id"], buckets)
+
+    return (
+        current_status(events).writeStream.outputMode("update").foreachBatch(apply)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

@@ -84,7 +84,9 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     pages.filter(half).write.parquet(source)
     run = lambda: ingest.ingest_stream(ingest.stream_pages(spark, source, pages.schema), str(tmp_path / "p"), str(tmp_path / "c"), str(tmp_path / "k"), 4).awaitTermination()
     run()
-    pages.filter(~half).write.mode("append").parquet(source)
+    rest = pages.filter(~half)
+    outdated = rest.withColumn("native_text", F.lit("an outdated version of the page"))
+    outdated.unionAll(rest).coalesce(1).write.mode("append").parquet(source)  # each page twice in one batch
     run()
     columns = ["chunk_id", "section_name", "content_fingerprint", "vector"]
     got = tables.read_upserted(spark, str(tmp_path / "c"), ["document_id"]).select(*columns)
@@ -95,8 +97,9 @@ def test_status_stream_equals_batch(spark, sf, tmp_path):
     events = tables.table(spark, sf, "events")
     events.repartition(3).write.parquet(str(tmp_path / "e"))
     stream = derived.status_events(spark.readStream.schema(events.schema).parquet(str(tmp_path / "e")))
-    ingest.status_stream(stream, "status_now", str(tmp_path / "k")).awaitTermination()
-    assert rows_of(spark.table("status_now")) == rows_of(status.current_status(derived.status_events(events)))
+    ingest.status_stream(stream, str(tmp_path / "now"), str(tmp_path / "k"), 4).awaitTermination()
+    found = tables.read_upserted(spark, str(tmp_path / "now"), ["document_id"])
+    assert rows_of(found) == rows_of(status.current_status(derived.status_events(events)))
 
 
 def test_report_lines_sort_into_a_document(spark, sf, tmp_path):
