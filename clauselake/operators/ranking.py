@@ -62,6 +62,14 @@ def contributions(notes: DataFrame, weights: DataFrame) -> DataFrame:
     return notes.join(checked_broadcast(weights), "criterion").withColumn("contribution", F.col("nota") * F.col("weight") / 10.0)
 
 
+def labelled_contributions(notes: DataFrame, weights: DataFrame) -> DataFrame:
+    """O107: contributions with the label of their criterion, for the report."""
+    label = None
+    for code, _, text in RANKING_CRITERIA:
+        label = (F if label is None else label).when(F.col("criterion") == code, F.lit(text))
+    return contributions(notes, weights).withColumn("label", label)
+
+
 def compute_ranking(notes: DataFrame, weights: DataFrame, group: list[str] | None = None) -> DataFrame:
     """O107: total and rank per scenario and group; equal totals keep their input order.
 

@@ -6,7 +6,7 @@ documents share; a document is assembled only when it is bounded.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauselake.catalog import field_attribute
@@ -120,6 +120,59 @@ HEADINGS = {
 }
 
 
+def _gathered(order: str, cell: Column) -> Column:
+    """Cells of one row in document order."""
+    shown = F.when(F.coalesce(cell, F.lit("")) == "", F.lit(DASH)).otherwise(cell)
+    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), shown.alias("c")))), lambda s: s["c"])
+
+
+def _wide_line(*first: Column, last: Column | None = None) -> Column:
+    """A table line: some first cells, the gathered ones, perhaps a last one."""
+    ends = [last] if last is not None else []
+    return row_line(*first, F.array_join("cells", " | "), *ends)
+
+
+def _wide_rule(first: int, cells: Column) -> Column:
+    return F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), (cells + first).cast("int")))
+
+
+def _ranking_lines(ids: DataFrame, members: DataFrame, ranking: DataFrame, contributions: DataFrame) -> list[DataFrame]:
+    """Section 8: criteria as rows, two columns per ranked document, the base ranking with a column for the total.
+
+    Documents stand in the order of their rank. Keys: 0 base, 1 note, 2 heading of 8.1, then the scenarios.
+    """
+    ranked = ranking.select("report_id", "scenario", "policy_id", "total", "rank").join(members, ["report_id", "policy_id"])
+    number = F.concat(F.lit("Doc "), F.col("doc_order").cast("string"))
+    place = F.when(F.col("scenario_ordinal") == 0, F.lit(0)).otherwise(F.col("scenario_ordinal") + 2)
+    scored = contributions.join(ranked, ["report_id", "scenario", "policy_id"])
+    base = F.col("scenario_ordinal") == 0
+
+    def lines(rows: DataFrame, key: Column, *first: Column, last: Column) -> DataFrame:
+        wide = F.concat(_wide_line(*first), F.when(base, F.concat(F.lit(" "), last, F.lit(" |"))).otherwise(F.lit("")))
+        return rows.select(*_line(8, [_at(place), key], wide))
+
+    def pair(left: Column, right: Column) -> Column:
+        return _gathered("rank", F.concat(left, F.lit(" | "), right)).alias("cells")
+
+    by_criterion = scored.groupBy("report_id", "scenario", "scenario_ordinal", "ordinal", "label", "weight").agg(
+        pair(number_cell(F.col("nota")), number_cell(F.col("contribution")))
+    )
+    sums = contributions.select("report_id", "scenario", "scenario_ordinal", "ordinal", "weight").distinct().groupBy(
+        "report_id", "scenario", "scenario_ordinal").agg(F.sum("weight").alias("weight"))
+    per_scenario = ranked.join(sums, ["report_id", "scenario"]).groupBy("report_id", "scenario", "scenario_ordinal", "weight")
+    heads = per_scenario.agg(pair(F.concat(F.lit("Nota "), number), F.concat(F.lit("Contribuição "), number)))
+    totals = per_scenario.agg(pair(F.lit(DASH), number_cell(F.col("total"))))
+    columns = F.size("cells") * 2 + F.when(base, 1).otherwise(0)
+    return [
+        ids.select(*_line(8, [F.lit(2)], F.lit("\n### 8.1 Cenários de sensibilidade\n"))),
+        heads.filter(~base).select(*_line(8, [_at(place), F.lit(0)], F.concat(F.lit("\n#### Cenário: "), F.col("scenario"), F.lit("\n")))),
+        lines(heads, F.lit(1), F.lit("Critério"), F.lit("Peso"), last=F.lit("Total")),
+        heads.select(*_line(8, [_at(place), F.lit(2)], _wide_rule(2, columns))),
+        lines(by_criterion, _at(F.col("ordinal") + 2), escape_cell(F.col("label")), number_cell(F.col("weight")), last=F.lit(DASH)),
+        lines(totals, F.lit(LAST), F.lit("**Total**"), number_cell(F.col("weight")), last=F.lit(DASH)),
+    ]
+
+
 def report_lines(
     reports: DataFrame,
     cells: DataFrame,
@@ -129,6 +182,7 @@ def report_lines(
     tables: DataFrame | None = None,
     scenarios: DataFrame | None = None,
     ranking: DataFrame | None = None,
+    contributions: DataFrame | None = None,
     guard: DataFrame | None = None,
     conclusions: DataFrame | None = None,
 ) -> DataFrame:
@@ -137,9 +191,19 @@ def report_lines(
     ``reports(report_id, policy_id, doc_order, profile_mode)``. Sorting by the
     five keys gives the document, so a report of any width is written without
     gathering it: each line is produced where its data lies. ``fields`` is the
-    fixed table of ninety fields.
+    fixed table of ninety fields. Documents are numbered 1 to N within their
+    report; tables and ranking have one column per document of the report, so
+    a line of theirs gathers the cells of one row.
+
+    ``ranking(report_id, scenario, policy_id, total, rank)``; ``contributions
+    (report_id, scenario, scenario_ordinal, ordinal, label, weight, policy_id,
+    nota, contribution)``, scenario ordinal 0 being the base ranking.
     """
-    label = F.concat(F.lit("Doc "), F.col("doc_order").cast("string"), F.lit(" ("), F.col("policy_id"), F.lit(")"))
+    in_report = Window.partitionBy("report_id").orderBy("doc_order", "policy_id")
+    reports = reports.withColumn("doc_order", F.row_number().over(in_report))
+    members = reports.select("report_id", "policy_id", "doc_order")
+    number = F.concat(F.lit("Doc "), F.col("doc_order").cast("string"))
+    label = F.concat(number, F.lit(" ("), F.col("policy_id"), F.lit(")"))
     ids = reports.select("report_id", "profile_mode").distinct()
     title = F.array(
         *[
@@ -178,44 +242,47 @@ def report_lines(
     parts.append(named.select(*_line(5, [_at(F.col("ordinal")), _at(F.col("doc_order"))], matrix)))
 
     if identifications is not None:
-        joined = reports.join(identifications, "policy_id", "left")
-        lines = [F.struct(F.lit(0).alias("o"), F.concat(F.lit("### "), label).alias("t"))]
+        joined = reports.join(identifications.withColumn("__read", F.lit(True)), "policy_id", "left")
+        unread = F.col("__read").isNull()
+        lines = [F.struct(F.lit(0).alias("o"), F.concat(F.lit("\n### "), number, F.lit(" — "), F.col("policy_id"), F.lit("\n")).alias("t"))]
+        lines.append(F.struct(F.lit(1).alias("o"), F.when(unread, F.lit("- **Situação:** identificação não localizada")).alias("t")))
         kinds = dict(identifications.dtypes)
-        for i, (name, text) in enumerate(IDENTIFICATION_FIELDS, start=1):
+        for i, (name, text) in enumerate(IDENTIFICATION_FIELDS, start=2):
             value = F.array_join(name, ", ") if kinds[name].startswith("array") else F.col(name).cast("string")
             shown = F.when(F.coalesce(value, F.lit("")) == "", F.lit("Não localizado")).otherwise(value)
-            lines.append(F.struct(F.lit(i).alias("o"), F.concat(F.lit(f"- **{text}:** "), shown).alias("t")))
+            lines.append(F.struct(F.lit(i).alias("o"), F.when(~unread, F.concat(F.lit(f"- **{text}:** "), shown)).alias("t")))
         parts.append(
-            joined.select("report_id", "doc_order", F.inline(F.array(*lines))).select(
+            joined.select("report_id", "doc_order", F.inline(F.array(*lines))).filter(F.col("t").isNotNull()).select(
                 *_line(1, [_at(F.col("doc_order")), _at(F.col("o"))], F.col("t"))
             )
         )
     if tables is not None:
         heads = tables.select("report_id", "table_order", "title", "code").distinct()
-        parts.append(
-            heads.select(
-                *_line(6, [_at(F.col("table_order"))], F.concat(F.lit("### "), F.col("title"), F.lit(" (`"), F.col("code"), F.lit("`)")))
-            )
+        title = F.concat(F.lit("\n### "), F.col("title"), F.lit(" (`"), F.col("code"), F.lit("`)\n"))
+        parts.append(heads.select(*_line(6, [_at(F.col("table_order")), F.lit(-3)], title)))
+        columns = members.groupBy("report_id").agg(_gathered("doc_order", escape_cell(label)).alias("cells"))
+        wide = heads.select("report_id", "table_order").join(columns, "report_id")
+        parts.append(wide.select(*_line(6, [_at(F.col("table_order")), F.lit(-2)], _wide_line(F.lit("Item")))))
+        parts.append(wide.select(*_line(6, [_at(F.col("table_order")), F.lit(-1)], _wide_rule(1, F.size("cells")))))
+        rows = tables.drop("doc_order").join(members, ["report_id", "policy_id"]).groupBy("report_id", "table_order", "row_order", "label").agg(
+            _gathered("doc_order", escape_cell(F.col("cell"))).alias("cells")
         )
-        cell = row_line(escape_cell(F.col("label")), escape_cell(label), escape_cell(F.col("cell")))
         parts.append(
-            tables.select(*_line(6, [_at(F.col("table_order")), _at(F.col("row_order") + 1), _at(F.col("doc_order"))], cell))
+            rows.select(*_line(6, [_at(F.col("table_order")), _at(F.col("row_order"))], _wide_line(escape_cell(F.col("label")))))
         )
     if scenarios is not None:
+        scenarios = scenarios.drop("doc_order").join(members, ["report_id", "policy_id"])
         heads = scenarios.select("report_id", "scenario_order", "name", "caveat").distinct()
         parts.append(heads.select(*_line(7, [_at(F.col("scenario_order"))], F.concat(F.lit("### "), F.col("name")))))
         parts.append(heads.select(*_line(7, [_at(F.col("scenario_order")), F.lit(LAST)], F.concat(F.lit("> "), F.col("caveat")))))
         shown = F.when(F.col("finding") == "", F.lit(DASH)).otherwise(F.col("finding"))
         finding = F.concat(F.lit("- **"), label, F.lit(":** "), shown)
         parts.append(scenarios.select(*_line(7, [_at(F.col("scenario_order")), _at(F.col("doc_order"))], finding)))
-    if ranking is not None:
-        placed = row_line(
-            F.col("scenario"), F.col("rank").cast("string"), F.col("policy_id"), number_cell(F.col("total"))
-        )
-        parts.append(ranking.select(*_line(8, [_at(F.col("scenario_ordinal")), _at(F.col("rank"))], placed)))
+    if ranking is not None and contributions is not None:
+        parts += _ranking_lines(ids, members, ranking, contributions)
     if guard is not None:
         note = F.concat(F.lit("> **Ranking informativo, sem vencedora geral** — "), F.col("reason"))
-        parts.append(guard.filter("informative_only").select(*_line(8, [F.lit(LAST)], note)))
+        parts.append(guard.filter("informative_only").select(*_line(8, [F.lit(1)], F.concat(F.lit("\n"), note))))
     if conclusions is not None:
         parts.append(
             conclusions.select(

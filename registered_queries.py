@@ -973,13 +973,18 @@ def report_markdown(spark, sf):
     found = report.identification(_identification_answers(spark, sf))
     answers = _report_answers(spark, sf)
     members = reports.select("report_id", "policy_id", "doc_order")
-    placed = ranking.compute_ranking(derived.notes(spark, sf), catalog.default_weights(spark), ["report_key"]).withColumn(
-        "report_id", F.concat(F.lit("r"), F.col("report_key").cast("string"))
+    notes = derived.notes(spark, sf).withColumn("report_id", F.concat(F.lit("r"), F.col("report_key").cast("string")))
+    weights = catalog.default_weights(spark).unionByName(ranking.normalize_weights(catalog.scenario_weights(spark))[0])
+    key = F.regexp_extract("report_id", "([0-9]+)", 1).cast("int")
+    available = reports.select("report_id").distinct().select(
+        "report_id", *[(key % (i + 2) != 0).alias(code) for i, (code, _) in enumerate(catalog.GUARD_FACTS)],
+        (key % 5 != 0).alias("profile_complete"),
     )
     return exports.report_lines(
         reports, cells, catalog.report_fields(spark), report.checklist(cells, reports, _flags(spark, sf), found), found,
-        report.special_tables(answers["tables"], members), report.scenario_findings(answers["scenarios"], members), placed,
-        None, report.conclusions(answers["conclusions"]),
+        report.special_tables(answers["tables"], members), report.scenario_findings(answers["scenarios"], members),
+        ranking.compute_ranking(notes, weights, ["report_id"]), ranking.labelled_contributions(notes, weights),
+        ranking.no_winner_guard(available, ["report_id"]), report.conclusions(answers["conclusions"]),
     )
 
 
