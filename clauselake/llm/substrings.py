@@ -80,7 +80,7 @@ def packed_places(ids: np.ndarray, texts: np.ndarray, groups: np.ndarray, starts
     change[1:] = (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1])
     at = np.flatnonzero(change)
     counts = np.diff(np.append(at, len(ids))).astype(np.int32)
-    return pack(ids[at].astype(np.int64), texts[at].astype(np.int64), groups[at].astype(np.int32), counts, np.diff(starts, prepend=0).astype(np.int32))
+    return pack(ids[at].astype(np.int64), texts[at], groups[at].astype(np.int32), counts, np.diff(starts, prepend=0).astype(np.int32))
 
 
 def unpacked_places(value: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

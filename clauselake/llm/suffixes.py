@@ -69,7 +69,10 @@ def anchors(part: Slice, width: int, gram: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def anchor_rows(batches: Iterator[pa.RecordBatch], width: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Anchor hashes of a task. Kind 0 goes to a bucket; kind 1 stands in two documents for certain."""
+    """Anchor hashes of a task. Kind 0 goes to a bucket; kind 1 stands in two documents for certain.
+
+    Within a bucket 32 bits are sent: a chance agreement only adds a key to the sort, which compares bytes.
+    """
     for table in gathered(batches):
         order = np.argsort(table.column("doc_id").fill_null(-1).to_numpy(), kind="stable")
         for part in slices(table.take(pa.array(order)).combine_chunks()):
@@ -96,7 +99,7 @@ def anchor_rows(batches: Iterator[pa.RecordBatch], width: int, gram: int, bucket
                     r = row[piece]
                     rows[0].append(kind)
                     rows[1].append(int(key[piece[0]]))
-                    rows[2].append(hashes[piece].tobytes() if kind == 0 else b"")
+                    rows[2].append((hashes[piece] >> np.uint64(31)).astype(np.uint32).tobytes() if kind == 0 else b"")
                     rows[3].append(packed_places(ids[r], texts[r], groups[r], begin[piece]))
             yield pa.record_batch([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], names=["kind", "part", "hashes", "places"])
 
@@ -105,7 +108,7 @@ def shared_anchors(table: pa.Table) -> pa.Table:
     """Of one bucket, the anchors whose hash stands in two documents."""
     if table.column("kind")[0].as_py() == 1:
         return pa.table({"grp": table.column("part"), "places": table.column("places")})
-    hashes = np.concatenate([np.frombuffer(h, np.uint64) for h in table.column("hashes").to_pylist()])
+    hashes = np.concatenate([np.frombuffer(h, np.uint32) for h in table.column("hashes").to_pylist()])
     ids, texts, groups, starts = (np.concatenate(c) for c in zip(*map(unpacked_places, table.column("places").to_pylist()), strict=True))
     order = np.lexsort((ids, hashes))
     change = np.flatnonzero(np.diff(hashes[order])) + 1
@@ -353,7 +356,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, gram: int = GRAM) ->
     size = text_bytes(docs)
     buckets = shares(size / BYTES_PER_ANCHOR, BUCKET_ANCHORS)
     parts = shares(size, SHARE_BYTES)
-    grouped = with_group(docs, shares(size, GROUP_BYTES)).withColumn("text_hash", F.xxhash64("text"))
+    grouped = with_group(docs, shares(size, GROUP_BYTES)).withColumn("text_hash", F.hash("text"))
 
     def sent(batches):
         return anchor_rows(batches, width, gram, buckets)
