@@ -3,10 +3,15 @@
 A text's 5-word shingles are labelled with their occurrence number. For each of ``SKETCHES`` hash functions the ``PICKS``
 labelled shingles of least hash are taken and kept in text order; the hash of that tuple is the sketch. Texts with few
 edits share most sketches, texts with the same shingles in another order do not. Equal sketches of texts of like length
-make a bucket; each member is compared with the bucket's least and greatest document, so a bucket of n members gives at
-most 2 n pairs. A pair is verified by the longest common subsequence L of the two shingle sequences, computed in a band
-around the diagonal that no alignment good enough can leave: L / (m + n - L) has to reach ``SIMILARITY``. Verified pairs
-are joined into classes by alternating star contractions.
+make a bucket; each member is first compared with the bucket's least and greatest document, so a bucket of n members
+gives at most 2 n pairs. A pair is verified by the longest common subsequence L of the two shingle sequences, computed in
+a band around the diagonal that no alignment good enough can leave: L / (m + n - L) has to reach ``SIMILARITY``. Verified
+pairs are joined into classes by alternating star contractions.
+
+A bucket whose members are one class by then is done. Any other is open: up to ``WHOLE`` members are all compared across
+classes, a larger one is dealt into smaller buckets by ``SPLITS`` further independent sketches, which start with their
+ends again, until no bucket is open. A member thus leaves only compared with all that share its buckets, or in one class
+with them.
 
 Equal texts are collapsed to their least document before anything is compared. Representatives of large buckets are
 salted; texts move once to be partitioned by document and once more for documents that have candidates.
@@ -31,6 +36,7 @@ from clauselake.llm.tokens import BASES, Words, mixed, window_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, PICKS = 12, 2
+WHOLE, SPLITS, DEALS = 64, 3, 24  # after so many deals a bucket is compared as a whole whatever its size
 SALT_ROWS = 1000
 NONE = np.iinfo(np.uint64).max
 
@@ -45,8 +51,8 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return mixed(window_hashes(hashes, begin, end, BASES[1]) + (end - begin).astype(np.uint64)), row, counts
 
 
-def sketches(hashes: np.ndarray, row: np.ndarray, counts: np.ndarray, number: int, picks: int) -> np.ndarray:
-    """Order MinHash sketches, one row per text that has shingles."""
+def sketches(hashes: np.ndarray, row: np.ndarray, counts: np.ndarray, number: int, picks: int, skip: int = 0) -> np.ndarray:
+    """Order MinHash sketches from number ``skip`` on, one row per text that has shingles."""
     order = np.lexsort((hashes, row))
     fresh = np.ones(len(order), dtype=bool)
     fresh[1:] = (hashes[order][1:] != hashes[order][:-1]) | (row[order][1:] != row[order][:-1])
@@ -58,7 +64,7 @@ def sketches(hashes: np.ndarray, row: np.ndarray, counts: np.ndarray, number: in
     starts = (np.cumsum(counts) - counts)[held]
     dense = np.repeat(np.arange(len(held)), counts[held])
     out = np.empty((len(held), number), dtype=np.uint64)
-    for s in range(number):
+    for s in range(skip, skip + number):
         values = mixed(labelled ^ np.uint64((s + 1) * 0x632BE59BD9B4E019 & NONE)) >> np.uint64(1)
         chosen = np.full((len(held), picks), len(hashes), dtype=np.int64)
         for p in range(picks):
@@ -74,7 +80,7 @@ def sketches(hashes: np.ndarray, row: np.ndarray, counts: np.ndarray, number: in
         for p in range(picks):
             own = chosen[:, p] < len(hashes)
             total[own] = mixed(total[own] * np.uint64(BASES[0]) + hashes[chosen[own, p]])
-        out[:, s] = total
+        out[:, s - skip] = total
     return out
 
 
@@ -100,9 +106,8 @@ def sketched(docs: DataFrame, size: int, number: int, picks: int, similarity: fl
     return docs.mapInArrow(sketch, "doc_id bigint, digest string, shingles bigint, keys array<bigint>")
 
 
-def candidates(unique: DataFrame) -> DataFrame:
-    """``(doc, other)``: each member of a bucket with the bucket's least and greatest document."""
-    rows = unique.select("doc_id", F.explode("keys").alias("key"))
+def candidates(rows: DataFrame) -> DataFrame:
+    """``(doc, other)``: each member of a bucket, given as ``(key, doc_id)``, with the bucket's least and greatest document."""
     ends = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
     members = rows.join(ends, "key")
     pairs = members.select(F.col("doc_id").alias("doc"), F.explode(F.array("least", "most")).alias("other")).filter("doc <> other")
@@ -111,6 +116,60 @@ def candidates(unique: DataFrame) -> DataFrame:
         F.when(F.col("turned"), F.col("doc")).otherwise(F.col("other")).alias("other"))
 
 
+def open_buckets(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(key, doc_id, shingles, root, members)`` of the buckets whose members are of several classes."""
+    named = rows.join(roots, rows["doc_id"] == roots["node"], "left").select("key", "doc_id", "shingles", F.coalesce("root", "doc_id").alias("root"))
+    mixed_ones = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("members")).filter("a < b")
+    return named.join(mixed_ones.select("key", "members"), "key")
+
+
+def across_classes(rows: DataFrame, similarity: float) -> DataFrame:
+    """``(doc, other)``: all pairs of a bucket's members of unlike classes whose lengths allow ``similarity``."""
+    left = rows.select("key", F.col("doc_id").alias("doc"), "root", "shingles")
+    right = rows.select("key", F.col("doc_id").alias("other"), F.col("root").alias("other_root"), F.col("shingles").alias("other_shingles"))
+    alike = F.least("shingles", "other_shingles") >= similarity * F.greatest("shingles", "other_shingles") - 1e-9
+    return left.join(right, "key").filter((F.col("doc") > F.col("other")) & (F.col("root") != F.col("other_root")) & alike).select("doc", "other").distinct()
+
+
+def dealt_further(rows: DataFrame, texts: DataFrame, deal: int, size: int, picks: int) -> DataFrame:
+    """``(key, doc_id, shingles)``: the members of each bucket by ``SPLITS`` of the deal's sketches; the bucket says which."""
+    number = SKETCHES * SPLITS
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in gathered(batches):
+            for part in slices(table.combine_chunks()):
+                hashes, row, counts = shingles(Words(part, lower=True), size)
+                lists = np.where(counts > 0, number, 0)
+                found = sketches(hashes, row, counts, number, picks, (deal + 1) * number) if len(hashes) else np.zeros((0, number), np.uint64)
+                values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lists)]).astype(np.int32)), pa.array(found.ravel().view(np.int64)))
+                yield pa.record_batch([part.table.column("doc_id"), values], names=["id", "further"])
+
+    wanted = rows.select("doc_id").distinct()
+    further = texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sketch, "id bigint, further array<bigint>")
+    which = [(F.pmod(F.xxhash64("key", F.lit(j)), F.lit(SKETCHES)) + j * SKETCHES).cast("int") for j in range(SPLITS)]
+    taken = F.array(*[F.xxhash64("key", F.lit(j), F.get("further", w)) for j, w in enumerate(which)])
+    return rows.join(further, rows["doc_id"] == further["id"]).select(F.explode(taken).alias("key"), "doc_id", "shingles").distinct()
+
+
+def class_roots(unique: DataFrame, texts: DataFrame, tied: DataFrame, size: int, similarity: float, picks: int) -> DataFrame:
+    """``(node, root)`` by verified pairs, bucket after bucket until none holds unlike classes that were not compared."""
+    rows = unique.select(F.explode("keys").alias("key"), "doc_id", "shingles")
+    edges = stored(verified(texts, candidates(rows), size, similarity).select("doc", "other").unionAll(tied), "links")
+    for deal in range(DEALS + 1):
+        roots = classes(edges)
+        unlike = stored(open_buckets(rows, roots), "open")
+        state = unlike.agg(F.count("*"), F.max("members")).first()
+        if not state[0]:
+            return roots
+        if state[1] <= WHOLE or deal == DEALS:
+            found = verified(texts, across_classes(unlike, similarity), size, similarity)
+            return classes(edges.unionAll(found.select("doc", "other")))
+        rows = stored(dealt_further(unlike.filter(F.col("members") > WHOLE), texts, deal, size, picks), "dealt")
+        pairs = across_classes(unlike.filter(F.col("members") <= WHOLE), similarity).unionAll(candidates(rows)).distinct()
+        edges = stored(edges.unionAll(verified(texts, pairs, size, similarity).select("doc", "other")), "links")
+    raise AssertionError
+
+
 def banded_common(a: list, b: list, band: int) -> int:
     """Longest common subsequence by matches with ``|i - j| <= band``: one bit per place of ``a``, a step per place of b."""
     places: dict = {}
@@ -211,16 +270,14 @@ def near_duplicates(
     listed = stored(sketched(rows, size, number, picks, similarity), "sketches")
     judged = F.col("doc_id").isNotNull() & F.col("digest").isNotNull()
     known = listed.filter(judged)
-    unique = known.groupBy("digest").agg(F.min(F.struct("doc_id", "keys")).alias("first")).select("digest", "first.*")
+    unique = known.groupBy("digest").agg(F.min(F.struct("doc_id", "keys", "shingles")).alias("first")).select("digest", "first.*")
     unique = stored(unique, "unique")
     firsts = unique.select(F.col("doc_id"), F.col("digest").alias("own"))
-    pairs = candidates(unique)
     texts = rows.filter(judged)
-    edges = verified(texts, pairs, size, similarity)
     versions = known.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a < b")  # one id, several texts
     tied = known.join(versions.select("doc_id"), "doc_id", "left_semi").join(unique.select("digest", F.col("doc_id").alias("other")), "digest")
     tied = tied.select(F.col("doc_id").alias("doc"), "other").filter("doc <> other")
-    roots = classes(edges.select("doc", "other").unionAll(tied))
+    roots = class_roots(unique, texts, tied, size, similarity, picks)
     named = firsts.join(roots, firsts["doc_id"] == roots["node"], "left").select("own", F.coalesce("root", "doc_id").alias("class_id"))
     found = listed.join(named, listed["digest"] == named["own"], "left").select(
         "doc_id", F.when(judged, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "shingles", "digest")

@@ -99,3 +99,18 @@ def test_one_document_of_each_class_stays(frame):
 def test_long_chain_is_one_class(frame):
     edges = frame([(i + 1, i) for i in range(60)] + [(100, 90)], "doc bigint, other bigint")
     assert {r["node"]: r["root"] for r in near_dedup.classes(edges).collect()} == {i: 0 for i in range(1, 61)} | {100: 90}
+
+
+def test_near_copies_within_shared_boilerplate(frame):
+    draws = random.Random(4)
+    template = [f"t{i}" for i in range(344)]
+    rows = []
+    for i in range(40):
+        words = template + [f"own{draws.randrange(10**6)}" for _ in range(56)]
+        other = list(words)
+        for at in draws.sample(range(len(words)), 6):
+            other[at] = f"edit{draws.randrange(10**6)}"
+        rows += [(i, " ".join(words)), (1000 - i, " ".join(other))]
+    expected = brute_classes(rows)
+    assert len(set(expected.values())) == 40
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(frame(rows)).collect()} == expected
