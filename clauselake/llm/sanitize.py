@@ -150,7 +150,6 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, reach: int, support: int
     """``(term)``: the terms that disclose an entity."""
     said = stored(mentions(found, reach), "mentions")
     entities = said.groupBy("kind", "value").agg(F.count_distinct("text_hash").alias("n_e"))
-    entities = entities.filter(F.col("n_e") >= support)
     documents = F.broadcast(docs.select(F.count_distinct(F.xxhash64("text")).alias("n")))  # one row
     pairs = (
         said.join(entities, ["kind", "value"], "left_semi")

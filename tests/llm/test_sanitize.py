@@ -96,6 +96,14 @@ def test_terms_that_tell_an_entity(frame):
     assert clean[90] == "[TERM] was here" and clean[91] is None and clean[None] == "[TERM] and [EMAIL]"
 
 
+def test_contexts_of_one_text_give_support(frame):
+    part = lambda i: " ".join([f"pre{c}{i}" for c in "abcde"] + ["Zorbinax ann@x.org"] + [f"post{c}{i}" for c in "abcde"])
+    part_of = lambda i: part("xyz"[i])
+    rows = [(0, " ".join(part_of(i) for i in range(3)))] + [(10 + i, f"filler {'abcdefghij'[i % 10] * (i + 1)} again") for i in range(40)]
+    found = sanitize.find_spans(frame(rows)).collect()
+    assert {(r["doc_id"], s["value"]) for r in found for s in r["term"]} == {(0, "Zorbinax")}
+
+
 def test_joined_terms_equal_broadcast_terms(frame, monkeypatch):
     usual = sorted(map(str, sanitize.sanitize(frame(disclosing()), exposure=0.7).collect()))
     monkeypatch.setattr(sanitize, "BROADCAST_TERMS", 0)
