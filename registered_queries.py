@@ -401,8 +401,8 @@ def insurer_prompts(spark, sf):
     return prompts.insurer_prompts(pages_of.join(open_ones, "policy_id", "left_semi")).select("policy_id", "prompt_hash", "prompt_chars")
 
 
-def _feed(spark, sf, policy=None):
-    ordered = section_search.reading_order_evidence(chunks.split_markdown_sections(derived.markdown_pages(spark, sf, policy)))
+def _feed(spark, sf):
+    ordered = section_search.reading_order_evidence(chunks.split_markdown_sections(derived.markdown_pages(spark, sf)))
     fed = section_search.section_feed(ordered.withColumn("document_id", F.col("policy_id")))
     return fed.join(ordered.select("evidence_id", "rank"), "evidence_id")
 
@@ -414,12 +414,13 @@ def fill_prompts(spark, sf):
 
 @query
 def report_prompts(spark, sf):
-    """Sources as policies; each language is a report over the sources that have it."""
+    """Eight policies in a row make a report for each language that they have, so reports grow with the corpus."""
+    number = F.floor(F.col("doc_id") / 64)
     members = tables.table(spark, sf, "documents").select(
-        F.col("lang").alias("report_id"), F.col("source").alias("policy_id")
+        F.concat_ws("-", "lang", number.cast("string")).alias("report_id"), derived.section_policy().alias("policy_id")
     ).distinct()
     ordered = members.withColumn("doc_order", F.regexp_extract("policy_id", "([0-9]+)", 1).cast("int"))
-    return prompts.report_prompts(ordered, _feed(spark, sf, F.col("source")), F.col("rank")).select("report_id", "kind", "prompt_hash", "prompt_chars")
+    return prompts.report_prompts(ordered, _feed(spark, sf), F.col("rank")).select("report_id", "kind", "prompt_hash", "prompt_chars")
 
 
 def _fact_answers(spark, sf):

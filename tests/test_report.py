@@ -114,3 +114,12 @@ def test_usage(spark):
         got = {r["run_id"]: (r["kind"], r["calls"], r["cost_usd"]) for r in usage.summarize_runs(usage.with_cost(df, prices)).collect()}
         assert got == {"r1": ("EXTRACT", 2, 0.3), "r0": ("EMBED", 1, None)}
     assert usage.last_run(df).first()[0] == "r0"
+
+
+def test_report_prompts_grow_with_documents(spark, sf):
+    from registered_queries import QUERIES
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()
+    expected = {f"{r['lang']}-{r['doc_id'] // 64}" for r in docs}
+    found = QUERIES["report_prompts"](spark, sf).collect()
+    assert len(found) == 4 * len(expected) and {r["report_id"] for r in found} == expected
