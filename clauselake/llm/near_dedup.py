@@ -10,8 +10,8 @@ pairs are joined into classes by alternating star contractions.
 
 A bucket whose members are one class by then is done. Any other is open: up to ``WHOLE`` members are all compared across
 classes, a larger one is dealt into smaller buckets by ``SPLITS`` further independent sketches, which start with their
-ends again, until no bucket is open. A member thus leaves only compared with all that share its buckets, or in one class
-with them.
+ends again, until no bucket is open. Dealing is by chance: a pair of a large bucket that shares none of the further
+sketches in any of its buckets is still lost.
 
 Equal texts are collapsed to their least document before anything is compared. Representatives of large buckets are
 salted; texts move once to be partitioned by document and once more for documents that have candidates.
