@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.llm import decontaminate, hidden_markov, language_crf, mixing, near_dedup, neighbours, quality, sanitize, substrings, suffixes
+from clauselake.llm import decontaminate, filter_audit, hidden_markov, language_crf, mixing, near_dedup, neighbours, quality, sanitize, substrings, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,3 +130,42 @@ def op6_kneser_ney(spark, sf):
 def op10_order_minhash(spark, sf):
     found = near_dedup.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", "class_id", "shingles", "kept")
+
+
+@query
+def op11_filter_diagrams(spark, sf):
+    return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+ORACLES["op11_filter_diagrams"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+l AS (SELECT doc_id, coalesce(max(quality = 1), false) AS good, coalesce(max(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT d.part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic, {
+         'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+         'C': 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text), 'D': regexp_matches(text, '[#$%&*|]'),
+         'E': coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false)} AS f
+  FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, f),
+e AS (SELECT part, [x.k FOR x IN [{'k': 'A', 'v': f.A}, {'k': 'B', 'v': f.B}, {'k': 'C', 'v': f.C}, {'k': 'D', 'v': f.D}, {'k': 'E', 'v': f.E}] IF x.v] AS failed,
+             n, good, toxic FROM c),
+k AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.x, b.x, c.x, d.x, e.x] AS seq
+      FROM k a, k b, k c, k d, k e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, seq, unnest(range(1, 6)) AS step FROM o),
+t AS (
+  SELECT part, filter_order, step, seq[step] AS x,
+         sum(CASE WHEN NOT list_has_any(failed, seq[1:step]) THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN list_contains(failed, seq[step]) AND NOT list_has_any(failed, seq[1:step - 1]) THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN list_contains(failed, seq[step]) AND list_has_any(failed, seq[1:step - 1]) THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN failed = [seq[step]] THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN list_contains(failed, seq[step]) AND NOT list_has_any(failed, seq[1:step - 1]) THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN list_contains(failed, seq[step]) AND NOT list_has_any(failed, seq[1:step - 1]) THEN toxic ELSE 0 END) AS toxic_lost
+  FROM e, s GROUP BY part, filter_order, step, seq[step])
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM t
+"""
