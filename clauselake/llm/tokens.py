@@ -1,16 +1,22 @@
 """Words and their hashes from UTF-8 bytes, by whole arrays.
 
-Words are runs of bytes other than ASCII white space (0x20, 0x09 to 0x0D); they never cross documents. Hashes are
-polynomials modulo 2**64 with odd bases, so a substring's hash is a difference of prefix sums times an inverse power.
+Words are runs of bytes other than ASCII white space (0x20, 0x09 to 0x0D); they never cross documents. A word's hash
+mixes its bytes block by block, without the algebra that lets polynomials modulo 2**64 collide on long regular words.
+Windows of word hashes are polynomials modulo 2**64 with odd bases, so a window's hash is a difference of prefix sums
+times an inverse power.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 from clauselake.llm.common import Slice
 
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+NONE = np.uint64(np.iinfo(np.uint64).max)
+LONG_WORD = 256  # bytes; longer words are hashed one by one
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -73,5 +79,19 @@ class Words:
         self.rows = np.repeat(np.arange(part.rows), self.counts)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        return mixed(window_hashes(self.data + np.uint64(1), self.starts, self.ends, BASES[0]))
+        """A 64-bit hash of each word: scrambled once per 8 bytes, by BLAKE2 for the few long ones."""
+        size = self.ends - self.starts
+        padded = np.concatenate([self.data, np.zeros(8, dtype=np.uint8)])
+        blocks = np.ndarray(len(self.data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+        out = mixed(size.astype(np.uint64) ^ np.uint64(BASES[0]))
+        own, step = np.flatnonzero(size <= LONG_WORD), 0
+        while len(own):
+            left = np.minimum(size[own] - step, 8).astype(np.uint64)
+            block = blocks[self.starts[own] + step] & (NONE >> (np.uint64(64) - left * np.uint64(8)))
+            out[own] = mixed((out[own] + np.uint64(BASES[1])) ^ block)
+            step += 8
+            own = own[size[own] > step]
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            digest = hashlib.blake2b(self.data[self.starts[i] : self.ends[i]].tobytes(), digest_size=8).digest()
+            out[i] = np.frombuffer(digest, "<u8")[0]
+        return out
