@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.llm import decontaminate, filter_audit, hidden_markov, language_crf, mixing, near_dedup, neighbours, quality, sanitize, substrings, suffixes
+from clauselake.llm import decontaminate, filter_audit, hidden_markov, language_crf, mixing, near_dedup, neighbours, quality, sanitize, substrings, suffixes, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -169,3 +169,11 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
        CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
 FROM t
 """
+
+
+@query
+def op13_noisy_channel(spark, sf):
+    docs = table(spark, sf, "documents")
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
+    scored = toxicity.score_documents(docs, table(spark, sf, "labels"), remainder != 2)
+    return scored.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "score", "predicted")
