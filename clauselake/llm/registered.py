@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.llm import decontaminate, filter_audit, hidden_markov, language_crf, mixing, near_dedup, neighbours, quality, sanitize, substrings, suffixes, toxicity
+from clauselake.llm import decontaminate, filter_audit, hard_negatives, hidden_markov, language_crf, mixing, near_dedup, neighbours, quality, sanitize, substrings, suffixes, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -177,3 +177,28 @@ def op13_noisy_channel(spark, sf):
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
     scored = toxicity.score_documents(docs, table(spark, sf, "labels"), remainder != 2)
     return scored.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query
+def op12_shared_lists(spark, sf):
+    return hard_negatives.mine(table(spark, sf, "embeddings"))
+
+
+ORACLES["op12_shared_lists"] = r"""
+WITH e AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, e.id, a.label = e.label AS same, CAST(list_dot_product(a.v, e.v) AS BIGINT) AS score
+      FROM e a, e WHERE a.id % 50 = 0 AND a.id <> e.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 3
+"""

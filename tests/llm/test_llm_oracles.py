@@ -7,7 +7,7 @@ from clauselake.llm.registered import ORACLES, QUERIES
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_oracle(spark, sf, name):
     duck = duckdb.connect()
-    for table in ("documents", "benchmark", "labels"):
+    for table in ("documents", "benchmark", "embeddings", "labels"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     result = duck.execute(ORACLES[name])
     columns = [d[0] for d in result.description]
