@@ -249,3 +249,23 @@ def pairs_touching(pairs: DataFrame, policies: DataFrame) -> DataFrame:
         .filter(F.col("__a") | F.col("__b"))
         .select("policy_id_a", "policy_id_b")
     )
+
+
+def recompare(
+    stored: DataFrame, pairs: DataFrame, changed: DataFrame, facts: DataFrame, fx_rates: DataFrame | None = None,
+    id_prefix: str = "comparison:",
+) -> tuple[DataFrame, DataFrame]:
+    """Rows computed anew for the pairs that ``changed`` policies touch, and all rows after the change.
+
+    Only touched pairs and the facts of their policies are compared; a pair that
+    changed on both sides is compared once. Earlier explanations stay, in the
+    new rows too. The new rows alone are what a keyed store has to take in; the
+    merged rows equal a comparison of all pairs.
+    """
+    touched = pairs_touching(pairs, changed).distinct()
+    members = touched.select(F.explode(F.array("policy_id_a", "policy_id_b")).alias("policy_id")).distinct()
+    ids = touched.select(comparison_id(F.col("policy_id_a"), F.col("policy_id_b"), id_prefix).alias("comparison_id"))
+    earlier = stored.join(ids, "comparison_id", "left_semi")
+    fresh = compare_policies(touched, facts.join(members, "policy_id", "left_semi"), fx_rates, earlier, id_prefix=id_prefix)
+    fresh = fresh.select(*stored.columns)
+    return fresh, stored.join(ids, "comparison_id", "left_anti").unionByName(fresh)

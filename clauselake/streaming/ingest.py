@@ -10,7 +10,8 @@ from clauselake.operators.chunks import chunk_pages
 from clauselake.operators.embedding import with_hashed_embedding
 from clauselake.operators.pages import resolve_page_text
 from clauselake.operators.status import current_status
-from clauselake.sources.tables import latest_by_key, read_keyed, upsert
+from clauselake.sources.keyed_log import KeyedLog
+from clauselake.sources.tables import latest_by_key, upsert
 
 PAGE_KEYS = ["document_id", "page_number"]
 ARRIVAL = "arrival"
@@ -21,10 +22,13 @@ def index_documents(pages: DataFrame, layout_mode: str = "scanned") -> DataFrame
     return with_hashed_embedding(chunk_pages(resolve_page_text(pages, layout_mode)))
 
 
-def stream_pages(spark: SparkSession, path: str, schema) -> DataFrame:
+def stream_pages(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
     """File stream of arriving page tables; ``arrival`` orders the versions of a page."""
     arrival = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.row_index")
-    return spark.readStream.schema(schema).parquet(path).select("*", arrival.alias(ARRIVAL))
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path).select("*", arrival.alias(ARRIVAL))
 
 
 def ingest_stream(
@@ -32,21 +36,25 @@ def ingest_stream(
 ) -> StreamingQuery:
     """O119: keep the chunk table equal to a batch run over all pages seen so far.
 
-    Each micro-batch first upserts its pages by (document, page), then rebuilds
+    Each micro-batch first appends its pages by (document, page), then rebuilds
     the chunks of the touched documents from all their stored pages, because a
-    section crosses pages, and replaces them by document. Both writes are keyed,
-    so a micro-batch that runs again leaves the same tables. Of a page that
-    comes twice in one batch the last to arrive counts.
+    section crosses pages, and replaces them by document. Both tables are keyed
+    logs: a batch writes what it touches and no more, and one that runs again,
+    also after it was lost between the two writes, leaves the same tables. Of a
+    page that comes twice in one batch the last to arrive counts.
     """
+    page_log, chunk_log = ingested_tables(pages_path, chunks_path, buckets)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         order = F.col(ARRIVAL) if ARRIVAL in batch.columns else F.xxhash64(*batch.columns)
         latest = latest_by_key(batch, PAGE_KEYS, order).drop(ARRIVAL)
-        upsert(latest, pages_path, PAGE_KEYS, buckets, bucket_keys=["document_id"])
+        page_log.append(latest, page_log.first_commit(spark, checkpoint) + batch_id)
         touched = batch.select("document_id").distinct()
-        stored = read_keyed(spark, pages_path, touched, "document_id", buckets)
-        upsert(index_documents(stored), chunks_path, ["document_id"], buckets, replaced=touched)
+        stored = page_log.read(spark, touched)
+        chunk_log.append(index_documents(stored), chunk_log.first_commit(spark, checkpoint) + batch_id, gone=touched)
+        page_log.compact(spark)
+        chunk_log.compact(spark)
 
     return (
         pages.writeStream.foreachBatch(apply)
@@ -56,6 +64,14 @@ def ingest_stream(
     )
 
 
+def ingested_tables(pages_path: str, chunks_path: str, buckets: int = 64) -> tuple[KeyedLog, KeyedLog]:
+    """The page and chunk tables that ``ingest_stream`` keeps."""
+    return (
+        KeyedLog(pages_path, tuple(PAGE_KEYS), ("document_id",), buckets),
+        KeyedLog(chunks_path, ("document_id",), (), buckets),
+    )
+
+
 def status_stream(events: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
     """O120: current status per document, kept in a table keyed by document.
 

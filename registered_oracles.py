@@ -500,6 +500,7 @@ ORACLES: dict[str, str] = {
     "chunk_documents": f"""WITH {SINGLE} SELECT document_id || ':p1:c' || chunk_index AS chunk_id, policy_id, chunk_index::INT AS chunk_index, 'NATIVE_TEXT' AS source_type,
         sha256(text) AS content_fingerprint, length(text)::INT AS chars FROM pieces""",
     "assign_sections": f"WITH {CHUNKS} SELECT chunk_id, document_id, page_number, chunk_index::INT AS chunk_index, source_type, section_name, sha256(text) AS content_fingerprint FROM chunks_v",
+    "ingested_chunks": f"WITH {CHUNKS} SELECT chunk_id, document_id, page_number, chunk_index::INT AS chunk_index, source_type, section_name, sha256(text) AS content_fingerprint FROM chunks_v",
     "fingerprint_audit": f"""WITH {SINGLE} SELECT document_id || ':p1:c2' AS chunk_id, document_id, sha256(document_id || ':p1:c2') AS content_fingerprint, sha256(text) AS recomputed_fingerprint
         FROM pieces WHERE chunk_index = 2""",
     "markdown_sections": f"WITH {SECTIONS} SELECT policy_id, page_number, section_index::INT AS section_index, title, md5(text) AS text_md5 FROM sections",
@@ -596,6 +597,9 @@ ORACLES: dict[str, str] = {
     "decision_history": f"WITH {FACTS}, {DECISIONS} SELECT fact_id, decision AS revisao_status, decided_by AS revisao_por, decision AS decisao, nullif(note, '') AS nota FROM merged",
     "bulk_feedback": f"""WITH {FACTS}, {DECISIONS.replace("ELSE 'OUTRO'", "ELSE 'DIVERGENTE'")} SELECT fact_id, seq, CASE WHEN reason IS NULL THEN decision END AS decision,
         CASE reason WHEN 'VALUE_REQUIRED' THEN 'ValueError' WHEN 'NORMALIZATION_ERROR' THEN 'NormalizationError' WHEN 'RULE_VIOLATION' THEN 'ContractValidationError' ELSE reason END AS reason FROM judged""",
+    "recompared": f"""WITH {FACTS}, {PAIRS}, after_v AS (SELECT * EXCLUDE (review), CASE WHEN k % 10 = 3 THEN status <> 'FOUND' ELSE review END AS review FROM facts_v),
+        {grid('status', 'review', RATE).replace('facts_v', 'after_v')}
+        SELECT a::VARCHAR AS policy_id_a, b::VARCHAR AS policy_id_b, ordinal::INT AS ordinal, field_code, resultado, {DIRECTION} AS direcao, CASE WHEN ordinal % 2 = 0 THEN 'nota ' || field_code END AS explicacao FROM grid_v""",
     "recompare_pairs": f"WITH {PAIRS} SELECT a::VARCHAR AS policy_id_a, b::VARCHAR AS policy_id_b FROM pairs_v WHERE a IN (SELECT user_id FROM events) OR b IN (SELECT user_id FROM events)",
     "issues": f"WITH {ISSUES}, {FAILURES} SELECT policy_id, field_code, severity, severity_rank::INT AS severity_rank, reason FROM (SELECT * FROM issues_v UNION ALL SELECT * FROM failures_v)",
     "issue_counts": f"WITH {ISSUES}, {FAILURES} SELECT policy_id, {COUNTS} FROM (SELECT * FROM issues_v UNION ALL SELECT * FROM failures_v) GROUP BY 1",
@@ -680,6 +684,9 @@ ORACLES: dict[str, str] = {
         FROM labels JOIN documents USING (doc_id)) WHERE violation IS NOT NULL""",
     "evidence_violations": """SELECT * FROM (SELECT doc_id AS evidence_id, CASE WHEN doc_id % 5 < 1 THEN 'PAGE_NUMBER' WHEN doc_id % 7 = 0 OR text = '' THEN 'QUOTED_TEXT' WHEN doc_id % 12 > 10 THEN 'RETRIEVAL_SCORE'
         WHEN doc_id % 3 = 0 THEN 'OCR_CONFIDENCE' WHEN doc_id % 11 = 0 THEN 'SOURCE_TYPE' END AS violation FROM documents) WHERE violation IS NOT NULL""",
+    "keyed_log_orders": """WITH m AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
+          UNION ALL SELECT o_orderkey, o_custkey, 'N' FROM orders WHERE o_orderstatus = 'P')
+        SELECT * FROM m WHERE o_custkey % 10 <> 3 UNION ALL SELECT o_orderkey, o_custkey, 'R' FROM orders WHERE o_custkey % 20 = 3""",
     "keyed_merge": """SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
         UNION ALL SELECT o_orderkey, o_custkey, 'N' FROM orders WHERE o_orderstatus = 'P'""",
     "latest_versions": "SELECT user_id, event_type, max(event_id) AS event_id, round(arg_max(value, event_id), 2) AS value FROM events GROUP BY 1, 2",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,9 @@ from clauselake.operators import (
     usage,
     vector_search,
 )
-from clauselake.sources import derived, exports, html, tables
+from clauselake.session import ensure_checkpoint_dir
+from clauselake.sources import derived, exports, html, keyed_log, tables
+from clauselake.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,6 +43,14 @@ def query(build: Query) -> Query:
     return build
 
 
+ARRIVALS = 3
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def joined(column: str, separator: str = ",") -> F.Column:
     return F.array_join(column, separator)
 
@@ -178,6 +189,18 @@ def assign_sections(spark, sf):
     return cut.select("chunk_id", "document_id", "page_number", "chunk_index", "source_type", "section_name", "content_fingerprint")
 
 
+@query
+def ingested_chunks(spark, sf):
+    """O119: pages that arrive as files, a file per micro-batch, their documents spread over all of them."""
+    folder = _folder(spark, "ingest")
+    arriving = derived.pages(spark, sf)
+    arriving.repartition(ARRIVALS, F.xxhash64("document_id", "page_number")).write.parquet(f"{folder}/arrived")
+    stream = ingest.stream_pages(spark, f"{folder}/arrived", arriving.schema, files_per_batch=1)
+    ingest.ingest_stream(stream, f"{folder}/pages", f"{folder}/chunks", f"{folder}/checkpoint", buckets=16).awaitTermination()
+    _, chunk_log = ingest.ingested_tables(f"{folder}/pages", f"{folder}/chunks", buckets=16)
+    return chunk_log.read(spark).select("chunk_id", "document_id", "page_number", "chunk_index", "source_type", "section_name", "content_fingerprint")
+
+
 @query
 def fingerprint_audit(spark, sf):
     cut = chunks.chunk_pages(derived.single_pages(spark, sf), sections=False)
@@ -658,6 +681,27 @@ def recompare_pairs(spark, sf):
     return comparison.pairs_touching(derived.pairs(spark, sf), users)
 
 
+@query
+def recompared(spark, sf):
+    """Comparisons stored as a keyed log; a review touches some policies and appends only their pairs."""
+    pairs, stored_facts = derived.pairs(spark, sf), _stored(spark, sf)
+    noted = F.when(F.col("ordinal") % 2 == 0, F.concat(F.lit("nota "), F.col("field_code")))
+    shape = ["comparison_id", "policy_id_a", "policy_id_b", "ordinal", "field_code", "resultado", "direcao", "explicacao"]
+    log = keyed_log.KeyedLog(_folder(spark, "comparisons"), ("comparison_id",), buckets=8)
+    first = comparison.compare_policies(pairs, stored_facts, derived.fx_rates(spark))
+    log.append(first.withColumn("explicacao", noted).select(*shape), 0)
+    reviewed_ones = stored_facts.filter(F.col("policy_id").cast("long") % 10 == 3)
+    decided = reviewed_ones.select(
+        "fact_id", F.when(F.col("status") == "FOUND", F.lit("CONFIRMADO")).otherwise(F.lit("DIVERGENTE")).alias("decision"),
+        F.lit("rev").alias("decided_by"), F.lit(None).cast("string").alias("value_json"), F.lit(None).cast("string").alias("note"),
+        F.lit("2025-01-01 00:00:00").cast("timestamp").alias("decided_at"), F.lit(1).cast("long").alias("seq"),
+    )
+    reviewed, _ = review.apply_decisions(stored_facts, decided)
+    fresh, _ = comparison.recompare(log.read(spark), pairs, reviewed_ones.select("policy_id"), reviewed, derived.fx_rates(spark))
+    log.append(fresh, 1)
+    return log.read(spark).drop("comparison_id")
+
+
 # --- quality
 
 
@@ -1051,6 +1095,21 @@ def keyed_merge(spark, sf):
     return merged
 
 
+@query
+def keyed_log_orders(spark, sf):
+    """All orders, a batch that replaces by customer (twice), deletions, a return, and a compaction."""
+    orders = tables.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    log = keyed_log.KeyedLog(_folder(spark, "orders"), ("o_custkey",), buckets=16)
+    log.append(orders, 0)
+    pending = orders.filter("o_orderstatus = 'P'").withColumn("o_orderstatus", F.lit("N"))
+    log.append(pending, 1)
+    log.append(pending.withColumn("o_orderstatus", F.lit("?")), 1)  # a repeated commit changes nothing
+    log.append(orders.limit(0), 2, gone=orders.filter("o_custkey % 10 = 3").select("o_custkey"))
+    log.append(orders.filter("o_custkey % 20 = 3").withColumn("o_orderstatus", F.lit("R")), 3)
+    log.compact(spark)
+    return log.read(spark)
+
+
 @query
 def latest_versions(spark, sf):
     """The last event of each user and type wins."""

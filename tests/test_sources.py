@@ -89,7 +89,7 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     outdated.unionAll(rest).coalesce(1).write.mode("append").parquet(source)  # each page twice in one batch
     run()
     columns = ["chunk_id", "section_name", "content_fingerprint", "vector"]
-    got = tables.read_upserted(spark, str(tmp_path / "c"), ["document_id"]).select(*columns)
+    got = ingest.ingested_tables(str(tmp_path / "p"), str(tmp_path / "c"), 4)[1].read(spark).select(*columns)
     assert rows_of(got) == rows_of(ingest.index_documents(pages).select(*columns))
 
 
