@@ -9,7 +9,7 @@ from clauselake.catalog import COMPANY_HINTS, INSURER_HEADER_LINES, TITLE_MARKER
 from clauselake.functions.text import collapse_spaces, strip
 from clauselake.operators.pages import LINE_BREAK
 from clauselake.plans.once import compute_once, let
-from clauselake.plans.ranking import rank_by_sort
+from clauselake.plans.ranking import integer_levels, rank_by_levels
 
 # fixed values: patterns of tag lines, reference years, dates and digits
 TAG_LINE = r"^\[[^\]]+\]$"
@@ -157,9 +157,9 @@ def display_labels(info: DataFrame, scope: list[str] | None = None) -> DataFrame
         *keys, ((F.col("__no_year") == 0) & (F.col("__years") == F.col("__n"))).alias("__by_year")
     )
     marked = named.join(shared, keys, "left")
-    letters = rank_by_sort(
+    letters = rank_by_levels(
         marked.filter(~F.col("__by_year")).select(*keys, "policy_id", "position"),
-        keys, [F.asc("position"), F.asc("policy_id")], "__letter",
+        keys, integer_levels(F.col("position")), [F.asc("position"), F.asc("policy_id")], "__letter",
     ).drop("position")
     labelled = marked.join(letters, [*keys, "policy_id"], "left")
     suffix = F.when(F.col("__by_year"), F.col("year")).when(F.col("__letter").isNotNull(), letter_number(F.col("__letter")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clauselake.catalog import CRITERION_CODES, GUARD_FACTS, RANKING_CRITERIA
 from clauselake.plans.broadcasting import checked_broadcast
-from clauselake.plans.ranking import rank_by_sort
+from clauselake.plans.ranking import integer_levels, rank_by_levels
 
 
 def normalize_weights(weights: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -87,8 +87,10 @@ def compute_ranking(notes: DataFrame, weights: DataFrame, group: list[str] | Non
     totals = valid.select(
         "scenario", "scenario_ordinal", *group, "policy_id", "input_pos", F.round("__total", 6).cast("decimal(20,6)").alias("total")
     )
-    return rank_by_sort(
-        totals, ["scenario", "scenario_ordinal", *group], [F.desc("total"), F.asc("input_pos"), F.asc("policy_id")], "rank"
+    # Totals lie between 0 and 10 with six digits: a thousand coarse ranges of at most ten thousand totals each.
+    levels = [-F.floor(F.col("total") * 100), -F.col("total"), *integer_levels(F.col("input_pos"))]
+    return rank_by_levels(
+        totals, ["scenario", "scenario_ordinal", *group], levels, [F.asc("input_pos"), F.asc("policy_id")], "rank"
     )
 
 

@@ -17,7 +17,7 @@ from clauselake.catalog import (
 )
 from clauselake.functions.text import strip_accents, truncate
 from clauselake.plans.once import compute_once
-from clauselake.plans.ranking import rank_by_sort
+from clauselake.plans.ranking import rank_by_levels
 from clauselake.plans.top_k import top_k
 
 
@@ -113,8 +113,14 @@ def section_feed(evidence: DataFrame) -> DataFrame:
 
 
 def markdown_feed(sections: DataFrame) -> DataFrame:
-    """O100: markdown sections -> prompt sections; an untitled one carries its number within the policy."""
-    numbered = rank_by_sort(sections, ["policy_id"], [F.asc("page_number"), F.asc("section_index")], "position")
+    """O100: markdown sections -> prompt sections; an untitled one carries its number within the policy.
+
+    The numbers come from the keys alone, by ranges of pages; texts move once, to meet their number.
+    """
+    place = ["policy_id", "page_number", "section_index"]
+    page = F.col("page_number")
+    positions = rank_by_levels(sections.select(*place), ["policy_id"], [F.floor(page / 1024), page], [F.asc("section_index")], "position")
+    numbered = sections.join(positions, place)
     number = F.concat(F.lit("seção "), F.col("position").cast("string"))
     title = F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise(number)
     return numbered.select(

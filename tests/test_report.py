@@ -4,8 +4,9 @@ import random
 from pyspark.sql import functions as F
 
 from clauselake import catalog
+from clauselake.operators import section_search
 from clauselake.operators import insurer, ranking, report, usage
-from clauselake.plans.ranking import rank_by_sort
+from clauselake.plans.ranking import integer_levels, rank_by_levels
 
 C = F.col
 NOTES = "policy_id string, input_pos int, criterion string, nota double"
@@ -32,18 +33,33 @@ def test_ranking_formula_ties_and_rejects(spark):
     assert {r["scenario_ordinal"]: float(r["total"]) for r in sensitivity.collect()} == {1: 33.333333, 2: round(2500 / 105, 6)}
 
 
-def test_rank_by_sort_equals_a_plain_sort_with_one_huge_group(spark):
+def test_rank_by_levels_equals_a_plain_sort_with_one_huge_group(spark):
     rng = random.Random(2)
-    rows = [("g" if rng.random() < 0.8 else f"k{i % 7}", rng.randint(0, 5), i) for i in range(3000)]
+    rows = [(None if rng.random() < 0.1 else "g" if rng.random() < 0.8 else f"k{i % 7}", rng.choice([0, 1, 2, 3, None]), i) for i in range(3000)]
     df = spark.createDataFrame(rows, "k string, v int, i int").repartition(6)
-    got = {r["i"]: r["n"] for r in rank_by_sort(df, ["k"], [F.desc("v"), F.asc("i")], "n").collect()}
+    jobs = spark.sparkContext.statusTracker()
+    before = len(jobs.getJobIdsForGroup(None))
+    ranked = rank_by_levels(df, ["k"], [F.col("v"), *integer_levels(F.col("i"), 10)], [F.asc("i")], "n")
+    assert len(jobs.getJobIdsForGroup(None)) == before  # a plan, no action
+    got = {r["i"]: r["n"] for r in ranked.collect()}
     expected, seen = {}, {}
-    for k, v, i in sorted(rows, key=lambda r: (r[0], -r[1], r[2])):
+    for k, v, i in sorted(rows, key=lambda r: (r[0] or "", -1 if r[1] is None else r[1], r[2])):
         seen[k] = seen.get(k, 0) + 1
         expected[i] = seen[k]
     assert got == expected
 
 
+def test_feed_numbers_carry_no_texts(spark):
+    rows = [("p", page, s, None if s % 2 else f"t{s}", f"text {page} {s}") for page in (3, 1, 2000, 5000) for s in range(3)] + [("q", 1, 4, None, "only")]
+    sections = spark.createDataFrame(rows, "policy_id string, page_number int, section_index int, title string, text string")
+    feed = section_search.markdown_feed(sections)
+    got = {(r["policy_id"], r["text"]): (r["position"], r["source"]) for r in feed.collect()}
+    ordered = sorted(r for r in rows if r[0] == "p")
+    assert all(got["p", r[4]][0] == n for n, r in enumerate(ordered, start=1)) and got["q", "only"] == (1, "seção 1 · pág. 1")
+    plan = feed._jdf.queryExecution().optimizedPlan().toString()
+    assert all("text" not in line for line in plan.split("\n") if "Window" in line)
+
+
 def test_guard_names_what_is_missing(spark):
     codes = [code for code, _ in catalog.GUARD_FACTS]
     rows = [("cheio", *[True] * 7, True), ("perfil", *[True] * 7, False), ("nada", None, *[True] * 6, True)]
