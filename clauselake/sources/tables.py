@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauselake.catalog import DOCUMENT_HEADER, FACT_STATUSES, MAX_DOCUMENT_BYTES
+from clauselake.functions.text import is_blank
+from clauselake.plans.once import compute_once
 from clauselake.session import ensure_checkpoint_dir
 
 DRIVER_TABLES = (
@@ -94,7 +96,10 @@ def document_intake(spark: SparkSession, path: str, max_bytes: int = MAX_DOCUMEN
         .filter(named & small)
         .select("path", header.alias("has_header"))
     )
-    checked = files.select("path", "length").join(sized, "path", "left")
+    return _intake(files.select("path", "length").join(sized, "path", "left"))
+
+
+def _intake(checked: DataFrame) -> DataFrame:
     accepted = F.coalesce("has_header", F.lit(False))
     return checked.select(
         "path",
@@ -105,6 +110,19 @@ def document_intake(spark: SparkSession, path: str, max_bytes: int = MAX_DOCUMEN
     )
 
 
+def intake_contents(files: DataFrame, max_bytes: int = MAX_DOCUMENT_BYTES) -> DataFrame:
+    """O1 over a table ``(path, content binary)``: the same rules as for files.
+
+    A row is narrow work: length and first bytes are read where the content
+    lies, and the content is not part of the result. A null content is refused.
+    """
+    named = F.coalesce(F.lower("path").endswith(".pdf"), F.lit(False))
+    length = F.octet_length("content").cast("long")
+    header = F.substring("content", 1, len(DOCUMENT_HEADER)) == F.encode(F.lit(DOCUMENT_HEADER), "UTF-8")
+    sound = named & F.coalesce(length <= max_bytes, F.lit(False)) & F.coalesce(header, F.lit(False))
+    return _intake(files.select("path", length.alias("length"), sound.alias("has_header")))
+
+
 def scan_pages(pages: DataFrame, document_id: str) -> DataFrame:
     """O2: native text of a document in page order."""
     return pages.filter(F.col("document_id") == document_id).select("page_number", "native_text").orderBy("page_number")
@@ -115,9 +133,31 @@ def scan_markdown(pages: DataFrame, policy_id: str) -> DataFrame:
     return pages.filter(F.col("policy_id") == policy_id).orderBy("page_number")
 
 
-def load_bundles(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Policy bundles (one JSON document per file) as flat tables."""
-    bundles = spark.read.schema(BUNDLE_SCHEMA).option("multiLine", "true").json(path)
+CORRUPT = "__corrupt"
+
+
+def read_json_documents(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Nested JSON documents of any number of files, and ``(file, error_code)`` of those that are broken.
+
+    A document is a file, or a line without ``multi_line``. The raw text of a
+    broken one is not passed on.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    read = spark.read.option("wholetext", str(multi_line).lower()).text(path).filter(~is_blank(F.col("value"))).select(
+        F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.from_json("value", f"{schema}, {CORRUPT} string", options).alias("document"))
+    read = compute_once(read, document=F.col("document"))
+    broken = F.col("document").isNull() | F.col(f"document.{CORRUPT}").isNotNull()
+    return read.filter(~broken).select("document.*").drop(CORRUPT), read.filter(broken).select("file", F.lit("JSON_INVALID").alias("error_code"))
+
+
+def write_json_documents(documents: DataFrame, path: str) -> None:
+    """Nested rows as JSON, one document a line, in as many files as the partitions of ``documents``."""
+    documents.select(F.to_json(F.struct(*documents.columns)).alias("value")).write.mode("overwrite").text(path)
+
+
+def load_bundles(spark: SparkSession, path: str, multi_line: bool = True) -> dict[str, DataFrame]:
+    """Policy bundles (one JSON document per file, or per line) as flat tables; broken ones are ``rejects``."""
+    bundles, rejects = read_json_documents(spark, path, BUNDLE_SCHEMA, multi_line)
     return {
         "policies": bundles.select("policy.*"),
         "documents": bundles.select(F.inline("documents")),
@@ -125,20 +165,23 @@ def load_bundles(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         "responses": bundles.select(
             "policy.policy_id", F.posexplode("llm_output").alias("position", "item")
         ).select("policy_id", "position", "item.*"),
+        "rejects": rejects,
     }
 
 
-def load_reference_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def load_reference_set(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(chunks, expected facts, violations) of reference sets.
 
     FOUND needs an expected value, NOT_FOUND forbids one, a field occurs once
-    per case. Violations name the rule and the key, never the content.
+    per case. Violations name the rule and the key, never the content; a broken
+    document is a violation that names its file.
     """
-    sets = spark.read.schema(REFERENCE_SET_SCHEMA).option("multiLine", "true").json(path)
+    sets, rejects = read_json_documents(spark, path, REFERENCE_SET_SCHEMA, multi_line)
     cases = sets.select("reference_version", F.inline("cases"))
     chunks = cases.select("case_id", "policy_id", F.inline("chunks"))
     expected = cases.select("case_id", "policy_id", F.inline("expected_facts"))
-    return chunks, expected, expected_violations(expected)
+    broken = rejects.select(F.col("file").alias("case_id"), F.lit(None).cast("string").alias("field_code"), F.col("error_code").alias("violation"))
+    return chunks, expected, expected_violations(expected).unionByName(broken)
 
 
 def expected_violations(expected: DataFrame) -> DataFrame:

@@ -452,6 +452,37 @@ EXPLANATION_HEAD = (
     "Explique a um analista a diferença entre duas apólices.\nDevolva apenas JSON, sem texto ao redor, na forma "
     '{"text", "evidence_ids"}.\nCite evidências dos dois lados quando houver.\n'
 )
+JSON_HEAD = "Devolva apenas JSON, sem texto ao redor, na forma"
+GUESS_LINE = 'O que não constar do material fica nulo ou "Não localizado"; não complete por suposição.'
+IDENTIFICATION_HEAD = (
+    "Identifique o documento de apólice.\n"
+    + JSON_HEAD
+    + " {seguradora, produto, processo_susep, versao_data, publico_alvo, empresa_aberta_fechada, "
+    "secoes_natureza, num_paginas, coberturas_descritas, limitacoes, ausentes}.\n" + GUESS_LINE + "\n\n"
+)
+
+
+def fill_head(code: str, label: str) -> str:
+    fields = "".join(f"- {f}: {text} ({weight})\n" for f, c, weight, text in REPORT_FIELD_TABLE if c == code)
+    return (
+        f"Preencha a matriz de comparação na categoria {label} ({code}), uma célula por campo.\n{JSON_HEAD} "
+        '{"cells": [{"field_code", "status", "limite_franquia", "exclusoes_condicoes", "impacto_pratico", "impacto_financeiro", "referencia", "origem"}]}.\n'
+        f'{GUESS_LINE}\nTodo status diferente de "Não localizado" exige referencia.\n\n{fields}\n## Seções'
+    )
+
+
+REPORT_HEADS = {
+    "tables": "Monte as 5 tabelas especiais do relatório, uma para cada code abaixo.\n" + JSON_HEAD
+    + ' {"tables": [{"code", "title", "rows": [{"label", "cells": {policy_id: texto ou null}}]}]}.\n'
+    "- pessoas_protegidas: quem é coberto\n- limites: limites, sublimites e franquias\n- matriz_temporal: base de reclamação, retroatividade e notificação\n"
+    "- exclusoes_criticas: exclusões críticas\n- coberturas_sociedade: cobertura da sociedade e reembolso\n" + GUESS_LINE + "\n",
+    "scenarios": "Descreva 3 cenários hipotéticos de sinistro e o que cada documento prevê em cada um.\n" + JSON_HEAD
+    + ' {"scenarios": [{"name", "policy_findings": {policy_id: texto}}]}.\nSão hipóteses: não afirme que a seguradora aceitaria a cobertura.\n' + GUESS_LINE + "\n",
+    "scores": "Dê a cada apólice uma nota de 0 a 10 por critério, apoiada nos documentos.\n" + JSON_HEAD + ' {"notes": {policy_id: {criterio: nota}}}.\n'
+    + "".join(f"- {code}: {label} (peso {weight})\n" for code, weight, label in RANKING_CRITERIA) + GUESS_LINE + "\n",
+    "conclusions": "Escreva as conclusões com exatamente estas 8 chaves; vantagens e desvantagens são objetos por documento, as outras são listas.\n"
+    + "".join(f"- {key}: {title}\n" for key, title in CONCLUSION_TITLES) + "Sem dado financeiro nos documentos, não conclua sobre preço.\n" + GUESS_LINE + "\n",
+}
 QUESTION_HEAD = (
     "Responda à pergunta do analista apenas com base nas evidências.\nCite somente os identificadores de evidência listados abaixo.\n"
     'Devolva apenas JSON, sem texto ao redor, na forma {"text", "evidence_ids"}.\n\n## Pergunta\n'
@@ -529,10 +560,10 @@ ORACLES: dict[str, str] = {
         best AS (SELECT h.policy_id, 'ev_' || chunk_id AS evidence_id, ordinal, rank, greatest(0.0, least(1.0, score)) AS retrieval_score,
                  row_number() OVER (PARTITION BY h.policy_id, chunk_id ORDER BY ordinal, rank) AS n FROM hits h JOIN topics USING (query_id))
         SELECT policy_id, evidence_id, ordinal::INT AS query_ordinal, rank::INT AS rank, retrieval_score FROM best WHERE n = 1""",
-    "question_evidence": f"""WITH {VECTORS}, {QUESTIONS}, asked AS MATERIALIZED (SELECT query_id, conv_id, 'src' || conv_id % 25 AS policy_id, {embed('query')} AS v FROM questions),
-        {search('asked', 5, 'q.policy_id = c.policy_id')}, {READING.replace(SECTION_POLICY, 'source')},
+    "question_evidence": f"""WITH {VECTORS.replace("source AS policy_id, source AS document_id", SECTION_POLICY + " AS policy_id, source AS document_id")}, {QUESTIONS}, asked AS MATERIALIZED (SELECT query_id, conv_id, 'pol' || conv_id AS policy_id, {embed('query')} AS v FROM questions),
+        {search('asked', 5, 'q.policy_id = c.policy_id')}, {READING},
         open_q AS (SELECT query_id, conv_id FROM asked WHERE query_id NOT IN (SELECT query_id FROM hits)),
-        filled AS (SELECT query_id, rank AS position, evidence_id FROM open_q JOIN reading ON conv_id % 2 = 0 AND policy_id = 'src' || conv_id % 3 WHERE rank <= 10)
+        filled AS (SELECT query_id, rank AS position, evidence_id FROM open_q JOIN reading ON conv_id % 2 = 0 AND policy_id = 'pol' || (conv_id // 2) WHERE rank <= 10)
         SELECT query_id, rank::INT AS position, 'ev_' || chunk_id AS evidence_id, 'search' AS origin FROM hits
         UNION ALL SELECT query_id, position::INT, evidence_id, 'fallback' FROM filled
         UNION ALL SELECT query_id, NULL::INT, NULL, 'notice' FROM open_q WHERE query_id NOT IN (SELECT query_id FROM filled)""",
@@ -564,6 +595,10 @@ ORACLES: dict[str, str] = {
         kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n FROM x WHERE i = 0 OR (i = 1 AND doc_id % 2 <> 0) OR (i = 2 AND doc_id % 3 <> 0))
         SELECT 'EXF-' || doc_id || '-' || lpad(n::VARCHAR, 3, '0') AS finding_id, doc_id::VARCHAR AS policy_id, ['Idioma', 'Fonte', 'Tamanho'][i + 1] AS label,
         [lang, source, n_chars::VARCHAR][i + 1] AS value, CASE WHEN i = 2 THEN 'caracteres' END AS detail, 'ev' || doc_id AS evidence_ids FROM kept""",
+    "finding_scan": """WITH x AS (SELECT doc_id, unnest([0, 1, 2]) AS i, lang, source, n_chars FROM documents),
+        kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n FROM x WHERE i = 0 OR (i = 1 AND doc_id % 2 <> 0) OR (i = 2 AND doc_id % 3 <> 0))
+        SELECT 'EXF-' || doc_id || '-' || lpad(n::VARCHAR, 3, '0') AS finding_id, doc_id::VARCHAR AS policy_id, ['Idioma', 'Fonte', 'Tamanho'][i + 1] AS label,
+        [lang, source, n_chars::VARCHAR][i + 1] AS value, CASE WHEN i = 2 THEN 'caracteres' END AS detail, 'ev' || doc_id AS evidence_ids FROM kept WHERE doc_id = 10""",
     "compare_policies": f"""WITH {COMPARED} SELECT a::VARCHAR AS policy_id_a, b::VARCHAR AS policy_id_b, ordinal::INT AS ordinal, field_code, resultado, {DIRECTION} AS direcao,
         NULL::VARCHAR AS error_code, valor_a, valor_b, coalesce(ev_a, '') AS evidencias_a, coalesce(ev_b, '') AS evidencias_b FROM grid_v""",
     "compare_policies_missing_rate": f"""WITH {FACTS}, {PAIRS}, plain AS (SELECT * EXCLUDE (flagged), FALSE AS flagged FROM facts_v),
@@ -677,6 +712,9 @@ ORACLES: dict[str, str] = {
     "evaluation_entries": f"""WITH {EVALUATED} SELECT 'caso' || doc_id AS case_id, 'prazo_notificacao_sinistro' AS field_code, expected_status, extracted_status, result,
         CASE result WHEN 'nao_avaliado' THEN 'campo não avaliado' WHEN 'ausente' THEN 'campo não encontrado na apólice' WHEN 'inconclusivo' THEN 'extração sinalizada para revisão humana (EC-03)'
           WHEN 'divergente' THEN CASE WHEN expected_status = 'NOT_FOUND' THEN 'campo extraído mas não esperado na referência' ELSE 'valor divergente do esperado' END END AS detail, evidence_ok FROM results""",
+    "evaluation_json": f"""WITH {EVALUATED} SELECT 'caso' || doc_id AS case_id, 'prazo_notificacao_sinistro' AS field_code, expected_status, extracted_status, result,
+        CASE result WHEN 'nao_avaliado' THEN 'campo não avaliado' WHEN 'ausente' THEN 'campo não encontrado na apólice' WHEN 'inconclusivo' THEN 'extração sinalizada para revisão humana (EC-03)'
+          WHEN 'divergente' THEN CASE WHEN expected_status = 'NOT_FOUND' THEN 'campo extraído mas não esperado na referência' ELSE 'valor divergente do esperado' END END AS detail, evidence_ok FROM results""",
     "evaluation_totals": f"""WITH {EVALUATED} SELECT count(*) AS total_cases, count(*) FILTER (result = 'correto') AS correct, count(*) FILTER (result = 'divergente') AS divergent, count(*) FILTER (result = 'ausente') AS absent,
         count(*) FILTER (result = 'inconclusivo') AS inconclusive, count(*) FILTER (result = 'nao_avaliado') AS not_evaluated, count(*) FILTER (evidence_ok) AS evidence_correct FROM results""",
     "reference_violations": """SELECT DISTINCT case_id, field_code, violation FROM (
@@ -684,6 +722,35 @@ ORACLES: dict[str, str] = {
         FROM labels JOIN documents USING (doc_id)) WHERE violation IS NOT NULL""",
     "evidence_violations": """SELECT * FROM (SELECT doc_id AS evidence_id, CASE WHEN doc_id % 5 < 1 THEN 'PAGE_NUMBER' WHEN doc_id % 7 = 0 OR text = '' THEN 'QUOTED_TEXT' WHEN doc_id % 12 > 10 THEN 'RETRIEVAL_SCORE'
         WHEN doc_id % 3 = 0 THEN 'OCR_CONFIDENCE' WHEN doc_id % 11 = 0 THEN 'SOURCE_TYPE' END AS violation FROM documents) WHERE violation IS NOT NULL""",
+    "document_intake": """WITH f AS (SELECT 'arquivo' || page_id || CASE WHEN page_id % 6 = 3 THEN '.PDF' WHEN page_id % 15 = 0 THEN '.txt' ELSE '.pdf' END AS path, page_id,
+          strlen(CASE page_id % 3 WHEN 0 THEN '%PDF-1.7' || chr(10) WHEN 1 THEN '%PDF' ELSE '' END || html) AS length, page_id % 3 = 0 OR (page_id % 3 = 1 AND starts_with(html, '-')) OR starts_with(html, '%PDF-') AS signed FROM pages),
+        g AS (SELECT path, length, signed AND lower(path) LIKE '%.pdf' AND length <= 8000 AS accepted FROM f)
+        SELECT path, length, coalesce(accepted, FALSE) AS accepted, CASE WHEN accepted THEN 'RECEIVED' ELSE 'FAILED' END AS stage, CASE WHEN accepted THEN NULL ELSE 'EXTRACT: arquivo inválido' END AS message FROM g""",
+    "page_scan": f"WITH {PAGES} SELECT page_number, md5(native) AS text_md5 FROM native_v WHERE document_id = 'src3'",
+    "markdown_scan": "SELECT 'pol' || (doc_id // 8) AS policy_id, doc_id + 1 AS page_number, md5(regexp_replace(text, '(?m)^([DEL])', '## \\1', 'g')) AS markdown_md5 FROM documents WHERE doc_id // 8 = 3",
+    "bundle_evidence": """SELECT 'pol' || (doc_id // 8) AS policy_id, 'ev' || doc_id AS evidence_id, doc_id::VARCHAR AS document_id, (doc_id % 8 + 1)::INT AS page_number, md5(text) AS text_md5,
+        n_chars % 11 / 10.0::DOUBLE AS retrieval_score, n_chars::VARCHAR AS value, 0.5::DOUBLE AS confidence FROM documents WHERE doc_id // 8 % 10 <> 7""",
+    "bundle_rejects": """WITH p AS (SELECT DISTINCT doc_id // 8 AS k FROM documents) SELECT CASE WHEN k % 10 = 7 THEN 'JSON_INVALID' ELSE 'READ' END AS error_code, count(*) AS n FROM p GROUP BY 1""",
+    "reference_set_load": f"""WITH e AS (SELECT 'caso' || doc_id AS case_id, 'prazo_notificacao_sinistro' AS field_code, CASE WHEN quality = 1 THEN 'FOUND' ELSE 'NOT_FOUND' END AS status,
+          CASE WHEN quality = 1 THEN '{{"number":"' || n_chars || '"}}' END AS expected_value, CASE WHEN quality = 1 THEN md5({LAST_LINE}) END AS quote_md5 FROM labels JOIN documents d USING (doc_id))
+        SELECT case_id, field_code, status, expected_value, quote_md5 FROM e""",
+    "missing_vectors": "SELECT vec_id::VARCHAR AS chunk_id, CASE WHEN vec_id % 9 = 0 THEN 'VECTOR_MISSING' ELSE 'OK' END AS error_code FROM embeddings",
+    "external_embedding": "SELECT doc_id, length(coalesce(text, '')) AS chars, length(text) - length(replace(text, ' ', '')) AS blanks, 1::BIGINT AS in_batch FROM documents",
+    "evaluation_run_id": f"""WITH e AS (SELECT doc_id, n_chars, quality, {LAST_LINE} AS quote FROM labels JOIN documents d USING (doc_id)),
+        h AS (SELECT sha256(CASE WHEN quality = 1 THEN to_json({{'case_id': 'caso' || doc_id, 'policy_id': doc_id::VARCHAR, 'field_code': 'prazo_notificacao_sinistro', 'status': 'FOUND', 'expected_value': '{{"number":"' || n_chars || '"}}', 'evidence_quote': quote}})::VARCHAR
+            ELSE to_json({{'case_id': 'caso' || doc_id, 'policy_id': doc_id::VARCHAR, 'field_code': 'prazo_notificacao_sinistro', 'status': 'NOT_FOUND'}})::VARCHAR END) AS x FROM e),
+        t AS (SELECT count(*)::VARCHAR AS n, {", ".join(f"sum(('0x' || substr(x, {1 + 15 * i}, 15))::BIGINT::HUGEINT)::VARCHAR AS w{i}" for i in range(4))} FROM h)
+        SELECT 'eval_' || substr(sha256(concat_ws('|', n, w0, w1, w2, w3)), 1, 12) AS run_id FROM t""",
+    "identification_prompts": f"""WITH {READING}, b AS (SELECT policy_id, string_agg('### doc ' || policy_id || ' · pág. ' || page_number || CASE WHEN coalesce(title, '') <> '' THEN ' · seção ' || title ELSE '' END || chr(10) || text, repeat(chr(10), 2) ORDER BY rank) AS body FROM reading GROUP BY 1), p AS (SELECT policy_id, {lit(IDENTIFICATION_HEAD)} || body AS prompt FROM b)
+        SELECT policy_id, substr(sha256(prompt), 1, 12) AS prompt_hash, length(prompt)::INT AS prompt_chars FROM p""",
+    "fill_prompts": f"""WITH {READING}, b AS (SELECT policy_id, string_agg('### doc ' || policy_id || ' · pág. ' || page_number || CASE WHEN coalesce(title, '') <> '' THEN ' · seção ' || title ELSE '' END || chr(10) || text, repeat(chr(10), 2) ORDER BY rank) AS body FROM reading GROUP BY 1),
+        h(category, head) AS (VALUES {", ".join(f"({lit(c)}, {lit(fill_head(c, l))})" for c, l in REPORT_CATEGORIES)}), p AS (SELECT policy_id, category, head || chr(10) || body AS prompt FROM b, h)
+        SELECT policy_id, category, substr(sha256(prompt), 1, 12) AS prompt_hash, length(prompt)::INT AS prompt_chars FROM p""",
+    "report_prompts": f"""WITH {READING}, b AS (SELECT policy_id, string_agg('### doc ' || policy_id || ' · pág. ' || page_number || CASE WHEN coalesce(title, '') <> '' THEN ' · seção ' || title ELSE '' END || chr(10) || text, repeat(chr(10), 2) ORDER BY rank) AS body FROM reading GROUP BY 1),
+        m AS (SELECT DISTINCT concat_ws('-', lang, (doc_id // 64)::VARCHAR) AS report_id, 'pol' || (doc_id // 8) AS policy_id, doc_id // 8 AS o FROM documents),
+        r AS (SELECT report_id, string_agg('## Documento ' || policy_id || chr(10) || body, repeat(chr(10), 2) ORDER BY o) AS body FROM m JOIN b USING (policy_id) GROUP BY 1),
+        h(kind, head) AS (VALUES {", ".join(f"({lit(k)}, {lit(v)})" for k, v in REPORT_HEADS.items())}), p AS (SELECT report_id, kind, head || body AS prompt FROM r, h)
+        SELECT report_id, kind, substr(sha256(prompt), 1, 12) AS prompt_hash, length(prompt)::INT AS prompt_chars FROM p""",
     "keyed_log_orders": """WITH m AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
           UNION ALL SELECT o_orderkey, o_custkey, 'N' FROM orders WHERE o_orderstatus = 'P')
         SELECT * FROM m WHERE o_custkey % 10 <> 3 UNION ALL SELECT o_orderkey, o_custkey, 'R' FROM orders WHERE o_custkey % 20 = 3""",

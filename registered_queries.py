@@ -238,9 +238,86 @@ def run_profile(spark, sf):
 
 @query
 def document_intake(spark, sf):
-    return tables.document_intake(spark, sf).select(
-        F.regexp_extract("path", "([^/]*)$", 1).alias("file"), "length", "accepted", "stage", "message"
+    """O1: pages as stored files; a third carries the signature, some a foreign name, long ones exceed the limit."""
+    page = F.col("page_id")
+    content = F.encode(F.concat(F.when(page % 3 == 0, F.lit("%PDF-1.7\n")).when(page % 3 == 1, F.lit("%PDF")).otherwise(F.lit("")), F.col("html")), "UTF-8")
+    files = tables.table(spark, sf, "pages").select(
+        F.concat(F.lit("arquivo"), page.cast("string"), F.when(page % 6 == 3, F.lit(".PDF")).when(page % 15 == 0, F.lit(".txt")).otherwise(F.lit(".pdf"))).alias("path"),
+        content.alias("content"),
     )
+    return tables.intake_contents(files, max_bytes=8000)
+
+
+@query
+def page_scan(spark, sf):
+    """O2."""
+    return tables.scan_pages(derived.pages(spark, sf), "src3").select("page_number", F.md5("native_text").alias("text_md5"))
+
+
+@query
+def markdown_scan(spark, sf):
+    """O122."""
+    return tables.scan_markdown(derived.markdown_pages(spark, sf), "pol3").select("policy_id", "page_number", F.md5("markdown").alias("markdown_md5"))
+
+
+def _bundles(spark, sf):
+    """A bundle per eight documents; every tenth line is cut off."""
+    docs = tables.table(spark, sf, "documents").withColumn("policy_id", derived.section_policy())
+    doc = F.col("doc_id").cast("string")
+    evidence = F.struct(
+        F.concat(F.lit("ev"), doc).alias("evidence_id"), "policy_id", doc.alias("document_id"), (F.col("doc_id") % 8 + 1).cast("int").alias("page_number"),
+        F.col("text").alias("quoted_text"), (F.col("n_chars") % 11 / 10).alias("retrieval_score"), F.lit("NATIVE_TEXT").alias("source_type"),
+    )
+    answer = F.struct(
+        F.lit("franquia").alias("field_code"), F.lit("FOUND").alias("status"), F.col("n_chars").cast("string").alias("value"),
+        F.lit(0.5).alias("confidence"), F.array(F.concat(F.lit("ev"), doc)).alias("evidence_ids"), F.lit(False).alias("requires_human_review"),
+    )
+    return docs.groupBy("policy_id").agg(  # eight documents
+        F.struct("policy_id", F.lit("S").alias("seguradora")).alias("policy"),
+        F.collect_list(F.struct(doc.alias("document_id"), "policy_id", F.col("source").alias("nome_fonte"))).alias("documents"),
+        F.array_sort(F.collect_list(evidence)).alias("evidences"),
+        F.array_sort(F.collect_list(answer)).alias("llm_output"),
+    )
+
+
+def _loaded_bundles(spark, sf):
+    folder = _folder(spark, "bundles")
+    bundles = _bundles(spark, sf)
+    cut_off = F.regexp_extract("policy_id", "([0-9]+)", 1).cast("long") % 10 == 7
+    tables.write_json_documents(bundles.filter(~cut_off).drop("policy_id"), f"{folder}/whole")
+    broken = F.to_json(F.struct(*[c for c in bundles.columns if c != "policy_id"]))
+    bundles.filter(cut_off).select(F.substring(broken, F.lit(1), F.floor(F.length(broken) / 2).cast("int")).alias("value")).write.text(f"{folder}/broken")
+    return tables.load_bundles(spark, f"{folder}/*", multi_line=False)
+
+
+@query
+def bundle_evidence(spark, sf):
+    """Bundles written as nested JSON and read back flat."""
+    loaded = _loaded_bundles(spark, sf)
+    answers = loaded["responses"].select("policy_id", F.explode("evidence_ids").alias("evidence_id"), "value", "confidence")
+    return loaded["evidence"].join(answers, ["policy_id", "evidence_id"]).select(
+        "policy_id", "evidence_id", "document_id", "page_number", F.md5("quoted_text").alias("text_md5"), "retrieval_score", "value", "confidence")
+
+
+@query
+def bundle_rejects(spark, sf):
+    """Broken documents beside whole ones."""
+    loaded = _loaded_bundles(spark, sf)
+    broken = loaded["rejects"].groupBy("error_code").agg(F.count(F.lit(1)).alias("n"))
+    return broken.unionByName(loaded["policies"].agg(F.count(F.lit(1)).alias("n")).select(F.lit("READ").alias("error_code"), "n"))
+
+
+@query
+def reference_set_load(spark, sf):
+    """Labelled documents as nested reference sets, written as JSON and read back."""
+    cases = derived.expected_facts(spark, sf).withColumn("__set", F.floor(F.col("policy_id").cast("long") / 64)).groupBy("__set", "case_id", "policy_id").agg(
+        F.collect_list(F.struct("field_code", "status", "expected_value", "evidence_quote")).alias("expected_facts"))
+    sets = cases.groupBy("__set").agg(F.collect_list(F.struct("case_id", "policy_id", "expected_facts")).alias("cases"))  # 64 cases at most
+    folder = _folder(spark, "reference-sets")
+    tables.write_json_documents(sets.select(F.lit("1").alias("reference_version"), "cases"), folder)
+    _, expected, violations = tables.load_reference_set(spark, folder, multi_line=False)
+    marked = violations.select("case_id", "field_code", F.col("violation").alias("status"))
+    return expected.select("case_id", "field_code", "status", "expected_value", F.md5("evidence_quote").alias("quote_md5")).unionByName(marked, allowMissingColumns=True)
 
 
 # --- retrieval
@@ -319,26 +396,37 @@ def breadth_evidence(spark, sf):
 
 @query
 def question_evidence(spark, sf):
-    """Questions about a source; sources 20 to 24 do not exist and fall back to their two policies."""
-    asked = derived.questions(spark, sf).withColumn(
-        "policy_id", F.concat(F.lit("src"), (F.col("conv_id") % 25).cast("string"))
-    )
-    indexed = _indexed_chunks(spark, sf)
+    """Questions about the policy that bears their number; where it has no evidence the listed policies are read."""
+    number = F.col("conv_id")
+    named = lambda n: F.concat(F.lit("pol"), n.cast("string"))
+    asked = derived.questions(spark, sf).withColumn("policy_id", named(number))
+    pages_of = derived.pages(spark, sf).withColumn("policy_id", named(F.floor((F.col("page_number") - 1) / 8)))
+    indexed = embedding.with_hashed_embedding(chunks.chunk_pages(pages.resolve_page_text(pages_of)))
     hits = vector_search.retrieve_evidence(indexed, asked)
     fallback = section_search.reading_order_evidence(
-        chunks.split_markdown_sections(derived.markdown_pages(spark, sf, F.col("source"))), limit=10
+        chunks.split_markdown_sections(derived.markdown_pages(spark, sf)), limit=10
     ).select("policy_id", F.col("rank").alias("evidence_order"), "evidence_id")
-    absent = F.lit("src99")
-    listed = asked.select(
-        "query_id",
-        F.array(
-            F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("src"), (F.col("conv_id") % 3).cast("string"))).otherwise(absent),
-            absent,
-        ).alias("policy_ids"),
-    )
+    absent = F.lit("none")
+    listed = asked.select("query_id", F.array(F.when(number % 2 == 0, named(F.floor(number / 2))).otherwise(absent), absent).alias("policy_ids"))
     return vector_search.question_evidence(hits, listed, fallback)
 
 
+@query
+def missing_vectors(spark, sf):
+    """Chunks without a vector beside those that have one."""
+    stored = _embedding_chunks(spark, sf).withColumn("vector", F.when(F.col("chunk_id").cast("long") % 9 != 0, F.col("vector")))
+    sound, rejects = chunks.reject_missing_vectors(stored)
+    return rejects.unionByName(sound.select("chunk_id", F.lit("OK").alias("error_code")))
+
+
+@query
+def external_embedding(spark, sf):
+    """An embedder that counts characters, blanks and the texts of its call."""
+    count = lambda batch: [[float(len(t or "")), float((t or "").count(" ")), float(len(batch) <= 100)] for t in batch]
+    vectors = embedding.embed_external(tables.table(spark, sf, "documents").select("doc_id", "text"), count)
+    return vectors.select("doc_id", *[F.get("vector", i).cast("long").alias(n) for i, n in enumerate(("chars", "blanks", "in_batch"))])
+
+
 @query
 def section_ranking(spark, sf):
     found = section_search.rank_sections(chunks.split_markdown_sections(derived.markdown_pages(spark, sf)))
@@ -430,6 +518,11 @@ def _feed(spark, sf):
     return fed.join(ordered.select("evidence_id", "rank"), "evidence_id")
 
 
+@query
+def identification_prompts(spark, sf):
+    return prompts.identification_prompts(_feed(spark, sf), F.col("rank")).select("policy_id", "prompt_hash", "prompt_chars")
+
+
 @query
 def fill_prompts(spark, sf):
     return prompts.fill_prompts(_feed(spark, sf), F.col("rank")).select("policy_id", "category", "prompt_hash", "prompt_chars")
@@ -530,8 +623,7 @@ def persisted_facts(spark, sf):
     return stored.select("fact_id", "status", "revisao_status", "run_id", "schema_version")
 
 
-@query
-def extra_findings(spark, sf):
+def _findings(spark, sf):
     """Each document proposes findings; some cite unknown or repeated evidence or lack a label."""
     docs = tables.table(spark, sf, "documents")
     doc = F.col("doc_id")
@@ -550,7 +642,19 @@ def extra_findings(spark, sf):
         ).alias("findings"),
     )
     known = docs.select(doc.cast("string").alias("policy_id"), F.array(own).alias("evidence_ids"))
-    return facts.extra_findings(answers, known).withColumn("evidence_ids", joined("evidence_ids"))
+    return facts.extra_findings(answers, known)
+
+
+@query
+def extra_findings(spark, sf):
+    return _findings(spark, sf).withColumn("evidence_ids", joined("evidence_ids"))
+
+
+@query
+def finding_scan(spark, sf):
+    """O123: findings stored with JSON id lists, those of one policy."""
+    stored = _findings(spark, sf).withColumn("evidence_ids", F.to_json("evidence_ids"))
+    return facts.scan_findings(stored, "10").withColumn("evidence_ids", joined("evidence_ids"))
 
 
 # --- comparison
@@ -1055,6 +1159,16 @@ def evaluation_totals(spark, sf):
     return evaluation.totals(_entries(spark, sf))
 
 
+@query
+def evaluation_json(spark, sf):
+    """Entries written as JSON and read back."""
+    folder = _folder(spark, "evaluation")
+    shape = ["case_id", "field_code", "expected_status", "extracted_status", "result", "detail", "evidence_ok"]
+    entries = _entries(spark, sf).select(*shape)
+    exports.write_evaluation(entries, folder, "x")
+    return spark.read.schema(entries.schema).json(f"{folder}/evaluation_x.json")
+
+
 @query
 def evaluation_run_id(spark, sf):
     return evaluation.run_id(derived.expected_facts(spark, sf))

@@ -132,3 +132,19 @@ def test_entry_contract(spark):
 
     assert set(contract.oracle_sql()) <= set(contract.queries())
     assert contract.entry(spark).count() == 1490
+
+
+def test_broken_documents_are_rejects_without_their_text(spark, tmp_path):
+    (tmp_path / "good.json").write_text('{"reference_version": "1",\n "cases": [{"case_id": "c", "policy_id": "p", "chunks": [], "expected_facts": [{"field_code": "franquia", "status": "FOUND", "expected_value": "1"}]}]}')
+    (tmp_path / "cut.json").write_text('{"reference_version": "1", "cases": [')
+    (tmp_path / "blank.json").write_text(" \n")
+    _, expected, violations = tables.load_reference_set(spark, str(tmp_path))
+    assert expected.count() == 1 and [tuple(r) for r in violations.collect()] == [("cut.json", None, "JSON_INVALID")]
+    loaded = tables.load_bundles(spark, str(tmp_path / "cut.json"))
+    assert loaded["policies"].count() == 0 and [tuple(r) for r in loaded["rejects"].collect()] == [("cut.json", "JSON_INVALID")]
+
+
+def test_intake_of_contents(spark):
+    rows = [("a.pdf", b"%PDF-1"), ("b.PDF", b"%PDF-"), ("c.pdf", b"nada"), ("d.txt", b"%PDF-"), ("e.pdf", b"%PDF-" + b"x" * 100), ("f.pdf", None), (None, b"%PDF-"), ("g.pdf", b"")]
+    found = tables.intake_contents(spark.createDataFrame(rows, "path string, content binary"), max_bytes=50)
+    assert {r["path"]: r["accepted"] for r in found.collect()} == {"a.pdf": True, "b.PDF": True, "c.pdf": False, "d.txt": False, "e.pdf": False, "f.pdf": False, None: False, "g.pdf": False}
