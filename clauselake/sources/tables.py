@@ -143,7 +143,7 @@ def read_json_documents(spark: SparkSession, path: str, schema: str, multi_line:
     broken one is not passed on.
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    read = spark.read.option("wholetext", str(multi_line).lower()).text(path).filter(~is_blank(F.col("value"))).select(
+    read = spark.read.text(path, wholetext=multi_line).filter(~is_blank(F.col("value"))).select(
         F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.from_json("value", f"{schema}, {CORRUPT} string", options).alias("document"))
     read = compute_once(read, document=F.col("document"))
     broken = F.col("document").isNull() | F.col(f"document.{CORRUPT}").isNotNull()
