@@ -56,6 +56,11 @@ def carried(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", *[F.col(f"`{name}`").alias(f"__carried_{i}") for i, name in enumerate(rest)])
 
 
+def restored_name(docs: DataFrame, column: str) -> str:
+    """The name under which ``carried`` keeps a column."""
+    return f"__carried_{[n for n in docs.columns if n not in ('doc_id', 'text')].index(column)}"
+
+
 def restored(df: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` again, ``text`` as it is now."""
     rest = [name for name in docs.columns if name not in ("doc_id", "text")]
