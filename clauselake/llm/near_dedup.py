@@ -9,9 +9,9 @@ a band around the diagonal that no alignment good enough can leave: L / (m + n -
 pairs are joined into classes by alternating star contractions.
 
 A bucket whose members are one class by then is done. Any other is open: up to ``WHOLE`` members are all compared across
-classes, a larger one is dealt into smaller buckets by ``SPLITS`` further independent sketches, which start with their
-ends again, until no bucket is open. Dealing is by chance: a pair of a large bucket that shares none of the further
-sketches in any of its buckets is still lost.
+classes. Members of larger ones are compared exactly, by shared rare shingles (prefix filtering): every pair of unlike
+classes that can reach the threshold is verified, and boilerplate below it makes no pairs. So a pair is lost only if it
+shares none of the ``SKETCHES`` sketches.
 
 Equal texts are collapsed to their least document before anything is compared. Representatives of large buckets are
 salted; texts move once to be partitioned by document and once more for documents that have candidates.
@@ -23,6 +23,7 @@ of which the row of least text digest is kept; an empty table gives no rows; ext
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauselake.llm.common import gathered, slices, stored
+from clauselake.llm.common import Slice, gathered, slices, stored
 from clauselake.llm.tokens import BASES, Words, mixed, window_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, PICKS = 12, 2
-WHOLE, SPLITS, DEALS = 64, 3, 24  # after so many deals a bucket is compared as a whole whatever its size
+WHOLE, SLOTS = 64, 1 << 20
 SALT_ROWS = 1000
 NONE = np.iinfo(np.uint64).max
 
@@ -51,20 +52,25 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return mixed(window_hashes(hashes, begin, end, BASES[1]) + (end - begin).astype(np.uint64)), row, counts
 
 
-def sketches(hashes: np.ndarray, row: np.ndarray, counts: np.ndarray, number: int, picks: int, skip: int = 0) -> np.ndarray:
-    """Order MinHash sketches from number ``skip`` on, one row per text that has shingles."""
+def occurrence_labelled(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Shingle hashes that also tell the first, second, ... occurrence in a text apart."""
     order = np.lexsort((hashes, row))
     fresh = np.ones(len(order), dtype=bool)
     fresh[1:] = (hashes[order][1:] != hashes[order][:-1]) | (row[order][1:] != row[order][:-1])
     index = np.arange(len(order))
     occurrence = np.empty(len(order), dtype=np.uint64)
     occurrence[order] = index - np.maximum.accumulate(np.where(fresh, index, 0))
-    labelled = mixed(hashes + occurrence * np.uint64(BASES[2]))
+    return mixed(hashes + occurrence * np.uint64(BASES[2]))
+
+
+def sketches(hashes: np.ndarray, row: np.ndarray, counts: np.ndarray, number: int, picks: int) -> np.ndarray:
+    """Order MinHash sketches, one row per text that has shingles."""
+    labelled = occurrence_labelled(hashes, row)
     held = np.flatnonzero(counts)
     starts = (np.cumsum(counts) - counts)[held]
     dense = np.repeat(np.arange(len(held)), counts[held])
     out = np.empty((len(held), number), dtype=np.uint64)
-    for s in range(skip, skip + number):
+    for s in range(number):
         values = mixed(labelled ^ np.uint64((s + 1) * 0x632BE59BD9B4E019 & NONE)) >> np.uint64(1)
         chosen = np.full((len(held), picks), len(hashes), dtype=np.int64)
         for p in range(picks):
@@ -80,7 +86,7 @@ def sketches(hashes: np.ndarray, row: np.ndarray, counts: np.ndarray, number: in
         for p in range(picks):
             own = chosen[:, p] < len(hashes)
             total[own] = mixed(total[own] * np.uint64(BASES[0]) + hashes[chosen[own, p]])
-        out[:, s - skip] = total
+        out[:, s] = total
     return out
 
 
@@ -131,60 +137,104 @@ def across_classes(rows: DataFrame, similarity: float) -> DataFrame:
     return left.join(right, "key").filter((F.col("doc") > F.col("other")) & (F.col("root") != F.col("other_root")) & alike).select("doc", "other").distinct()
 
 
-def dealt_further(rows: DataFrame, texts: DataFrame, deal: int, size: int, picks: int) -> DataFrame:
-    """``(key, doc_id, shingles)``: the members of each bucket by ``SPLITS`` of the deal's sketches; the bucket says which."""
-    number = SKETCHES * SPLITS
+def labelled_grams(part: Slice, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles with their occurrence number as hashes, unlike within a text; their rows, and the number per row."""
+    hashes, row, counts = shingles(Words(part, lower=True), size)
+    return occurrence_labelled(hashes, row), row, counts
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in gathered(batches):
-            for part in slices(table.combine_chunks()):
-                hashes, row, counts = shingles(Words(part, lower=True), size)
-                lists = np.where(counts > 0, number, 0)
-                found = sketches(hashes, row, counts, number, picks, (deal + 1) * number) if len(hashes) else np.zeros((0, number), np.uint64)
-                values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lists)]).astype(np.int32)), pa.array(found.ravel().view(np.int64)))
-                yield pa.record_batch([part.table.column("doc_id"), values], names=["id", "further"])
 
-    wanted = rows.select("doc_id").distinct()
-    further = texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sketch, "id bigint, further array<bigint>")
-    which = [(F.pmod(F.xxhash64("key", F.lit(j)), F.lit(SKETCHES)) + j * SKETCHES).cast("int") for j in range(SPLITS)]
-    taken = F.array(*[F.xxhash64("key", F.lit(j), F.get("further", w)) for j, w in enumerate(which)])
-    return rows.join(further, rows["doc_id"] == further["id"]).select(F.explode(taken).alias("key"), "doc_id", "shingles").distinct()
+def gram_frequencies(texts: DataFrame, size: int) -> np.ndarray:
+    """How often labelled shingles occur, by ``SLOTS`` hash slots: an array of fixed size, summed over the tasks."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            for part in slices(iter([batch])):
+                grams, _, _ = labelled_grams(part, size)
+                total += np.bincount((grams % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        slot = np.flatnonzero(total)
+        for begin in range(0, len(slot), 1 << 16):
+            own = slot[begin : begin + (1 << 16)]
+            yield pa.record_batch({"slot": own.astype(np.int32), "n": total[own]})
+
+    summed = texts.select("text").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, dtype=np.int64)
+    out[summed.column("slot").to_numpy()] = summed.column("n").to_numpy()
+    return out
+
+
+def prefix_pairs(texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``(doc, other)``: the pairs of unlike classes among ``(doc_id, root, text)`` that can reach ``similarity``, none missed.
 
-def class_roots(unique: DataFrame, texts: DataFrame, tied: DataFrame, size: int, similarity: float, picks: int) -> DataFrame:
-    """``(node, root)`` by verified pairs, bucket after bucket until none holds unlike classes that were not compared."""
+    Each text sorts its shingles by their frequency, rare ones first. Two texts with enough in common share one among
+    the first few, so many that the rest is too little; of the shorter text fewer are needed. What most texts of a large
+    bucket share is frequent and comes last, so boilerplate below the threshold makes no pairs.
+    """
+    frequency = gram_frequencies(texts, size)
+
+    def first_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(iter([batch])):
+                grams, row, counts = labelled_grams(part, size)
+                order = np.lexsort((grams, frequency[(grams % np.uint64(SLOTS)).astype(np.int64)], row))
+                place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+                own = counts[row]
+                longer = place <= own - np.ceil(similarity * own - 1e-9)
+                shorter = place <= own - np.ceil(2 * similarity / (1 + similarity) * own - 1e-9)
+                taken = np.flatnonzero(longer)
+                at = row[taken]
+                yield pa.record_batch({
+                    "gram": grams[order][taken].view(np.int64), "doc_id": part.column("doc_id")[at], "root": part.column("root")[at],
+                    "n": own[taken].astype(np.int32), "place": place[taken].astype(np.int32), "first": pa.array(shorter[taken])})
+
+    entries = stored(texts.select("doc_id", "root", "text").mapInArrow(first_grams, "gram bigint, doc_id bigint, root bigint, n int, place int, first boolean"), "prefixes")
+    of_many = entries.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.bool_or("first").alias("probed")).filter("a < b and probed").select("gram")
+    shared = entries.join(of_many, "gram", "left_semi")
+    short = shared.filter("first").select("gram", F.col("doc_id").alias("s"), F.col("root").alias("s_root"), F.col("n").alias("s_n"), F.col("place").alias("s_place"))
+    wanted = similarity / (1 + similarity) * (F.col("s_n") + F.col("n")) - 1e-9
+    met = shared.join(short, "gram").filter(
+        (F.col("root") != F.col("s_root")) & ((F.col("s_n") < F.col("n")) | ((F.col("s_n") == F.col("n")) & (F.col("s") < F.col("doc_id"))))
+        & (F.col("s_n") >= similarity * F.col("n") - 1e-9) & (F.least(F.col("s_n") - F.col("s_place"), F.col("n") - F.col("place")) >= wanted))
+    return met.select(F.greatest("s", "doc_id").alias("doc"), F.least("s", "doc_id").alias("other")).distinct()
+
+
+def class_roots(unique: DataFrame, texts: DataFrame, tied: DataFrame, size: int, similarity: float, whole: int) -> DataFrame:
+    """``(node, root)`` by verified pairs: a bucket's ends first, then what is left open between unlike classes."""
     rows = unique.select(F.explode("keys").alias("key"), "doc_id", "shingles")
     edges = stored(verified(texts, candidates(rows), size, similarity).select("doc", "other").unionAll(tied), "links")
-    for deal in range(DEALS + 1):
-        roots = classes(edges)
-        unlike = stored(open_buckets(rows, roots), "open")
-        state = unlike.agg(F.count("*"), F.max("members")).first()
-        if not state[0]:
-            return roots
-        if state[1] <= WHOLE or deal == DEALS:
-            found = verified(texts, across_classes(unlike, similarity), size, similarity)
-            return classes(edges.unionAll(found.select("doc", "other")))
-        rows = stored(dealt_further(unlike.filter(F.col("members") > WHOLE), texts, deal, size, picks), "dealt")
-        pairs = across_classes(unlike.filter(F.col("members") <= WHOLE), similarity).unionAll(candidates(rows)).distinct()
-        edges = stored(edges.unionAll(verified(texts, pairs, size, similarity).select("doc", "other")), "links")
-    raise AssertionError
+    roots = classes(edges)
+    unlike = stored(open_buckets(rows, roots), "open")
+    if not unlike.limit(1).count():
+        return roots
+    pairs = across_classes(unlike.filter(F.col("members") <= whole), similarity)
+    large = unlike.filter(F.col("members") > whole).groupBy(F.col("doc_id").alias("id")).agg(F.min("root").alias("root")).hint("merge")
+    among = texts.join(large, texts["doc_id"] == large["id"]).groupBy("doc_id", "root", "digest").agg(F.first("text").alias("text"))
+    among = stored(among, "open-texts")
+    pairs = pairs.unionAll(prefix_pairs(among, size, similarity)).distinct()
+    return classes(edges.unionAll(verified(texts, pairs, size, similarity).select("doc", "other")))
 
 
 def banded_common(a: list, b: list, band: int) -> int:
-    """Longest common subsequence by matches with ``|i - j| <= band``: one bit per place of ``a``, a step per place of b."""
+    """Longest common subsequence by matches with ``|i - j| <= band``: a bit per place of the band, a step per place of b."""
     places: dict = {}
     for i, value in enumerate(a):
-        places[value] = places.get(value, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    unmatched = full
+        places.setdefault(value, []).append(i)
+    width = 2 * band + 1
+    full = (1 << width) - 1
+    unmatched, low, common = full, 0, 0
     for j, value in enumerate(b):
-        match = places.get(value, 0)
-        if match:
-            low = max(0, j - band)
-            match &= ((1 << (j + band + 1 - low)) - 1) << low
+        if j - band > low:  # the band moves on; the place that leaves it is settled
+            common += 1 - (unmatched & 1)
+            unmatched = (unmatched >> 1) | (1 << (width - 1))
+            low += 1
+        own = places.get(value)
+        if own:
+            match = 0
+            for i in own[bisect_left(own, low) : bisect_right(own, j + band)]:
+                match |= 1 << (i - low)
             taken = unmatched & match
             unmatched = ((unmatched + taken) | (unmatched - taken)) & full
-    return len(a) - unmatched.bit_count()
+    return common + width - unmatched.bit_count()
 
 
 def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
@@ -259,7 +309,7 @@ def classes(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, number: int = SKETCHES, picks: int = PICKS
+    docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, number: int = SKETCHES, picks: int = PICKS, whole: int = WHOLE
 ) -> DataFrame:
     """``(doc_id, class_id, shingles, digest, kept)``, one row per row of ``docs``; a class is named by its least doc_id.
 
@@ -277,7 +327,7 @@ def near_duplicates(
     versions = known.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a < b")  # one id, several texts
     tied = known.join(versions.select("doc_id"), "doc_id", "left_semi").join(unique.select("digest", F.col("doc_id").alias("other")), "digest")
     tied = tied.select(F.col("doc_id").alias("doc"), "other").filter("doc <> other")
-    roots = class_roots(unique, texts, tied, size, similarity, picks)
+    roots = class_roots(unique, texts, tied, size, similarity, whole)
     named = firsts.join(roots, firsts["doc_id"] == roots["node"], "left").select("own", F.coalesce("root", "doc_id").alias("class_id"))
     found = listed.join(named, listed["digest"] == named["own"], "left").select(
         "doc_id", F.when(judged, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "shingles", "digest")

@@ -114,3 +114,49 @@ def test_near_copies_within_shared_boilerplate(frame):
     expected = brute_classes(rows)
     assert len(set(expected.values())) == 40
     assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(frame(rows)).collect()} == expected
+
+
+def boilerplate(share: float, groups: int, seed: int):
+    """Texts of 200 words that share a template, each with a near copy."""
+    draws = random.Random(seed)
+    fixed = int(200 * share)
+    template = [f"t{i}" for i in range(fixed)]
+    rows = []
+    for i in range(groups):
+        words = template + [f"own{draws.randrange(10**9)}" for _ in range(200 - fixed)]
+        other = list(words)
+        for at in draws.sample(range(200), draws.choice([1, 2, 3])):
+            other[at] = f"edit{draws.randrange(10**9)}"
+        rows += [(i, " ".join(words)), (10_000 - i, " ".join(other))]
+    return rows
+
+
+@pytest.mark.parametrize("share", [0.6, 0.7, 0.8, 0.85, 0.9])
+def test_recall_within_large_boilerplate_groups(frame, share):
+    """Links of 160 documents in one bucket, on both sides of the threshold: none lost, none made up."""
+    rows = boilerplate(share, 80, int(share * 100))
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(frame(rows), whole=8).collect()}
+    assert found == brute_classes(rows)
+
+
+def test_boilerplate_below_the_threshold_makes_no_pairs(frame):
+    """Pairs to verify grow with the documents, not with the square of the group."""
+    rows = [(i, i, t) for i, t in boilerplate(0.85, 300, 3)]
+    pairs = near_dedup.prefix_pairs(frame(rows, "doc_id bigint, root bigint, text string"), 5, 0.8)
+    assert {tuple(r) for r in pairs.collect()} >= {(10_000 - i, i) for i in range(300)} and pairs.count() <= 2 * 300
+
+
+def test_long_texts_align_within_the_band():
+    draws = random.Random(8)
+    a = [draws.randrange(10**6) for _ in range(60_000)]
+    b = [x for x in a if draws.random() > 0.002]
+    assert near_dedup.banded_common(a, b, 400) == len(b)
+    for _ in range(200):
+        x, y = ([draws.randrange(4) for _ in range(draws.randrange(1, 12))] for _ in range(2))
+        band = draws.randrange(1, 5)
+        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x)):
+            for j in range(len(y)):
+                hit = table[i][j] + 1 if x[i] == y[j] and abs(i - j) <= band else 0
+                table[i + 1][j + 1] = max(hit, table[i][j + 1], table[i + 1][j])
+        assert near_dedup.banded_common(x, y, band) == table[-1][-1]
