@@ -3,8 +3,10 @@
 The tree is fitted on a bounded sample (``SAMPLE`` vectors of least id hash) and every vector is assigned to a leaf.
 A query pops nodes off a priority queue, nearest centre first, until it has met ``visits`` leaves. That number is
 calibrated: up to ``CALIBRATION`` queries are answered by brute force over all vectors, and leaf visits widen until the
-wanted share of their true neighbours lies in visited leaves. Vectors and queries meet per leaf; leaves with many
-vectors or many queries are cut into chunks, so a vector that makes up a third of the table is spread like any other.
+wanted share of their true neighbours lies in visited leaves, and a query goes on until its leaves hold ``k`` others.
+Neighbouring leaves form ``SHARDS`` shards; a query is sent once to each shard that it enters, with the leaves it
+visits there. Shards with many vectors or many queries are cut into chunks, so a vector that makes up a third of the
+table is spread like any other.
 
 Scores are inner products in double precision on the original vectors, summed the same way for every row, so equal
 vectors tie exactly and ties go to the smaller id.
@@ -24,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauselake.llm.common import gathered, stored
+from clauselake.llm.common import gathered, runs_of, stored
 
 SAMPLE = 16_384
 CALIBRATION = 256
 LEAF_SAMPLE = 32
 BRANCHES = 8
-CHUNK = 4096
+SHARDS, CHUNK = 32, 8192
+QUERY_RECALL, QUERY_SHARE = 0.8, 0.95
 VECTOR = "id bigint, vector array<double>"
 HITS = "query_id bigint, vec_id bigint, score double, leaf int"
 
@@ -84,42 +87,75 @@ class Tree:
                 at[own] = np.array(self.children[node])[nearest]
         return -1 - at
 
-    def order(self, query: np.ndarray, visits: int) -> list[int]:
-        """The first ``visits`` leaves, best bin first."""
-        queue, found = [(0.0, 0 if self.centres else -1)], []
-        while queue and len(found) < visits:
+    def order(self, query: np.ndarray, visits: int, counts: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first ``visits`` leaves, best bin first, and as many more as hold ``least`` vectors together by ``counts``."""
+        queue, found, held = [(0.0, 0 if self.centres else -1)], [], 0
+        while queue and (len(found) < visits or held < least):
             _, node = heapq.heappop(queue)
             if node < 0:
                 found.append(-1 - node)
+                held += int(counts[-1 - node]) if counts is not None else 0
                 continue
             for product, child in zip((self.centres[node] @ query).tolist(), self.children[node], strict=True):
                 heapq.heappush(queue, (-product, child))
         return found
 
 
-def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per query the k best points: row of the query, row of the point, exact score."""
+def chosen(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, points: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per query the k best points of a block of ``rough`` products (-inf: no candidate): rows, columns, exact scores."""
+    rough[query_ids[:, None] == ids[None, :]] = -np.inf
+    near = np.isfinite(rough)
+    if len(ids) > k:
+        floor = -np.partition(-rough, k - 1, axis=1)[:, k - 1 : k]
+        slack = 1e-9 * (1 + np.abs(floor, where=np.isfinite(floor), out=np.zeros_like(floor)))
+        near &= rough >= floor - slack
     rows, columns, scores = [], [], []
-    for begin in range(0, len(queries), 512):
-        part = queries[begin : begin + 512]
-        rough = part @ points.T
-        rough[query_ids[begin : begin + 512, None] == ids[None, :]] = -np.inf
-        if len(ids) > k:
-            floor = -np.partition(-rough, k - 1, axis=1)[:, k - 1 : k]
-            slack = 1e-9 * (1 + np.abs(floor, where=np.isfinite(floor), out=np.zeros_like(floor)))
-            near = (rough >= floor - slack) & np.isfinite(rough)
-        else:
-            near = np.isfinite(rough)
-        for q in range(len(part)):
-            own = np.flatnonzero(near[q])
-            exact = np.einsum("ij,j->i", points[own], part[q])
-            chosen = np.lexsort((ids[own], -exact))[:k]
-            rows.append(np.full(len(chosen), begin + q))
-            columns.append(own[chosen])
-            scores.append(exact[chosen])
+    for q in range(len(queries)):
+        own = np.flatnonzero(near[q])
+        exact = np.einsum("ij,j->i", points[own], queries[q])
+        first = np.lexsort((ids[own], -exact))[:k]
+        rows.append(np.full(len(first), q))
+        columns.append(own[first])
+        scores.append(exact[first])
     return tuple(np.concatenate(c) if c else np.zeros(0, np.int64) for c in (rows, columns, scores))
 
 
+def query_blocks(queries: int, points: int) -> Iterator[tuple[int, int]]:
+    """Bounds of blocks of queries whose products with all points take some 16 MB."""
+    step = max(1, (1 << 21) // max(1, points))
+    for begin in range(0, queries, step):
+        yield begin, min(begin + step, queries)
+
+
+def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per query the k best of all points: row of the query, row of the point, exact score."""
+    found = []
+    for begin, end in query_blocks(len(queries), len(ids)):
+        rows, columns, scores = chosen(query_ids[begin:end], queries[begin:end], ids, points, queries[begin:end] @ points.T, k)
+        found.append((rows + begin, columns, scores))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
+
+def best_in_leaves(
+    query_ids: np.ndarray, queries: np.ndarray, wanted: list[np.ndarray], ids: np.ndarray, points: np.ndarray, leaves: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``best``, each query among the points of the leaves that it visits. Points are sorted by leaf."""
+    begins, ends = runs_of(leaves)
+    visited = np.zeros((len(queries), len(begins)), dtype=bool)
+    for q, own in enumerate(wanted):
+        visited[q] = np.isin(leaves[begins], own)
+    found = []
+    for begin, end in query_blocks(len(queries), len(ids)):
+        rough = np.full((end - begin, len(ids)), -np.inf)
+        for leaf, (first, last) in enumerate(zip(begins.tolist(), ends.tolist(), strict=True)):
+            rows = np.flatnonzero(visited[begin:end, leaf])
+            if len(rows):
+                rough[rows, first:last] = queries[begin + rows] @ points[first:last].T
+        rows, columns, scores = chosen(query_ids[begin:end], queries[begin:end], ids, points, rough, k)
+        found.append((rows + begin, columns, scores))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
+
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> tuple[DataFrame, int]:
     """``(id, vector)`` of the rows that take part, and their length."""
     vector = F.col(vector_column).cast("array<double>")
@@ -132,7 +168,7 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> tuple[Data
 
 
 def nearest(
-    vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.97, seed: int = 3,
+    vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.95, seed: int = 3,
     id_column: str = "vec_id", vector_column: str = "embedding",
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` best of each row whose id is divisible by ``every``."""
@@ -150,38 +186,54 @@ def nearest(
             yield from table.append_column("leaf", pa.array(leaf, pa.int32())).to_batches()
 
     placed = stored(rows.mapInArrow(assign, VECTOR + ", leaf int"), "leaves")
+    counts = np.zeros(tree.leaves, dtype=np.int64)
+    for row in placed.groupBy("leaf").count().collect():  # one row per leaf, SAMPLE at most
+        counts[row["leaf"]] = row["count"]
     queries = rows.filter(F.col("id") % every == 0)
     visits = calibrated(placed, queries, tree, dim, k, recall)
+    shard_of = np.arange(tree.leaves) * SHARDS // tree.leaves if tree.leaves > SHARDS else np.arange(tree.leaves)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A query once per shard that it enters, with the leaves that it visits there."""
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
-                orders = [tree.order(q, visits) for q in matrix(part, "vector", dim)]
-                index = pa.array(np.repeat(np.arange(len(orders)), [len(o) for o in orders]))
-                yield from pa.Table.from_batches([part]).take(index).append_column("leaf", pa.array(np.concatenate(orders), pa.int32())).to_batches()
-
-    visited = stored(queries.mapInArrow(visit, VECTOR + ", leaf int"), "visits")
-    counts = placed.groupBy("leaf").count().withColumnRenamed("count", "points")
-    counts = counts.join(visited.groupBy("leaf").count().withColumnRenamed("count", "queries"), "leaf")
-    chunks = F.broadcast(counts.select(  # one row per leaf, SAMPLE at most
-        "leaf", F.ceil(F.col("points") / CHUNK).cast("int").alias("point_chunks"), F.ceil(F.col("queries") / CHUNK).cast("int").alias("query_chunks")))
-
-    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+                index, shards, lists = [], [], []
+                for q, vector in enumerate(matrix(part, "vector", dim)):
+                    leaves = np.sort(np.array(tree.order(vector, visits, counts, k + 1)))
+                    for first, last in zip(*runs_of(shard_of[leaves]), strict=True):
+                        index.append(q)
+                        shards.append(shard_of[leaves[first]])
+                        lists.append(leaves[first:last])
+                table = pa.Table.from_batches([part]).take(pa.array(index, pa.int64()))
+                table = table.append_column("shard", pa.array(shards, pa.int32())).append_column("leaves", pa.array(lists, pa.list_(pa.int32())))
+                yield from table.to_batches()
+
+    visited = stored(queries.mapInArrow(visit, VECTOR + ", shard int, leaves array<int>"), "visits")
+    shard = F.floor(F.col("leaf") * F.lit(SHARDS) / F.lit(tree.leaves)).cast("int") if tree.leaves > SHARDS else F.col("leaf")
+    sharded = placed.withColumn("shard", shard)
+    sizes = sharded.groupBy("shard").count().withColumnRenamed("count", "points")
+    sizes = sizes.join(visited.groupBy("shard").count().withColumnRenamed("count", "queries"), "shard")
+    chunks = F.broadcast(sizes.select(  # one row per shard, SHARDS at most
+        "shard", F.ceil(F.col("points") / CHUNK).cast("int").alias("point_chunks"), F.ceil(F.col("queries") / CHUNK).cast("int").alias("query_chunks")))
+
+    def dealt(side: DataFrame, own: str, other: str, extra: str) -> DataFrame:
         mine = F.pmod(F.xxhash64("id"), F.col(f"{own}_chunks")).cast("int").alias(own)
         theirs = F.explode(F.sequence(F.lit(0), F.col(f"{other}_chunks") - 1)).alias(other)
-        return side.join(chunks, "leaf").select("id", "vector", "leaf", mine, theirs)
+        return side.join(chunks, "shard").select("id", "vector", "shard", extra, mine, theirs)
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return empty_hits()
-        ids, query_ids = left.column("id").to_numpy(), right.column("id").to_numpy()
-        row, column, score = best(query_ids, matrix(right, "vector", dim), ids, matrix(left, "vector", dim), k)
-        return pa.table({"query_id": query_ids[row], "vec_id": ids[column], "score": score, "leaf": pa.array(np.full(len(row), left.column("leaf")[0].as_py()), pa.int32())})
-
-    keys = ["leaf", "point", "query"]
-    points = dealt(placed, "point", "query").groupBy(*keys)
-    hits = points.cogroup(dealt(visited, "query", "point").groupBy(*keys)).applyInArrow(compare, HITS)
+        left = left.sort_by("leaf")
+        ids, leaves, query_ids = (t.column(c).to_numpy() for t, c in ((left, "id"), (left, "leaf"), (right, "id")))
+        wanted = [np.asarray(own) for own in right.column("leaves").to_pylist()]
+        row, column, score = best_in_leaves(query_ids, matrix(right, "vector", dim), wanted, ids, matrix(left, "vector", dim), leaves, k)
+        return pa.table({"query_id": query_ids[row], "vec_id": ids[column], "score": score, "leaf": pa.array(leaves[column], pa.int32())})
+
+    keys = ["shard", "point", "query"]
+    points = dealt(sharded, "point", "query", "leaf").groupBy(*keys)
+    hits = points.cogroup(dealt(visited, "query", "point", "leaves").groupBy(*keys)).applyInArrow(compare, HITS)
     return top(hits, k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -208,15 +260,19 @@ def brute_force(placed: DataFrame, ids: np.ndarray, queries: np.ndarray, dim: in
 
 
 def calibrated(placed: DataFrame, queries: DataFrame, tree: Tree, dim: int, k: int, recall: float) -> int:
-    """Least number of leaf visits that reaches ``recall`` on the calibration queries."""
+    """Least number of leaf visits that reaches ``recall`` over the calibration queries and ``QUERY_RECALL`` on most of them."""
     chosen = queries.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(CALIBRATION).toPandas()
     if chosen.empty:
         return 1
     ids, points = chosen["id"].to_numpy(), np.stack(chosen["vector"].to_numpy())
     truth = brute_force(placed, ids, points, dim, k).select("query_id", "leaf").toPandas()  # CALIBRATION * k rows at most
+    if truth.empty:
+        return 1
     place = {}
     for query_id, point in zip(ids.tolist(), points, strict=True):
         for position, leaf in enumerate(tree.order(point, tree.leaves)):
             place[query_id, leaf] = position
-    needed = np.sort([place[q, leaf] for q, leaf in zip(truth["query_id"].tolist(), truth["leaf"].tolist(), strict=True)])
-    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1 if len(needed) else 1
+    truth["needed"] = [place[q, leaf] + 1 for q, leaf in zip(truth["query_id"].tolist(), truth["leaf"].tolist(), strict=True)]
+    pooled = truth["needed"].quantile(recall, interpolation="higher")
+    single = truth.groupby("query_id")["needed"].quantile(QUERY_RECALL, interpolation="higher").quantile(QUERY_SHARE, interpolation="higher")
+    return int(max(pooled, single))
