@@ -40,6 +40,7 @@ SKETCHES, PICKS = 12, 2
 WHOLE, SLOTS = 64, 1 << 20
 SALT_ROWS = 1000
 NONE = np.iinfo(np.uint64).max
+LAST = np.iinfo(np.int64).max
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,24 +144,29 @@ def labelled_grams(part: Slice, size: int) -> tuple[np.ndarray, np.ndarray, np.n
     return occurrence_labelled(hashes, row), row, counts
 
 
-def gram_frequencies(texts: DataFrame, size: int) -> np.ndarray:
-    """How often labelled shingles occur, by ``SLOTS`` hash slots: an array of fixed size, summed over the tasks."""
+def gram_slots(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """By ``SLOTS`` hash slots: how often labelled shingles occur, and whether in unlike classes. Arrays of fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, dtype=np.int64)
+        total, least, most = np.zeros(SLOTS, dtype=np.int64), np.full(SLOTS, LAST), np.full(SLOTS, -LAST - 1)
         for batch in batches:
             for part in slices(iter([batch])):
-                grams, _, _ = labelled_grams(part, size)
-                total += np.bincount((grams % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+                grams, row, _ = labelled_grams(part, size)
+                slot, root = (grams % np.uint64(SLOTS)).astype(np.int64), part.column("root")[row]
+                total += np.bincount(slot, minlength=SLOTS)
+                np.minimum.at(least, slot, root)
+                np.maximum.at(most, slot, root)
         slot = np.flatnonzero(total)
         for begin in range(0, len(slot), 1 << 16):
             own = slot[begin : begin + (1 << 16)]
-            yield pa.record_batch({"slot": own.astype(np.int32), "n": total[own]})
+            yield pa.record_batch({"slot": own.astype(np.int32), "n": total[own], "least": least[own], "most": most[own]})
 
-    summed = texts.select("text").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SLOTS, dtype=np.int64)
-    out[summed.column("slot").to_numpy()] = summed.column("n").to_numpy()
-    return out
+    counted = texts.select("root", "text").mapInArrow(count, "slot int, n bigint, least bigint, most bigint")
+    summed = counted.groupBy("slot").agg(F.sum("n").alias("n"), (F.min("least") < F.max("most")).alias("unlike")).toArrow()
+    frequency, unlike = np.zeros(SLOTS, dtype=np.int64), np.zeros(SLOTS, dtype=bool)
+    frequency[summed.column("slot").to_numpy()] = summed.column("n").to_numpy()
+    unlike[summed.column("slot").to_numpy()] = summed.column("unlike").to_numpy()
+    return frequency, unlike
 
 
 def prefix_pairs(texts: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -170,18 +176,19 @@ def prefix_pairs(texts: DataFrame, size: int, similarity: float) -> DataFrame:
     the first few, so many that the rest is too little; of the shorter text fewer are needed. What most texts of a large
     bucket share is frequent and comes last, so boilerplate below the threshold makes no pairs.
     """
-    frequency = gram_frequencies(texts, size)
+    frequency, unlike = gram_slots(texts, size)
 
     def first_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(iter([batch])):
                 grams, row, counts = labelled_grams(part, size)
-                order = np.lexsort((grams, frequency[(grams % np.uint64(SLOTS)).astype(np.int64)], row))
+                slot = (grams % np.uint64(SLOTS)).astype(np.int64)
+                order = np.lexsort((grams, frequency[slot], row))
                 place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
                 own = counts[row]
                 longer = place <= own - np.ceil(similarity * own - 1e-9)
                 shorter = place <= own - np.ceil(2 * similarity / (1 + similarity) * own - 1e-9)
-                taken = np.flatnonzero(longer)
+                taken = np.flatnonzero(longer & unlike[slot[order]])  # what one class alone holds makes no pair of two
                 at = row[taken]
                 yield pa.record_batch({
                     "gram": grams[order][taken].view(np.int64), "doc_id": part.column("doc_id")[at], "root": part.column("root")[at],
