@@ -9,8 +9,9 @@ the word and then the document constraint, and a small reserve of documents of a
 words still wanted, so a source's words miss their target by less than a document.
 
 Defined results: a null or empty text has size 0 and is taken 0 words; a null source is a source of its own, last in
-order; a source whose size is 0 has target 0; repeated rows are documents of their own; an empty table gives no rows;
-extra columns are ignored. Draws depend on seed, source, chunk and level alone, so reruns agree.
+order; a source whose size is 0 has target 0; repeated rows are documents of their own, numbered so that they spread over
+the chunks; an empty table gives no rows; extra columns are ignored by ``mix_sources`` and kept by ``mixed_documents``.
+Draws depend on seed, source, chunk and level alone, so reruns agree.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from clauselake.llm.common import stored
 
 CHUNK_ROWS = 4096
+COPY_RUN = 4096
 NEAR = 1e-9
 LANDING = 20
 SIZE_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -123,6 +125,21 @@ def _land(sizes: list[float], chances: list[float], reserve: list[int], wanted:
         wanted -= chances[i] * sizes[i]
 
 
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``copy``, the number of a row among its equals: counted, then written out in runs of ``COPY_RUN``."""
+    counted = sizes.groupBy(*sizes.columns).agg(F.count(F.lit(1)).alias("rows"))
+    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / COPY_RUN))))
+    first, last = F.col("run") * COPY_RUN, F.least(F.col("rows"), (F.col("run") + 1) * COPY_RUN) - 1
+    return runs.select(*sizes.columns, F.explode(F.sequence(first, last)).alias("copy"))
+
+
+def _added_name(name: str, taken: list[str]) -> str:
+    """``name``, with ``mix_`` before it as often as it takes to differ from the names in ``taken``."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = f"mix_{name}"
+    return name
+
+
 def mix_sources(
     docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, seed: int = 7,
     chunk_rows: int = CHUNK_ROWS,
@@ -138,12 +155,12 @@ def mix_sources(
         F.xxhash64("doc_id", "text").alias("row_hash"),
         F.coalesce(F.regexp_count("text", F.lit(SIZE_PATTERN)), F.lit(0)).cast("long").alias("size"),
     )
-    sizes = stored(sizes, "mix-sizes")
+    sizes = stored(_numbered(sizes), "mix-sizes")
     targets = stored(source_targets(sizes, weights, share, ceiling).coalesce(1), "mix-targets")
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(ceiling))).otherwise(0.0)
     units = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     units = units.select(
-        "doc_id", "source", "row_hash", "size", "rank", "source_size", "target",
+        "doc_id", "source", "row_hash", "copy", "size", "rank", "source_size", "target",
         F.floor(ratio + NEAR).cast("long").alias("whole"),
         F.ceil(F.col("source_rows") / chunk_rows).cast("long").alias("chunks"),
         (ratio - F.floor(ratio + NEAR)).alias("chance"),
@@ -153,7 +170,7 @@ def mix_sources(
 
     def fly(level: int):
         def run(key, unit: pd.DataFrame) -> pd.DataFrame:
-            unit = unit.sort_values(["doc_id", "size", "row_hash"], kind="stable", na_position="last").reset_index(drop=True)
+            unit = unit.sort_values(["doc_id", "size", "row_hash", "copy"], kind="stable", na_position="last").reset_index(drop=True)
             draws = np.random.default_rng([seed, level, int(key[0]), int(key[1])])
             last = int(unit["chunks"].iloc[0]) == 1
             unit["chance"] = flight(unit["size"].astype(float).tolist(), unit["chance"].tolist(), draws, last)
@@ -165,7 +182,7 @@ def mix_sources(
 
     decided, level, open_units = [], 0, units
     while True:
-        chunk = F.pmod(F.xxhash64("doc_id", "row_hash", F.lit(level)), "chunks")
+        chunk = F.pmod(F.xxhash64("doc_id", "row_hash", "copy", F.lit(level)), "chunks")
         flown = open_units.withColumn("chunk", chunk).groupBy("rank", "chunk")
         flown = stored(flown.applyInPandas(fly(level), shape), f"mix-level{level}")
         done = F.col("chance").isin(0.0, 1.0)
@@ -186,10 +203,12 @@ def mix_sources(
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The documents that the mix takes, with ``size``, ``source_size``, ``target``, ``times`` and ``taken``.
 
-    Equal rows share the greatest number of times that one of them is taken.
+    Equal rows share the greatest number of times that one of them is taken. An added column whose name ``docs`` has
+    already is called ``mix_`` and that name.
     """
-    taken = mix_sources(docs, **settings).filter("times > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("mix_id"), "row_hash", "size", "source_size", "target").agg(F.max("times").alias("times"))
-    whole = docs.select(F.struct(*docs.columns).alias("whole"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("doc_id", "text").alias("hash"))
-    joined = whole.join(taken, (whole["hash"] == taken["row_hash"]) & whole["id"].eqNullSafe(taken["mix_id"]))
-    return joined.select("whole.*", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
+    mix = mix_sources(docs, **settings).filter("times > 0")
+    mix = mix.groupBy("doc_id", "row_hash", "size", "source_size", "target").agg(F.max("times").alias("times"))
+    whole = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("whole"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("doc_id", "text").alias("hash"))
+    joined = whole.join(mix, (whole["hash"] == mix["row_hash"]) & whole["id"].eqNullSafe(mix["doc_id"]))
+    added = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "times": F.col("times"), "taken": F.col("size") * F.col("times")}
+    return joined.select("whole.*", *[value.alias(_added_name(name, docs.columns)) for name, value in added.items()])

@@ -81,3 +81,21 @@ def test_chunks_and_cases(frame):
     assert mixing.mix_sources(empty).collect() == [] and mixing.mixed_documents(empty).collect() == []
     named = docs.withColumns({"size": docs["doc_id"], "rank": docs["source"]})
     assert mixing.mix_sources(named).count() == len(rows)
+
+
+def test_equal_rows_spread_over_chunks(frame):
+    docs = frame([(5, "a b c", "s")] * 3000 + [(None, None, "s")] * 10 + [(9, "d e", "t")], "doc_id bigint, text string, source string")
+    found = mixing.mix_sources(docs, chunk_rows=64).collect()
+    assert len(found) == 3011
+    own = [r for r in found if r["doc_id"] == 5]
+    assert len(own) == 3000 and abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 60
+    assert len({r["times"] for r in own}) <= 2
+
+
+def test_added_columns_with_clashing_names(frame, tmp_path):
+    rows = [(i, "w " * (1 + i % 7), "s" if i % 3 else None, 5, "x", 1) for i in range(60)]
+    docs = frame(rows, "doc_id bigint, text string, source string, Size int, mix_size string, `a.b` int")
+    kept = mixing.mixed_documents(docs)
+    assert kept.columns == [*docs.columns, "mix_mix_size", "source_size", "target", "times", "taken"]
+    kept.write.parquet(str(tmp_path / "mixed"))
+    assert all(r["Size"] == 5 and r["mix_mix_size"] == len(r["text"].split()) and r["taken"] == r["times"] * r["mix_mix_size"] for r in kept.collect())
