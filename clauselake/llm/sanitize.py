@@ -1,11 +1,16 @@
 """Personal data: fixed patterns, and terms that disclose a protected entity by corpus co-occurrence.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Each distinct value is a protected entity. A
-term is disclosing when the corpus shows that meeting it nearly tells the entity: with N documents, n_e and n_t those
-that hold the entity or the term, and n_et the contexts that hold both (context: the ``reach`` words before and after a
-mention), PMI = log2(n_et * N / (n_e * n_t)) has to be at least ``exposure`` times the entity's information content
-IC = log2(N / n_e), with n_et at least ``support``. Equal texts count as one document and equal contexts as one, so
-copies alone disclose nothing. Such terms become spans of kind ``term`` wherever they occur outside base spans.
+term is disclosing when the corpus shows that meeting it nearly tells the entity. All counts are of distinct texts: with
+n texts, n_e and n_t those that hold the entity or the term, and n_et those that hold the term among the ``reach``
+words on either side of the entity, PMI = log2(n_et * n / (n_e * n_t)) has to be at least ``exposure`` times the
+entity's information content IC = log2(n / n_e), which it can never exceed. Besides, at least ``support`` distinct
+contexts have to hold both, so copies alone disclose nothing. Such terms become spans of kind ``term`` wherever they
+occur outside base spans.
+
+A disclosing term is generalised where that suffices: to its first ``STEM`` letters and an asterisk, if all terms with
+these letters together stay below the exposure for each entity that the term discloses. Otherwise it is removed. A term
+of at most ``STEM`` letters is removed.
 
 Only DataFrame functions run. Term frequencies are counted for the terms near entities alone; that set, and the set of
 disclosing terms, are broadcast while they have at most ``BROADCAST_TERMS`` rows and joined by shuffles beyond.
@@ -34,6 +39,8 @@ KINDS = [*PATTERNS, "term"]
 TERM = r"\p{L}+"
 BROADCAST_TERMS = 100_000
 BLOCK = 256
+STEM = 4
+REMOVED = "[TERM]"
 SPANS = "array<struct<start:int,stop:int,value:string>>"
 
 
@@ -128,48 +135,83 @@ def term_list(text: Column) -> Column:
 
 
 def mentions(found: DataFrame, reach: int) -> DataFrame:
-    """``(kind, value, text_hash, context)``: each base span with the ``reach`` terms on either side."""
-    width = reach * 24  # code points read on each side; a cut term at the far end is left out
+    """``(kind, value, text_hash, context)``: each base span with the ``reach`` terms on either side.
+
+    The terms of a text are located once, in order; a span takes those around its place in that list, so words of any
+    length count whole.
+    """
+    terms = compute_once(found, __terms=located(F.col("text"), TERM))
+    starts = compute_once(terms, __starts=F.transform("__terms", lambda t: t["start"]))
 
     def side(kind: str) -> Column:
         def one(s: Column) -> Column:
-            begin = F.greatest(F.lit(0), s["start"] - width)
-            left = F.regexp_replace(F.substr("text", begin + 1, s["start"] - begin), F.when(begin > 0, r"^\p{L}+").otherwise("^(?!)"), "")
-            right = F.substr("text", s["stop"] + 1, F.lit(width))
-            right = F.regexp_replace(right, F.when(F.char_length(right) == width, r"\p{L}+$").otherwise("(?!)$"), "")
-            before = F.reverse(F.slice(F.reverse(term_list(left)), 1, reach))
-            return F.struct(F.lit(kind).alias("kind"), F.lower(s["value"]).alias("value"), F.concat(before, F.slice(term_list(right), 1, reach)).alias("context"))
+            before = _place(F.col("__starts"), s["start"])  # terms that begin before the span
+            after = _place(F.col("__starts"), s["stop"])
+            first = F.greatest(before - reach, F.lit(0))
+            words = F.concat(F.slice("__terms", first + 1, before - first), F.slice("__terms", after + 1, F.lit(reach)))
+            outside = F.filter(words, lambda t: (t["stop"] <= s["start"]) | (t["start"] >= s["stop"]))
+            return F.struct(F.lit(kind).alias("kind"), F.lower(s["value"]).alias("value"), F.transform(outside, lambda t: F.lower(t["value"])).alias("context"))
 
         return F.transform(kind, one)
 
     every = F.concat(*[side(kind) for kind in PATTERNS])
-    return found.select(F.xxhash64("text").alias("text_hash"), F.inline(every))
+    return starts.select(F.xxhash64("text").alias("text_hash"), F.inline(every))
+
+
+def _place(starts: Column, position: Column) -> Column:
+    """How many of the ascending ``starts`` are below ``position``: 31 halvings, whatever the length."""
+    def halve(span: Column, _: Column) -> Column:
+        middle = F.floor((span["low"] + span["high"]) / 2).cast("int")
+        below = F.coalesce(F.get(starts, middle) < position, F.lit(False))
+        open_ = span["low"] < span["high"]
+        return F.struct(
+            F.when(open_ & below, middle + 1).otherwise(span["low"]).alias("low"),
+            F.when(open_ & ~below, middle).otherwise(span["high"]).alias("high"),
+        )
+
+    begin = F.struct(F.lit(0).alias("low"), F.size(starts).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(31)), begin, halve, lambda span: span["low"])
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, reach: int, support: int, exposure: float) -> DataFrame:
-    """``(term)``: the terms that disclose an entity."""
+    """``(term, shown)``: the terms that disclose an entity and what replaces them."""
     said = stored(mentions(found, reach), "mentions")
     entities = said.groupBy("kind", "value").agg(F.count_distinct("text_hash").alias("n_e"))
     documents = F.broadcast(docs.select(F.count_distinct(F.xxhash64("text")).alias("n")))  # one row
+    uses = said.select("kind", "value", "text_hash", F.xxhash64("context").alias("context_hash"), F.explode(F.array_distinct("context")).alias("term"))
     pairs = (
-        said.join(entities, ["kind", "value"], "left_semi")
-        .select("kind", "value", F.xxhash64("context").alias("context_hash"), F.explode(F.array_distinct("context")).alias("term"))
-        .groupBy("kind", "value", "term").agg(F.count_distinct("context_hash").alias("n_et"))
-        .filter(F.col("n_et") >= support)
+        uses.groupBy("kind", "value", "term")
+        .agg(F.count_distinct("context_hash").alias("contexts"), F.count_distinct("text_hash").alias("n_et"))
+        .filter(F.col("contexts") >= support)
     )
     # The texts that hold a term near some entity are a lower bound of n_t: most common terms fail by it alone.
-    seen = said.select("text_hash", F.explode(F.array_distinct("context")).alias("term"))
-    seen = seen.groupBy("term").agg(F.count_distinct("text_hash").alias("n_t"))
+    seen = uses.groupBy("term").agg(F.count_distinct("text_hash").alias("n_t"))
     pairs = pairs.join(entities, ["kind", "value"]).crossJoin(documents)
     pairs = stored(pairs.join(seen, "term").filter(_discloses(exposure)).drop("n_t"), "pairs")
-    near = pairs.select("term").distinct()
-    some = near.limit(BROADCAST_TERMS + 1).count()
-    if not some:
-        return near
-    known = F.broadcast(near) if some <= BROADCAST_TERMS else near
-    terms = docs.select(F.xxhash64("text").alias("text_hash"), F.explode(F.array_distinct(term_list(F.col("text")))).alias("term"))
-    counted = terms.join(known, "term", "left_semi").groupBy("term").agg(F.count_distinct("text_hash").alias("n_t"))
-    return pairs.join(counted, "term").filter(_discloses(exposure)).select("term").distinct()
+    if pairs.isEmpty():
+        return pairs.select("term", F.lit(REMOVED).alias("shown"))
+    counted = _texts_with(docs, pairs.select("term").distinct(), "term", lambda t: t)
+    pairs = stored(pairs.join(counted, "term").filter(_discloses(exposure)).drop("n_t"), "disclosing")
+    stem = lambda t: F.substring(t, 1, STEM)
+    longer = pairs.filter(F.char_length("term") > STEM).withColumn("stem", stem(F.col("term")))
+    near = (
+        uses.withColumn("stem", stem(F.col("term"))).groupBy("kind", "value", "stem").agg(F.count_distinct("text_hash").alias("n_et"))
+    )
+    whole = _texts_with(docs, longer.select("stem").distinct(), "stem", stem)
+    told = (
+        longer.drop("n_et").join(near, ["kind", "value", "stem"]).join(whole, "stem")
+        .groupBy("term", "stem").agg(F.bool_or(_discloses(exposure)).alias("told"))
+    )
+    shown = F.when(~F.col("told"), F.concat("stem", F.lit("*"))).otherwise(F.lit(REMOVED))
+    return pairs.select("term").distinct().join(told, "term", "left").select("term", shown.alias("shown"))
+
+
+def _texts_with(docs: DataFrame, wanted: DataFrame, name: str, form) -> DataFrame:
+    """``(name, n_t)``: in how many distinct texts the wanted terms, or forms of terms, stand."""
+    known = F.broadcast(wanted) if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else wanted
+    forms = F.array_distinct(F.transform(term_list(F.col("text")), form))
+    held = docs.select(F.xxhash64("text").alias("text_hash"), F.explode(forms).alias(name))
+    return held.join(known, name, "left_semi").groupBy(name).agg(F.count_distinct("text_hash").alias("n_t"))
 
 
 def _discloses(exposure: float) -> Column:
@@ -178,7 +220,10 @@ def _discloses(exposure: float) -> Column:
 
 
 def find_spans(docs: DataFrame, reach: int = 5, support: int = 3, exposure: float = 0.9) -> DataFrame:
-    """``docs`` with spans per kind: ``email``, ``ip``, ``card``, ``phone`` and ``term``."""
+    """``docs`` with spans per kind: ``email``, ``ip``, ``card``, ``phone`` and ``term``.
+
+    The ``value`` of a base span is what it holds; that of a ``term`` span is what replaces it.
+    """
     found = base_spans(docs)
     private = found.filter(F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0)
     terms = stored(disclosing_terms(docs, private, reach, support, exposure), "terms")
@@ -187,13 +232,17 @@ def find_spans(docs: DataFrame, reach: int = 5, support: int = 3, exposure: floa
         return found.withColumn("term", F.array().cast(SPANS))
     outside = F.filter("word", lambda w: ~F.exists(F.concat("email", "ip", "card", "phone"), lambda s: (s["start"] < w["stop"]) & (w["start"] < s["stop"])))
     if some <= BROADCAST_TERMS:
-        known = sorted(row["term"] for row in terms.collect())  # at most BROADCAST_TERMS terms
-        held = F.exists(term_list(F.col("text")), lambda t: t.isin(known))
-        word = F.filter(located(F.col("text"), TERM), lambda w: F.lower(w["value"]).isin(known))
-        return compute_once(compute_once(found, word=F.when(held, word).otherwise(F.array().cast(SPANS))), term=outside).drop("word")
+        rows = sorted((row["term"], row["shown"]) for row in terms.collect())  # at most BROADCAST_TERMS terms
+        removed = [term for term, shown in rows if shown == REMOVED]
+        general = [term for term, shown in rows if shown != REMOVED]
+        held = F.exists(term_list(F.col("text")), lambda t: t.isin(removed + general))
+        word = F.filter(located(F.col("text"), TERM), lambda w: F.lower(w["value"]).isin(removed + general))
+        replaced = F.transform(word, lambda w: w.withField(
+            "value", F.when(F.lower(w["value"]).isin(general), F.concat(F.substring(F.lower(w["value"]), 1, STEM), F.lit("*"))).otherwise(REMOVED)))
+        return compute_once(compute_once(found, word=F.when(held, replaced).otherwise(F.array().cast(SPANS))), term=outside).drop("word")
     spread = found.withColumn("row", F.xxhash64("doc_id", "text"))
-    held = spread.select("row", F.inline(located(F.col("text"), TERM))).distinct().withColumn("term", F.lower("value")).join(terms, "term", "left_semi")
-    words = held.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "value"))).alias("word"))
+    held = spread.select("row", F.inline(located(F.col("text"), TERM))).distinct().withColumn("term", F.lower("value")).join(terms, "term")
+    words = held.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop", F.col("shown").alias("value")))).alias("word"))
     joined = spread.join(words, "row", "left").withColumn("word", F.coalesce("word", F.array().cast(SPANS)))
     return joined.withColumn("term", outside).drop("word", "row")
 
@@ -208,31 +257,52 @@ def _written(kind: str) -> Column:
 
 
 def sanitize(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with every span replaced: ``[EMAIL]``, ``[IP]``, ``[CARD]``, ``[PHONE]``, and ``[TERM]`` for terms.
+    """``docs`` with every span replaced: ``[EMAIL]``, ``[IP]``, ``[CARD]``, ``[PHONE]``; terms by their general form or
+    by ``[TERM]``.
 
     Overlapping spans are replaced once, under the kind of the first.
     """
-    found = find_spans(carried(docs), **settings)
-    every = F.array_sort(F.concat(*[_named(kind) for kind in KINDS]))
-    merged = F.aggregate(
-        every, F.array().cast("array<struct<start:int,stop:int,kind:string>>"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["stop"]),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], s["stop"]).alias("stop"), F.element_at(acc, -1)["kind"].alias("kind"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(s))),
+    found = compute_once(find_spans(carried(docs), **settings), every=F.array_sort(F.concat(*[_named(kind) for kind in KINDS])))
+    # A span begins a new one unless an earlier span ends after its start; ``reach`` is the greatest end so far.
+    found = compute_once(found, reach=_running_stops(F.col("every")))
+    begins = F.filter(
+        F.zip_with("every", "reach", lambda s, r: F.struct(s["start"].alias("start"), s["shown"].alias("shown"), r.alias("before"))),
+        lambda s: s["start"] >= s["before"],
     )
-    from_stop = F.concat(F.array(F.lit(0)), F.transform("merged", lambda s: s["stop"]))
-    pieces = F.zip_with(
-        F.slice(from_stop, F.lit(1), F.size("merged")), "merged",
-        lambda begin, s: F.concat(F.substr("text", begin + 1, s["start"] - begin), F.lit("["), F.upper(s["kind"]), F.lit("]")),
+    # The reach before the next beginning is the end of a merged span, so ends are the reaches moved by one.
+    last = F.aggregate("every", F.lit(0), lambda acc, s: F.greatest(acc, s["stop"]))
+    found = compute_once(found, begins=begins, last=last)
+    bounds = F.transform("begins", lambda s: s["before"])  # 0, then the end of each merged span but the last
+    pieces = F.zip_with("begins", bounds, lambda s, begin: F.concat(F.substr("text", begin + 1, s["start"] - begin), s["shown"]))
+    tail = F.substr("text", F.col("last") + 1, F.char_length("text"))
+    clean = F.when(F.size("begins") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col("text"))
+    return restored(found.withColumn("text", clean), docs)
+
+
+def _running_stops(spans: Column) -> Column:
+    """The greatest ``stop`` before each span, 0 before the first; in blocks, as ``located`` sums."""
+    stops = F.transform(spans, lambda s: s["stop"])
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.floor((F.size(stops) - 1) / BLOCK), F.lit(0)).cast("int")),
+        lambda b: F.slice(stops, b * BLOCK + 1, BLOCK),
+    )
+    ends = F.aggregate(
+        F.transform(blocks, lambda b: F.coalesce(F.array_max(b), F.lit(0))),
+        F.struct(F.lit(0).alias("most"), F.array().cast("array<int>").alias("all")),
+        lambda acc, e: F.struct(F.greatest(acc["most"], e).alias("most"), F.concat(acc["all"], F.array(acc["most"])).alias("all")),
+        lambda acc: acc["all"],
     )
-    tail = F.substr("text", F.element_at(from_stop, -1) + 1, F.char_length("text"))
-    clean = F.when(F.size("merged") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col("text"))
-    return restored(compute_once(found, merged=merged).withColumn("text", clean), docs)
+
+    def within(block: Column, most: Column) -> Column:
+        return F.aggregate(
+            block, F.struct(most.alias("most"), F.array().cast("array<int>").alias("all")),
+            lambda acc, e: F.struct(F.greatest(acc["most"], e).alias("most"), F.concat(acc["all"], F.array(acc["most"])).alias("all")),
+            lambda acc: acc["all"],
+        )
+
+    return F.when(F.size(stops) > 0, F.flatten(F.zip_with(blocks, ends, within))).otherwise(F.array().cast("array<int>"))
 
 
 def _named(kind: str) -> Column:
-    return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(kind).alias("kind")))
+    mark = F.lit(f"[{kind.upper()}]")
+    return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), (s["value"] if kind == "term" else mark).alias("shown")))

@@ -1,8 +1,11 @@
 import hashlib
+import math
 import re
 
+import regex
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from clauselake.llm import sanitize
 from clauselake.llm.registered import QUERIES
@@ -87,21 +90,99 @@ def disclosing():
     return rows
 
 
+def named(rows):
+    """(doc_id, text of the span) of all term spans."""
+    return {(r["doc_id"], r["text"][s["start"] : s["stop"]]) for r in rows for s in r["term"]}
+
+
 def test_terms_that_tell_an_entity(frame):
-    found = sanitize.find_spans(frame(disclosing()), exposure=0.7)
-    terms = {(r["doc_id"], s["value"]) for r in found.collect() for s in r["term"]}
-    assert terms == {(0, "Zorbinax"), (1, "Zorbinax"), (2, "Zorbinax"), (3, "Zorbinax"), (90, "Zorbinax"), (None, "Zorbinax")}
+    found = sanitize.find_spans(frame(disclosing()), exposure=0.7).collect()
+    assert named(found) == {(0, "Zorbinax"), (1, "Zorbinax"), (2, "Zorbinax"), (3, "Zorbinax"), (90, "Zorbinax"), (None, "Zorbinax")}
     clean = {r["doc_id"]: r["text"] for r in sanitize.sanitize(frame(disclosing()), exposure=0.7).collect()}
     assert clean[0] == "alphaa betaa [TERM] [EMAIL] gammaa the end"
     assert clean[90] == "[TERM] was here" and clean[91] is None and clean[None] == "[TERM] and [EMAIL]"
 
 
+def test_terms_are_generalised_where_that_suffices(frame, monkeypatch):
+    common = [(200 + i, f"Zorb{'abcdefghijkl'[i]}ot among others") for i in range(12)]
+    docs = frame([*disclosing(), *common])
+    clean = {r["doc_id"]: r["text"] for r in sanitize.sanitize(docs, exposure=0.7).collect()}
+    assert clean[0] == "alphaa betaa zorb* [EMAIL] gammaa the end" and clean[90] == "zorb* was here"
+    assert clean[200] == "Zorbaot among others"
+    monkeypatch.setattr(sanitize, "BROADCAST_TERMS", 0)
+    assert {r["doc_id"]: r["text"] for r in sanitize.sanitize(docs, exposure=0.7).collect()} == clean
+
+
 def test_contexts_of_one_text_give_support(frame):
     part = lambda i: " ".join([f"pre{c}{i}" for c in "abcde"] + ["Zorbinax ann@x.org"] + [f"post{c}{i}" for c in "abcde"])
     part_of = lambda i: part("xyz"[i])
     rows = [(0, " ".join(part_of(i) for i in range(3)))] + [(10 + i, f"filler {'abcdefghij'[i % 10] * (i + 1)} again") for i in range(40)]
-    found = sanitize.find_spans(frame(rows)).collect()
-    assert {(r["doc_id"], s["value"]) for r in found for s in r["term"]} == {(0, "Zorbinax")}
+    assert named(sanitize.find_spans(frame(rows)).collect()) == {(0, "Zorbinax")}
+
+
+def test_words_of_any_length_are_context(frame):
+    long = "Zorbinax" * 40
+    rows = [(i, f"{'abcd'[i] * 9} {long} ann@x.org {'efgh'[i] * 500} done") for i in range(4)]
+    rows += [(10 + i, f"done with filler {'abcdefghij'[i % 10] * (i + 1)}") for i in range(40)]
+    assert named(sanitize.find_spans(frame(rows)).collect()) == {(i, long) for i in range(4)}
+
+
+def brute_terms(texts, reach=5, support=3, exposure=0.9):
+    """Disclosing terms by their definition, over distinct texts."""
+    word = regex.compile(r"\p{L}+")
+    distinct = set(texts)
+    holds, near, contexts, entity = {}, {}, {}, {}
+    for text in distinct:
+        words = [(m.start(), m.end(), m[0].lower()) for m in word.finditer(text or "")]
+        for t in {w for _, _, w in words}:
+            holds.setdefault(t, set()).add(text)
+        for span in filter(None, brute(text).split(",")):
+            kind, start, stop = span.split(":")
+            start, stop = int(start), int(stop)
+            value = (kind, text[start:stop].lower())
+            entity.setdefault(value, set()).add(text)
+            around = [w for w in words if w[0] < start][-reach:] + [w for w in words if w[0] >= stop][:reach]
+            context = tuple(w for b, e, w in around if e <= start or b >= stop)
+            for t in context:
+                near.setdefault((value, t), set()).add(text)
+                contexts.setdefault((value, t), set()).add(context)
+    n = len(distinct)
+    return {
+        t for (value, t), held in near.items()
+        if len(contexts[value, t]) >= support
+        and math.log2(len(held) * n / (len(entity[value]) * len(holds[t]))) >= exposure * math.log2(n / len(entity[value]))
+    }
+
+
+def test_production_parameters_on_derived_documents(spark, sf):
+    """Documents of the given table, each fifth with a note that names the account of an address."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    code = F.translate(F.pmod("doc_id", F.lit(35)).cast("string"), "0123456789", "qwertyuiop")
+    note = F.concat(F.lit(" account zx"), code, F.lit(" of agent "), F.pmod("doc_id", F.lit(35)).cast("string"), F.lit("@mail.example, thanks"))
+    derived = docs.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", note)).otherwise(F.col("text")))
+    texts = {r["doc_id"]: r["text"] for r in derived.collect()}
+    wanted = brute_terms(texts.values())
+    assert len([t for t in wanted if t.startswith("zx")]) >= 5
+    rows = sanitize.find_spans(derived).collect()
+    word = regex.compile(r"\p{L}+")
+    for r in rows:
+        text = texts[r["doc_id"]]
+        base = [(s["start"], s["stop"]) for kind in BASE for s in r[kind]]
+        right = [(m.start(), m.end()) for m in word.finditer(text or "") if m[0].lower() in wanted and not any(b < m.end() and m.start() < e for b, e in base)]
+        assert [(s["start"], s["stop"]) for s in r["term"]] == right
+    assert sum(len(r["term"]) for r in rows) >= 5
+
+
+def test_many_spans_in_one_text(frame):
+    text = "".join(f"n{i}@x.org and {i % 200}.1.2.3.4.5.6.7 +1 {4000000 + i}000; " for i in range(3000))
+    clean = sanitize.sanitize(frame([(1, text), (2, "a@b.c")]), support=10_000).collect()
+    spans = sorted((int(b), int(e), k) for k, b, e in (s.split(":") for s in brute(text).split(",")))
+    out, at = [], 0
+    for begin, stop, kind in spans:
+        if begin >= at:
+            out.append(text[at:begin] + f"[{kind.upper()}]")
+        at = max(at, stop)
+    assert {r["doc_id"]: r["text"] for r in clean} == {1: "".join(out) + text[at:], 2: "[EMAIL]"}
 
 
 def test_joined_terms_equal_broadcast_terms(frame, monkeypatch):
