@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from clauselake.catalog import field_attribute
 from clauselake.functions.values import value_pairs
 from clauselake.plans.assemble import ordered_text
+from clauselake.sources.bundles import write_bundles
 
 DASH = "—"
+PIECE_KEYS = 1024
 
 
 def comparison_markdown(comparisons: DataFrame) -> DataFrame:
@@ -45,11 +47,9 @@ def comparison_markdown(comparisons: DataFrame) -> DataFrame:
     )
 
 
-def write_documents(documents: DataFrame, path: str, key: str, text: str = "markdown") -> None:
-    """Text files in one folder per document id."""
-    documents.select(key, F.col(text).alias("value")).write.mode("overwrite").partitionBy(key).option(
-        "lineSep", "\n"
-    ).text(path)
+def write_documents(documents: DataFrame, path: str, key: str, text: str = "markdown") -> DataFrame:
+    """Documents in bundle files; returns the index that tells where each one stands."""
+    return write_bundles(documents, path, key, text)
 
 
 def escape_cell(text: Column) -> Column:
@@ -317,11 +317,10 @@ def report_lines(
     return lines
 
 
-def write_report_lines(lines: DataFrame, path: str) -> None:
-    """Sorted text files, one folder per report; a wide report spans several ordered files."""
-    keys = ["report_id", "section", "k1", "k2", "k3"]
-    ordered = lines.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    ordered.select("report_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("report_id").text(path)
+def write_report_lines(lines: DataFrame, path: str) -> DataFrame:
+    """Report lines in bundle files; a section is cut every ``PIECE_KEYS`` values of its first key. Returns the index."""
+    piece = F.col("section").cast("bigint") * 2**40 + F.floor((F.col("k1") + 1) / PIECE_KEYS)
+    return write_bundles(lines, path, "report_id", "line", ["section", "k1", "k2", "k3"], piece)
 
 
 def write_evaluation(entries: DataFrame, path: str, run_id: str) -> None:

@@ -31,7 +31,7 @@ from clauselake.operators import (
     vector_search,
 )
 from clauselake.session import ensure_checkpoint_dir
-from clauselake.sources import derived, exports, html, keyed_log, tables
+from clauselake.sources import bundles, derived, exports, html, keyed_log, tables
 from clauselake.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -701,6 +701,24 @@ def comparison_markdown(spark, sf):
     return exports.comparison_markdown(_comparisons(spark, sf)).select("comparison_id", F.md5("markdown").alias("markdown_md5"))
 
 
+@query
+def comparison_bundles(spark, sf):
+    """The documents written as bundles and each read back by its index entry."""
+    folder = _folder(spark, "comparison-bundles")
+    index = exports.write_documents(exports.comparison_markdown(_comparisons(spark, sf)), folder, "comparison_id")
+    found = bundles.read_bundles(spark, folder, index, "comparison_id", "markdown")
+    return found.select("comparison_id", F.md5("markdown").alias("markdown_md5"))
+
+
+@query
+def bundled_documents(spark, sf):
+    """All texts written as bundles and each read back by its index entry."""
+    folder = _folder(spark, "document-bundles")
+    index = bundles.write_bundles(tables.table(spark, sf, "documents").select("doc_id", "text"), folder, "doc_id", "text")
+    found = bundles.read_bundles(spark, folder, index, "doc_id", "text")
+    return found.select("doc_id", F.md5("text").alias("text_md5"), F.octet_length("text").cast("bigint").alias("bytes"))
+
+
 def _explanations(spark, sf):
     """Answers for every compared field of a pair: failed, citing both, one or foreign evidence."""
     compared = _comparisons(spark, sf)
