@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from clauselake.catalog import ILLEGIBLE_OCR_CONFIDENCE, MIN_NATIVE_TEXT_CHARS, TABLE_MARKER
 from clauselake.functions.text import is_blank, strip
 
+PAGE_RANGE = 1024  # page numbers whose list is written first
 REGIONS = "array<struct<kind:string,text:string,order:int>>"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
@@ -154,17 +155,18 @@ def page_ocr(lines: DataFrame) -> DataFrame:
 def document_status(resolved: DataFrame) -> DataFrame:
     """O118: the stages a processed document went through, one row per stage.
 
-    Only illegible pages reach the page list, so a large document does not
-    collect its pages; the list itself is the reported value.
+    Only illegible pages reach the page list. It is written per range of
+    ``PAGE_RANGE`` page numbers first; a document then joins one short text per
+    range, so no group holds or sorts the pages of a whole document.
     """
-    facts = resolved.groupBy("document_id").agg(
+    illegible = F.when(is_illegible(F.col("ocr_confidence")), F.col("page_number").cast("bigint"))
+    ranges = resolved.groupBy("document_id", F.floor(F.col("page_number") / PAGE_RANGE).alias("range")).agg(
+        F.bool_or("used_ocr").alias("used_ocr"), F.array_join(F.array_sort(F.collect_list(illegible)), ", ").alias("pages")
+    )
+    parts = F.collect_list(F.when(F.col("pages") != "", F.struct("range", "pages")))
+    facts = ranges.groupBy("document_id").agg(
         F.bool_or("used_ocr").alias("used_ocr"),
-        F.array_join(
-            F.array_sort(
-                F.collect_list(F.when(is_illegible(F.col("ocr_confidence")), F.col("page_number").cast("bigint")))
-            ),
-            ", ",
-        ).alias("illegible"),
+        F.array_join(F.transform(F.array_sort(parts), lambda part: part["pages"]), ", ").alias("illegible"),
     )
 
     def stage(seq: int, name: str, progress: float, keep: Column, message: Column | None = None) -> Column:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from clauselake.session import ensure_checkpoint_dir
+
 BUNDLE_BYTES = 16 << 20
 BUNDLE_IN_PATH = r"bundle=(\d+)/"
 
@@ -23,21 +25,25 @@ def write_bundles(
 
     ``order`` sorts the rows of a key. ``piece``, a whole number that never falls along that order, says which rows stay
     together; without it a key is one piece. A null text is written as an empty one. Rows that tie in key and order are
-    of one piece and stand in any order.
+    of one piece and stand in any order. ``rows`` runs twice, once for the lengths and once for the texts, and has to give
+    the same rows both times.
     """
     order = order or []
-    size = rows.agg(F.sum(F.octet_length(F.coalesce(text, F.lit(""))).cast("bigint") + 1)).first()[0] or 0  # one number
-    bundles = max(1, -(-size // bundle_bytes))
     number = F.lit(0) if piece is None else piece
     placed = rows.select(
         F.col(key).alias("key"), number.cast("bigint").alias("piece"), F.struct(F.lit(0).alias("_"), *order).alias("order"),
         F.coalesce(text, F.lit("")).alias("value"),
-    ).withColumn("bundle", F.pmod(F.xxhash64("key", "piece"), F.lit(bundles)))
-    sorted_rows = placed.repartition(bundles, "bundle").sortWithinPartitions("bundle", "key", "piece", "order")
+    )
+    ensure_checkpoint_dir(rows.sparkSession)
+    lengths = placed.groupBy("key", "piece").agg(F.sum(F.octet_length("value").cast("bigint") + 1).alias("length")).checkpoint()
+    size = lengths.agg(F.sum("length")).first()[0] or 0  # one number
+    bundles = max(1, -(-size // bundle_bytes))
+    bundle = F.pmod(F.xxhash64("key", "piece"), F.lit(bundles)).alias("bundle")
+    sorted_rows = placed.select("*", bundle).repartition(bundles, "bundle").sortWithinPartitions("bundle", "key", "piece", "order")
     written = sorted_rows.select("bundle", "value").write.mode("overwrite").partitionBy("bundle")
     written.option("lineSep", "\n").text(f"{path}/files")
 
-    lengths = placed.groupBy("bundle", "key", "piece").agg(F.sum(F.octet_length("value").cast("bigint") + 1).alias("length"))
+    lengths = lengths.select("*", bundle)
     before = Window.partitionBy("bundle").orderBy("key", "piece").rowsBetween(Window.unboundedPreceding, -1)
     index = lengths.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
     files = _files(rows.sparkSession, path).select("file", F.regexp_extract("file", BUNDLE_IN_PATH, 1).cast("bigint").alias("bundle"))

@@ -115,3 +115,11 @@ def test_fingerprint_audit_reports_only_changed_texts(spark):
         "content_fingerprint", F.when(C("page_number") == 3, F.lit(None)).otherwise(C("content_fingerprint"))
     )
     assert [r["chunk_id"] for r in chunks.fingerprint_audit(stored).collect()] == ["d:p2:c0"]
+
+
+def test_status_of_a_document_with_a_million_illegible_pages(spark):
+    many = spark.range(1, 1_000_001).select(F.lit("big").alias("document_id"), C("id").cast("int").alias("page_number"), F.lit(0.1).alias("ocr_confidence"), F.lit(True).alias("used_ocr"))
+    few = spark.createDataFrame([("small", 2000, 0.1, False), ("small", 3, 0.2, False), ("small", None, 0.1, False), ("fine", 1, None, False)], "document_id string, page_number int, ocr_confidence double, used_ocr boolean")
+    rows = pages.document_status(many.repartition(6).unionByName(few)).filter("stage = 'REVIEW_REQUIRED'").collect()
+    found = {r["document_id"]: r["message"].removeprefix("REVIEW: páginas ilegíveis: ") for r in rows}
+    assert found == {"big": ", ".join(map(str, range(1, 1_000_001))), "small": "3, 2000"}
