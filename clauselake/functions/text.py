@@ -35,16 +35,24 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, WHITESPACE_RUN), lambda token: token != "")
 
 
+SYLLABLES, SYLLABLE_COUNT = 0xAC00, 11172  # Hangul syllables, composed by arithmetic
+LEADS, VOWELS, TAILS = (0x1100, 19), (0x1161, 21), (0x11A7, 28)  # their parts; the first tail stands for none
+
+
 @lru_cache(maxsize=1)
 def _fold_rules() -> tuple[str, str, str, tuple[tuple[str, str], ...]]:
     """Compatibility decomposition without marks, derived from the Unicode tables.
 
     Returns the characters that map to one character, their images, the marks
     to delete, and the characters that expand to several (ligatures, fractions).
+    Marks are deleted whatever their order, so decomposing each character alone
+    gives the decomposition of the text. Hangul syllables follow arithmetic.
     """
     single, images, marks, expanding = [], [], [], []
-    for cp in [*range(0x80, 0x2200), *range(0x3000, 0x3001), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
+    for cp in [*range(0x80, 0xD800), *range(0xE000, 0x110000)]:
         char = chr(cp)
+        if SYLLABLES <= cp < SYLLABLES + SYLLABLE_COUNT:
+            continue
         plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
         if plain == char:
             continue
@@ -69,26 +77,60 @@ def _char_class(chars: list[str]) -> str:
     return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
 
 
+def _jamo(parts: tuple[int, int], index: Column) -> Column:
+    first, count = parts
+    return F.substring(F.lit("".join(map(chr, range(first, first + count)))), index + 1, 1)
+
+
+def _split_syllables(text: Column) -> Column:
+    """Hangul syllables as lead, vowel and tail, from the position of each in the block."""
+
+    def parts(char: Column) -> Column:
+        def spell(at: Column) -> Column:
+            tail = F.pmod(at, F.lit(TAILS[1]))
+            vowel = F.floor(at / TAILS[1]).cast("int")
+            ends = F.when(tail > 0, _jamo(TAILS, tail)).otherwise(F.lit(""))
+            lead = _jamo(LEADS, F.floor(vowel / VOWELS[1]).cast("int"))
+            return F.concat(lead, _jamo(VOWELS, F.pmod(vowel, F.lit(VOWELS[1]))), ends)
+
+        inside = char.between(chr(SYLLABLES), chr(SYLLABLES + SYLLABLE_COUNT - 1))
+        return F.when(inside, spell(F.ascii(char) - SYLLABLES)).otherwise(char)
+
+    return F.array_join(F.transform(F.split(text, ""), parts), "")
+
+
 def strip_accents(text: Column) -> Column:
-    """NFKD without combining marks for Latin and compatibility characters.
+    """NFKD without combining marks, for every script.
 
-    One-to-one letters go through ``translate``; the rare expanding characters
-    are replaced only in rows that still hold one after that.
+    One-to-one letters go through ``translate``. Rows that still hold a
+    character that expands to several look up the distinct ones that they hold,
+    and rows with Hangul syllables are spelled out; other rows skip both.
     """
     single, images, marks, expanding = _fold_rules()
     pattern = _char_class([char for char, _ in expanding])
-    pairs = F.map_entries(literal_map(dict(expanding)))
+    keys = F.lit("".join(char for char, _ in expanding))
+    values = F.split(F.lit("\x00".join(plain for _, plain in expanding)), "\x00")
+    syllables = f"[\\x{{{SYLLABLES:x}}}-\\x{{{SYLLABLES + SYLLABLE_COUNT - 1:x}}}]"
 
     def expand(plain: Column) -> Column:
-        replaced = F.aggregate(pairs, plain, lambda acc, pair: F.replace(acc, pair["key"], pair["value"]))
+        held = F.array_distinct(F.regexp_extract_all(plain, F.lit(pattern), 0))
+        image = lambda char: F.get(values, F.instr(keys, char) - 1)
+        replaced = F.aggregate(held, plain, lambda acc, char: F.replace(acc, char, image(char)))
         return F.when(plain.rlike(r"[^\x00-\x7f]") & plain.rlike(pattern), replaced).otherwise(plain)
 
-    return let(F.translate(text, single + marks, images), expand)
+    def spell(plain: Column) -> Column:
+        return F.when(plain.rlike(syllables), _split_syllables(plain)).otherwise(plain)
+
+    return let(let(F.translate(text, single + marks, images), expand), spell)
 
 
 def fold(text: Column) -> Column:
-    """Strip, lower, remove accents, collapse spaces; empty text gives null."""
-    return F.nullif(collapse_spaces(strip_accents(F.lower(strip(text)))), F.lit(""))
+    """Strip, lower, remove accents, collapse spaces; empty text gives null.
+
+    Built-in expressions for all of Unicode. A mark that decomposes into a space
+    leaves none at the ends.
+    """
+    return F.nullif(strip(collapse_spaces(strip_accents(F.lower(strip(text))))), F.lit(""))
 
 
 def _fold_batch(batch: pd.Series) -> pd.Series:

@@ -42,20 +42,32 @@ def test_dates(spark):
     assert column(spark, list(cases), values.parse_date(C("t"))) == list(cases.values())
 
 
+def folded(t):
+    plain = "".join(c for c in unicodedata.normalize("NFKD", t.strip().lower()) if not unicodedata.combining(c))
+    return " ".join(plain.split()) or None
+
+
 def test_fold_equals_unicode_rule_on_latin_text(spark):
     rng = random.Random(7)
     alphabet = [chr(c) for c in [*range(32, 127), *range(0xA0, 0x250), 0x2026, 0xFB01, 0xBD, 0x2122, 0x301, 9, 10]]
     rows = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    assert column(spark, rows, text.fold(C("t"))) == [folded(r) for r in rows]
+    assert column(spark, rows, text.fold_exact(C("t"))) == [folded(r) for r in rows]
+
+
+def test_fold_equals_unicode_rule_on_every_assigned_character(spark):
+    assigned = [c for c in map(chr, [*range(1, 0xD800), *range(0xE000, 0x110000)]) if unicodedata.category(c) not in ("Cn", "Co")]
+    rows = [f"x{c}Y {c}" for c in assigned] + assigned
+    assert column(spark, rows, text.fold(C("t"))) == [folded(r) for r in rows]
 
-    def expected(t):
-        t = t.strip().lower()
-        plain = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
-        return " ".join(plain.split()) or None
 
-    # the built-in keeps inner edges produced by the decomposition; compare squeezed
-    found = column(spark, rows, text.fold(C("t")))
-    assert [f and " ".join(f.split()) for f in found] == [expected(r) for r in rows]
-    assert column(spark, rows, text.fold_exact(C("t"))) == [expected(r) for r in rows]
+def test_fold_of_mixed_scripts(spark):
+    rng = random.Random(11)
+    pools = [range(0xAC00, 0xD7A4), range(0xFB50, 0xFE00), range(0x1D400, 0x1D800), range(0x3300, 0x3400), range(0x2460, 0x2500), range(32, 127), range(0x300, 0x370)]
+    rows = ["".join(chr(rng.choice(rng.choice(pools))) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    rows = ["".join(c for c in r if unicodedata.category(c) != "Cn") for r in rows]
+    assert column(spark, rows, text.fold(C("t"))) == [folded(r) for r in rows]
+    assert column(spark, [None, "", " ", "한국어 약관", "㍿ ﷺ ①"], text.fold(C("t"))) == [None, None, None, folded("한국어 약관"), folded("㍿ ﷺ ①")]
 
 
 def normalized(spark, kind, value):
