@@ -761,5 +761,6 @@ ORACLES: dict[str, str] = {
     "comparison_read": f"WITH {COMPARED} SELECT {COMPARISON_ID} AS comparison_id, field_code, resultado FROM grid_v WHERE a = 10 AND b = 11",
     "catalog_usage": f"SELECT ordinal::INT AS ordinal, field_code AS code, label, description, unit, (SELECT count(*) FROM customer) AS facts FROM {FIELDS}",
 }
+ORACLES["vector_topk_pivots"] = ORACLES["vector_topk"]
 ORACLES["comparison_bundles"] = ORACLES["comparison_markdown"]
 ORACLES["bundled_documents"] = "SELECT doc_id, md5(coalesce(text, '')) AS text_md5, strlen(coalesce(text, ''))::BIGINT AS bytes FROM documents"

@@ -344,6 +344,14 @@ def vector_topk(spark, sf):
     return vector_search.cosine_top_k(stored, asked)
 
 
+@query
+def vector_topk_pivots(spark, sf):
+    """The search of all vectors through open blocks alone, with blocks small enough that any table has many."""
+    stored = _embedding_chunks(spark, sf)
+    asked = stored.select(F.col("chunk_id").alias("query_id"), "vector")
+    return vector_search.cosine_top_k(stored, asked, block_rows=100)
+
+
 @query
 def vector_topk_filtered(spark, sf):
     stored = _embedding_chunks(spark, sf)
