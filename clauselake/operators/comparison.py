@@ -163,8 +163,8 @@ def compare_policies(
     return compared.join(kept, ["comparison_id", "field_code"], "left")
 
 
-def read_comparison(comparisons: DataFrame, comparison: str) -> DataFrame:
-    """One comparison in alphabetical field order."""
+def read_comparison(comparisons: DataFrame, comparison: str | Column) -> DataFrame:
+    """One comparison in alphabetical field order; over a grid the id reaches the pairs before their facts are joined."""
     return comparisons.filter(F.col("comparison_id") == comparison).orderBy("field_code")
 
 
@@ -222,22 +222,22 @@ def explain(comparisons: DataFrame, answers: DataFrame) -> tuple[DataFrame, Data
         .when(answered & valid, F.col("__answer.text"))
         .otherwise(F.col("explicacao")),
     ).drop("__answer")
-    uncited = joined.filter(answered & ~failed & ~valid).select(
-        "comparison_id", "field_code", F.lit("EXPLANATION_NOT_CITED").alias("error_code")
+    return written, _explanation_rejects(comparisons, answers)
+
+
+def _explanation_rejects(comparisons: DataFrame, answers: DataFrame) -> DataFrame:
+    """Answers that are not accepted. The fields of a comparison, at most ten, travel as one list, so the grid is read once."""
+    held = F.collect_list(F.struct("field_code", F.col("evidencias_a").alias("a"), F.col("evidencias_b").alias("b")))
+    known = comparisons.groupBy("comparison_id").agg(held.alias("__fields"))
+    met = answers.join(known, "comparison_id", "left")
+    fields = F.filter("__fields", lambda field: field["field_code"] == F.col("field_code"))
+    cited = F.exists(fields, lambda field: citation_is_valid(F.col("text"), F.col("evidence_ids"), field["a"], field["b"]))
+    reason = (
+        F.when(F.col("__fields").isNull(), F.lit("COMPARISON_NOT_FOUND"))
+        .when(F.size(fields) == 0, F.lit("COMPARISON_FIELD_NOT_FOUND"))
+        .when(~F.coalesce("failed", F.lit(False)) & ~F.coalesce(cited, F.lit(False)), F.lit("EXPLANATION_NOT_CITED"))
     )
-    ids = comparisons.select("comparison_id").distinct().withColumn("__exists", F.lit(True))
-    missing = (
-        answers.join(comparisons.select("comparison_id", "field_code"), ["comparison_id", "field_code"], "left_anti")
-        .join(ids, "comparison_id", "left")
-        .select(
-            "comparison_id",
-            "field_code",
-            F.when(F.col("__exists"), F.lit("COMPARISON_FIELD_NOT_FOUND"))
-            .otherwise(F.lit("COMPARISON_NOT_FOUND"))
-            .alias("error_code"),
-        )
-    )
-    return written, uncited.unionByName(missing)
+    return met.select("comparison_id", "field_code", reason.alias("error_code")).filter(F.col("error_code").isNotNull())
 
 
 def pairs_touching(pairs: DataFrame, policies: DataFrame) -> DataFrame:

@@ -1267,9 +1267,8 @@ def fact_scan(spark, sf):
 @query
 def comparison_read(spark, sf):
     """One stored comparison in field order."""
-    a, b = F.lit("10"), F.lit("11")
-    wanted = spark.range(1).select(ids.comparison_id(a, b).alias("comparison_id"))
-    return _comparisons(spark, sf).join(wanted, "comparison_id", "left_semi").select("comparison_id", "field_code", "resultado").orderBy("field_code")
+    wanted = ids.comparison_id(F.lit("10"), F.lit("11"))
+    return comparison.read_comparison(_comparisons(spark, sf), wanted).select("comparison_id", "field_code", "resultado")
 
 
 @query
