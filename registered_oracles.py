@@ -761,6 +761,35 @@ ORACLES: dict[str, str] = {
     "comparison_read": f"WITH {COMPARED} SELECT {COMPARISON_ID} AS comparison_id, field_code, resultado FROM grid_v WHERE a = 10 AND b = 11",
     "catalog_usage": f"SELECT ordinal::INT AS ordinal, field_code AS code, label, description, unit, (SELECT count(*) FROM customer) AS facts FROM {FIELDS}",
 }
+RAW_AMOUNT = "CASE (k + ordinal) % 3 WHEN 0 THEN 'R$ ' || translate(format('{:,.2f}', amount::DOUBLE), ',.', '.,') WHEN 1 THEN format('{:,.2f}', amount::DOUBLE) ELSE amount::VARCHAR END"
+RAW_VALUE = f"""CASE field_type WHEN 'money' THEN '{{"amount":"' || {RAW_AMOUNT} || '","currency":"' || currency || '"}}'
+    WHEN 'period' THEN '{{"start":"' || strftime(start_date, '%d/%m/%Y') || '","end":"' || strftime(end_date, '%d/%m/%Y') || '"}}'
+    WHEN 'date' THEN '{{"date":"' || day(date) || '-' || month(date) || '-' || year(date) || '"}}'
+    WHEN 'number' THEN CASE field_code WHEN 'indice_reajuste' THEN '{{"number":"' || k % 7 || ',50%"}}' ELSE '{{"number":"' || number_text || '"}}' END
+    ELSE CASE field_code WHEN 'exclusoes_chave' THEN '{{"text":" Exclusão  ' || upper(substr(text, 10)) || '"}}' ELSE '{{"text":"'
+      || CASE text WHEN 'america do sul' THEN 'América do Sul' WHEN 'europa' THEN ' EUROPA ' WHEN 'exterior' THEN 'Exterior' WHEN 'asia' THEN 'Ásia' ELSE 'Oriente  Médio' END || '"}}' END END"""
+REVIEW_HEAD = (
+    "Um analista apontou divergências. Decida quais fatos corrigir.\n" + JSON_HEAD + ' {"corrections": [{"fact_id", "decision", "value"}]}.\n'
+    "decision: CORRIGIDO (exige value), DIVERGENTE ou CONFIRMADO. Use somente os fact_id listados.\n\n## Indicação\n"
+)
+ORACLES["review_prompts"] = f"""WITH {FACTS}, l AS (SELECT k, string_agg('- fact_id=' || fact_id || ' | ' || policy_id || ' | ' || field_code || ' | status=' || status || ' | valor=' || coalesce({RAW_VALUE}, 'ausente')
+    || ' | evidências=' || coalesce(evidence_id, ''), chr(10) ORDER BY field_code) AS lines FROM facts_v GROUP BY 1),
+  p AS (SELECT conv_id || '-' || turn AS message_id, {lit(REVIEW_HEAD)} || {strip('text')} || repeat(chr(10), 2) || '## Fatos' || chr(10) || lines AS prompt FROM conversations JOIN l ON k = conv_id WHERE role = 'user')
+  SELECT message_id, substr(sha256(prompt), 1, 12) AS prompt_hash, length(prompt)::INT AS prompt_chars FROM p"""
+ORACLES["cited_evidence"] = f"""WITH offered AS MATERIALIZED ({ORACLES["question_evidence"]}),
+  a AS (SELECT query_id, CASE WHEN split_part(query_id, '-', 1)::BIGINT % 3 = 0 THEN ['ev_x'] ELSE [evidence_id, 'ev_x'] END AS ids FROM offered WHERE position = 2),
+  m AS (SELECT o.*, coalesce(list_contains(ids, evidence_id), false) AS hit FROM offered o JOIN a USING (query_id))
+  SELECT query_id, position, evidence_id, origin FROM m WHERE hit OR query_id NOT IN (SELECT query_id FROM m WHERE hit)"""
+ORACLES["parsed_objects"] = """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN md5(text) END AS text_md5, CASE WHEN doc_id % 4 = 0 THEN 'ev' || doc_id END AS evidence_id,
+  CASE WHEN doc_id % 4 <> 0 THEN 'LLM_SCHEMA_INVALID' END AS error_code FROM documents"""
+ORACLES["comparison_issues"] = f"""WITH {ISSUES}, {PAIRS} SELECT a::VARCHAR AS policy_id_a, b::VARCHAR AS policy_id_b, (policy_id = b::VARCHAR)::INT AS side, policy_id, field_code, severity, reason
+  FROM pairs_v JOIN issues_v ON policy_id IN (a::VARCHAR, b::VARCHAR)"""
+LABELS = "(VALUES " + ", ".join(f"({i}, {lit(code)}, {lit(label)})" for i, (code, _, label) in enumerate(RANKING_CRITERIA, start=1)) + ") n(place, criterion, label)"
+ORACLES["criterion_table"] = f"""SELECT scenario, ordinal::INT AS ordinal, criterion, label, {", ".join(f"max({NOTE}::DOUBLE) FILTER (s_suppkey = {p}) AS policy_{p}" for p in (1, 2, 3))}
+  FROM supplier, {SCENARIOS} JOIN {LABELS} ON place = ordinal GROUP BY ALL"""
+ORACLES["scalar_matches"] = f"""WITH x AS (SELECT *, ' ' || substr(text, doc_id % 7 + 1, 6) || chr(10) AS e FROM documents)
+  SELECT doc_id, coalesce(contains(text, {strip("CASE WHEN doc_id % 2 = 0 THEN e ELSE reverse(e) END")}), false) AS text_matches,
+    coalesce(CASE WHEN doc_id % 5 <> 0 THEN length(text) + (doc_id % 3 = 0)::INT END = n_chars, false) AS number_matches FROM x"""
 ORACLES["vector_topk_pivots"] = ORACLES["vector_topk"]
 ORACLES["comparison_bundles"] = ORACLES["comparison_markdown"]
 ORACLES["bundled_documents"] = "SELECT doc_id, md5(coalesce(text, '')) AS text_md5, strlen(coalesce(text, ''))::BIGINT AS bytes FROM documents"

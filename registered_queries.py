@@ -419,6 +419,17 @@ def question_evidence(spark, sf):
     return vector_search.question_evidence(hits, listed, fallback)
 
 
+@query
+def cited_evidence(spark, sf):
+    """Evidence shown with answers that cite the second hit, or nothing that was offered."""
+    offered = question_evidence(spark, sf)
+    foreign = F.array(F.lit("ev_x"))
+    third = F.split("query_id", "-")[0].cast("bigint") % 3 == 0
+    cited = F.when(third, foreign).otherwise(F.concat(F.array("evidence_id"), foreign))
+    answers = offered.filter("position = 2").select("query_id", cited.alias("evidence_ids"))
+    return vector_search.cited_evidence(offered, answers)
+
+
 @query
 def missing_vectors(spark, sf):
     """Chunks without a vector beside those that have one."""
@@ -506,6 +517,18 @@ def review_prompts(spark, sf):
     return prompts.review_prompts(talks, derived.checked_facts(spark, sf)).select("message_id", "prompt_hash", "prompt_chars")
 
 
+@query
+def parsed_objects(spark, sf):
+    """Answers that are objects, lists, plain text or cut off."""
+    doc = F.col("doc_id")
+    sound = F.to_json(F.struct(F.col("text").alias("text"), F.array(F.concat(F.lit("ev"), doc.cast("string"))).alias("evidence_ids")))
+    payload = F.when(doc % 4 == 0, sound).when(doc % 4 == 1, F.lit('[{"text": "a"}]')).when(doc % 4 == 2, F.col("text")).otherwise(F.substring(sound, 1, 20))
+    answers = tables.table(spark, sf, "documents").select("doc_id", payload.alias("payload"))
+    parsed, rejects = responses.parse_object(answers, "text string, evidence_ids array<string>")
+    rows = parsed.select("doc_id", F.md5("text").alias("text_md5"), F.get("evidence_ids", 0).alias("evidence_id"), F.lit(None).cast("string").alias("error_code"))
+    return rows.unionByName(rejects, allowMissingColumns=True)
+
+
 @query
 def findings_prompts(spark, sf):
     ordered = section_search.reading_order_evidence(chunks.split_markdown_sections(derived.markdown_pages(spark, sf)))
@@ -857,6 +880,13 @@ def comparison_issue_counts(spark, sf):
     return quality.comparison_issue_counts(derived.pairs(spark, sf), quality.derive_issues(derived.checked_facts(spark, sf)))
 
 
+@query
+def comparison_issues(spark, sf):
+    """The issues of both sides of every comparison."""
+    found = quality.comparison_issues(derived.pairs(spark, sf), quality.derive_issues(derived.checked_facts(spark, sf)))
+    return found.select("policy_id_a", "policy_id_b", "side", "policy_id", "field_code", "severity", "reason")
+
+
 @query
 def first_evidence(spark, sf):
     """Facts citing a missing and two existing evidences."""
@@ -1119,6 +1149,15 @@ def ranking_wide(spark, sf):
     return wide.withColumn("total", F.col("total").cast("string"))
 
 
+@query
+def criterion_table(spark, sf):
+    """O127: the criteria of all scenarios with three policies side by side."""
+    weights = catalog.scenario_weights(spark)
+    return ranking.criterion_table(derived.notes(spark, sf), weights, ["1", "2", "3"]).select(
+        "scenario", "ordinal", "criterion", "label", *[F.col(f"`{p}`").cast("double").alias(f"policy_{p}") for p in ("1", "2", "3")]
+    )
+
+
 @query
 def winner_guard(spark, sf):
     key = F.col("s_suppkey")
@@ -1173,6 +1212,18 @@ def _entries(spark, sf):
     return evaluation.evaluate(derived.expected_facts(spark, sf), derived.extracted_facts(spark, sf), evidence)
 
 
+@query
+def scalar_matches(spark, sf):
+    """O112 on plain values: an excerpt, right or turned round, and a length."""
+    doc = F.col("doc_id")
+    excerpt = F.concat(F.lit(" "), F.substring("text", (doc % 7 + 1).cast("int"), F.lit(6)), F.lit("\n"))
+    expected = F.when(doc % 2 == 0, excerpt).otherwise(F.reverse(excerpt))
+    return tables.table(spark, sf, "documents").select(
+        "doc_id", evaluation.match_scalar(expected, F.col("text")).alias("text_matches"),
+        evaluation.match_number(F.when(doc % 5 != 0, F.length("text") + F.when(doc % 3 == 0, 1).otherwise(0)), F.col("n_chars")).alias("number_matches"),
+    )
+
+
 @query
 def evaluation_entries(spark, sf):
     return _entries(spark, sf).select(
