@@ -5,16 +5,19 @@ from __future__ import annotations
 from clauselake.catalog import (
     BREADTH_QUERIES,
     CHECKLIST,
+    COMPANY_HINTS,
     CONCLUSION_TITLES,
     CRITERION_CODES,
     FIELD_TABLE,
     GUARD_FACTS,
+    INSURER_HEADER_LINES,
     PRICE_REFERENCE_DATE,
     RANKING_CRITERIA,
     REPORT_CATEGORIES,
     REPORT_FIELD_TABLE,
     SENSITIVITY_SCENARIOS,
     STOPWORDS,
+    TITLE_MARKERS,
 )
 from clauselake.sources.derived import CELL_STATUSES
 
@@ -776,6 +779,21 @@ ORACLES["review_prompts"] = f"""WITH {FACTS}, l AS (SELECT k, string_agg('- fact
     || ' | evidências=' || coalesce(evidence_id, ''), chr(10) ORDER BY field_code) AS lines FROM facts_v GROUP BY 1),
   p AS (SELECT conv_id || '-' || turn AS message_id, {lit(REVIEW_HEAD)} || {strip('text')} || repeat(chr(10), 2) || '## Fatos' || chr(10) || lines AS prompt FROM conversations JOIN l ON k = conv_id WHERE role = 'user')
   SELECT message_id, substr(sha256(prompt), 1, 12) AS prompt_hash, length(prompt)::INT AS prompt_chars FROM p"""
+INSURER_HEAD = (
+    "Qual é a seguradora desta apólice? Dê preferência aos blocos [OCR/visão].\nSem certeza, devolva null.\n" + JSON_HEAD + ' {"name", "year"}.\n\n'
+)
+SHARE = "len(regexp_extract_all(c, '\\p{L}'))"
+ORACLES["insurer_prompts"] = f"""WITH l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place FROM (
+    SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]')) AS line, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), 1) AS i FROM documents)
+    WHERE NOT regexp_matches({strip('line')}, '^\\[[^\\]]+\\]$')),
+  t AS (SELECT doc_id, place, trim(regexp_replace(regexp_replace({strip('line')}, '^[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}]+', ''), '\\s+', ' ', 'g'), E' -:|\\t') AS c FROM l),
+  named AS (SELECT doc_id, place, c FROM t WHERE length(c) BETWEEN 3 AND 60 AND len(string_split(c, ' ')) BETWEEN 1 AND 8 AND NOT regexp_matches(c, '[\\p{{Nd}}²³¹⁰⁴-⁹₀-₉①-⑨]')
+    AND {SHARE} >= 3 AND {SHARE} / length(c) >= 0.55 AND NOT regexp_matches(lower(c), {lit("|".join(m.replace(".", "[.]") for m in TITLE_MARKERS))})
+    AND (regexp_matches(lower(c), {lit("|".join(m.replace(".", "[.]") for m in COMPANY_HINTS))}) OR (place <= {INSURER_HEADER_LINES} AND regexp_matches(c, '^\\p{{Lu}}')))),
+  best AS (SELECT doc_id, arg_min(c, (-length(c), place)) AS b FROM named GROUP BY 1),
+  read AS (SELECT doc_id FROM named JOIN best USING (doc_id) GROUP BY 1 HAVING bool_and(contains(lower(b), lower(c)))),
+  p AS (SELECT doc_id::VARCHAR AS policy_id, {lit(INSURER_HEAD)} || '## Página 1' || chr(10) || coalesce(nullif({strip('text')}, ''), '(sem texto)') AS prompt FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM read))
+  SELECT policy_id, substr(sha256(prompt), 1, 12) AS prompt_hash, length(prompt)::INT AS prompt_chars FROM p"""
 ORACLES["cited_evidence"] = f"""WITH offered AS MATERIALIZED ({ORACLES["question_evidence"]}),
   a AS (SELECT query_id, CASE WHEN split_part(query_id, '-', 1)::BIGINT % 3 = 0 THEN ['ev_x'] ELSE [evidence_id, 'ev_x'] END AS ids FROM offered WHERE position = 2),
   m AS (SELECT o.*, coalesce(list_contains(ids, evidence_id), false) AS hit FROM offered o JOIN a USING (query_id))
