@@ -73,15 +73,14 @@ def parse_origin(text: Column, status: Column) -> Column:
     return F.when(raw.isin(*ORIGINS), raw).otherwise(default)
 
 
-def guarded_cells(cells: DataFrame) -> DataFrame:
+def guarded_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
     """O102/O103: typed cells; a statement without a reference needs confirmation."""
     status = parse_status(F.col("status"))
     reference = clean_optional(F.col("referencia"))
     unsourced = (status != NOT_LOCATED) & reference.isNull()
     texts = ["limite_franquia", "exclusoes_condicoes", "impacto_pratico", "impacto_financeiro"]
     return cells.select(
-        "policy_id",
-        "field_code",
+        *keys,
         F.when(unsourced, F.lit(NEEDS_CONFIRMATION)).otherwise(status).alias("status"),
         *[clean_optional(F.col(name)).alias(name) for name in texts],
         reference.alias("referencia"),
@@ -98,40 +97,57 @@ def fill_matrix(policies: DataFrame, payloads: DataFrame) -> tuple[DataFrame, Da
     for a later one, counts; the last wins.
     """
     parsed = compute_once(payloads, cells=parse_cells(F.col("payload")))
-    known = literal_array(REPORT_CODES)
-    unknown = F.exists("cells", lambda cell: ~F.coalesce(F.array_contains(known, cell["field_code"]), F.lit(False)))
-    rejects = parsed.filter(unknown).select("policy_id", "category", F.lit("LLM_SCHEMA_INVALID").alias("error_code"))
-    accepted = policies.select("policy_id").join(rejects.select("policy_id"), "policy_id", "left_anti")
-    own_category = F.try_element_at(
-        literal_map({code: category for code, category, _, _ in REPORT_FIELD_TABLE}), F.col("cell.field_code")
+    rejects = parsed.filter(_foreign_cell(F.col("cells"))).select("policy_id", "category", F.lit("LLM_SCHEMA_INVALID").alias("error_code"))
+    # The answers of a policy, one per category, meet in one row, so its cells are never exchanged one by one.
+    met = payloads.groupBy("policy_id").agg(
+        F.array_sort(F.collect_list(F.struct(_category_ordinal(F.col("category")), "payload"))).alias("answers")
     )
-    answered = (
-        parsed.filter(~unknown)
-        .select("policy_id", "category", F.posexplode("cells").alias("position", "cell"))
-        .filter(_category_ordinal(F.col("category")) >= _category_ordinal(own_category))
-    )
-    order = F.struct(_category_ordinal(F.col("category")), F.col("position"))
-    latest = answered.groupBy("policy_id", F.col("cell.field_code").alias("field_code")).agg(
-        F.max_by("cell", order).alias("cell")
+    answers = F.transform("answers", lambda a: F.struct(a["c"].alias("c"), parse_cells(a["payload"]).alias("cells")))
+    met = compute_once(met, answers=answers)
+    own_category = literal_map({code: category for code, category, _, _ in REPORT_FIELD_TABLE})
+
+    def counting(answer: Column) -> Column:
+        return F.filter(answer["cells"], lambda cell: answer["c"] >= _category_ordinal(F.try_element_at(own_category, cell["field_code"])))
+
+    met = compute_once(
+        met,
+        foreign=F.exists("answers", lambda a: _foreign_cell(a["cells"])),
+        answers=F.reverse(F.flatten(F.transform("answers", counting))),
     )
-    typed = guarded_cells(latest.select("policy_id", "cell.*"))
+    met = compute_once(met, codes=F.transform("answers", lambda cell: cell["field_code"]))
+    last = F.filter("answers", lambda cell, i: F.array_position("codes", cell["field_code"]) == i + 1)
+    met = compute_once(met, latest=F.map_from_entries(F.transform(last, lambda cell: F.struct(cell["field_code"], cell))))
+    # Spark's estimate of a row knows nothing of the ninety cells in it: neither side may be taken for a small one.
+    found = met.select("policy_id", "foreign", "latest").hint("merge")
+    accepted = policies.select("policy_id").join(found, "policy_id", "left").filter(~F.coalesce("foreign", F.lit(False)))
     fields = F.expr(
         "array("
         + ", ".join(
-            f"named_struct('ordinal', {i}, 'field_code', {sql_text(code)}, 'category', {sql_text(category)})"
+            f"named_struct('field_code', {sql_text(code)}, 'ordinal', {i}, 'category', {sql_text(category)})"
             for i, (code, category, _, _) in enumerate(REPORT_FIELD_TABLE, start=1)
         )
         + ")"
     )
-    grid = accepted.select("policy_id", F.inline(fields))
+    grid = accepted.select("policy_id", "latest", F.inline(fields))
+    grid = compute_once(grid, cell=F.try_element_at("latest", F.col("field_code")))
+    keys = ["policy_id", "field_code", "ordinal", "category"]
+    values = [F.col(f"cell.{name}").alias(name) for name in CELL_KEYS if name != "field_code"]
+    answered = F.col("answered")
     cells = (
-        grid.join(typed, ["policy_id", "field_code"], "left")
-        .withColumn("status", F.coalesce("status", F.lit(NOT_LOCATED)))
-        .withColumn("origem", F.coalesce("origem", F.lit("nao_localizado")))
+        guarded_cells(grid.select(*keys, F.col("cell").isNotNull().alias("answered"), *values), [*keys, "answered"])
+        .withColumn("status", F.when(answered, F.col("status")).otherwise(F.lit(NOT_LOCATED)))
+        .withColumn("origem", F.when(answered, F.col("origem")).otherwise(F.lit("nao_localizado")))
+        .drop("answered")
     )
     return cells, rejects
 
 
+def _foreign_cell(cells: Column) -> Column:
+    """Whether a cell's field is outside the catalog."""
+    known = literal_array(REPORT_CODES)
+    return F.exists(cells, lambda cell: ~F.coalesce(F.array_contains(known, cell["field_code"]), F.lit(False)))
+
+
 def _category_ordinal(category: Column) -> Column:
     return F.array_position(literal_array([code for code, _ in REPORT_CATEGORIES]), category).alias("c")
 
@@ -221,7 +237,7 @@ def checklist(cells: DataFrame, reports: DataFrame, flags: DataFrame, identifica
     code = F.col("field_code")
     notices = ["base_ocorrencia_claims_made", "notificacao_quem_prazo_forma"]
     must_fill = ["lmg", "lmi", "limite_agregado", "sublimites", "protecao_direta_administrador_ab_side", "protecao_sociedade_c_side"]
-    sums = cells.join(member, "policy_id").groupBy("report_id").agg(
+    sums = cells.join(member.hint("merge"), "policy_id").groupBy("report_id").agg(
         F.count_distinct("policy_id").alias("policies"),
         *[F.count_if(filled & (code == name)).alias(f"n_{name}") for name in [*must_fill, *notices]],
         F.count_if(

@@ -139,3 +139,16 @@ def test_report_prompts_grow_with_documents(spark, sf):
     expected = {f"{r['lang']}-{r['doc_id'] // 64}" for r in docs}
     found = QUERIES["report_prompts"](spark, sf).collect()
     assert len(found) == 4 * len(expected) and {r["report_id"] for r in found} == expected
+
+
+def test_matrix_broadcasts_no_cells(spark):
+    cell = '{"field_code": "lmg", "status": "Previsto", "referencia": "%s"}'
+    payloads = [("p1", "limites_exposicao", f"[{cell % 'a'}, {cell % 'b'}]"), ("p1", "procedimentos", f"[{cell % 'c'}]"), ("p1", "estrutura_protecao", f"[{cell % 'd'}]"),
+                ("p2", "procedimentos", '[{"field_code": "x"}]'), ("p2", "limites_exposicao", f"[{cell % 'a'}]"), (None, "procedimentos", f"[{cell % 'e'}]")]
+    policies = spark.createDataFrame([("p1",), ("p2",), ("p3",), (None,)], "policy_id string")
+    cells, rejects = report.fill_matrix(policies, spark.createDataFrame(payloads, "policy_id string, category string, payload string"))
+    assert "Broadcast" not in cells._jdf.queryExecution().executedPlan().toString()
+    got = {(r["policy_id"], r["field_code"]): (r["status"], r["referencia"], r["origem"]) for r in cells.collect()}
+    assert len(got) == 270 and got["p1", "lmg"] == ("Previsto", "c", "fato")
+    assert {v for k, v in got.items() if k != ("p1", "lmg")} == {("Não localizado", None, "nao_localizado")}
+    assert [r["policy_id"] for r in rejects.collect()] == ["p2"]
