@@ -29,7 +29,7 @@ from clauselake.functions.values import normalize_value, parse_value
 from clauselake.plans.once import compute_once
 
 VIOLATIONS = "array<struct<rule:string,field_code:string,reason:string>>"
-QUOTED_SEGMENT = "[\"“”']([^\"“”']+)[\"“”']"
+QUOTED_SEGMENT = "“[^“”]+”|[\"“”'][^\"“”']+[\"“”']"  # a passage in “…” is whole, whatever other quotes it holds
 MIXED_CURRENCY = "campos monetários da mesma apólice com moedas distintas"
 
 
@@ -50,12 +50,11 @@ def collect_excerpts(value: Column) -> Column:
     """Literal excerpts cited in a raw value: citation keys, and quoted parts of free text."""
     cited = F.array(*[value[key] for key in CITATION_KEYS])
     quoted = [
-        F.coalesce(F.regexp_extract_all(value[key], F.lit(QUOTED_SEGMENT), 1), F.array().cast("array<string>"))
+        F.coalesce(F.regexp_extract_all(value[key], F.lit(QUOTED_SEGMENT), 0), F.array().cast("array<string>"))
         for key in ("text", "value_text")
     ]
-    return F.filter(
-        F.transform(F.array_compact(F.concat(cited, *quoted)), strip), lambda excerpt: excerpt != ""
-    )
+    inner = F.transform(F.concat(*quoted), lambda part: F.substr(part, F.lit(2), F.length(part) - 2))
+    return F.filter(F.transform(F.array_compact(F.concat(cited, inner)), strip), lambda excerpt: excerpt != "")
 
 
 def found_excerpts(excerpts: Column, text: Column) -> Column:

@@ -244,3 +244,15 @@ def test_responses_and_findings(spark):
     known = spark.createDataFrame([("p", ["e1", "e2"])], "policy_id string, evidence_ids array<string>")
     got = facts.scan_findings(facts.extra_findings(answers, known), "p").collect()
     assert [(r["finding_id"], r["label"], r["detail"], r["evidence_ids"]) for r in got] == [("EXF-p-000", "A", None, ["e1"]), ("EXF-p-001", "D", "d", ["e2"])]
+
+
+def test_a_passage_that_holds_quotes_is_one_excerpt(spark):
+    def change(row):
+        if row[0] == "A" and row[2] == "exclusoes_chave":
+            row[4] = json.dumps({"text": 'diz “fora "do texto" fora” e "nada" mais'})
+        if row[0] == "B" and row[2] == "exclusoes_chave":
+            row[4] = json.dumps({"text": 'diz "texto “B6” citado"'})
+
+    built = by_key(facts.build_facts(*bundle(spark, change))[0])
+    assert built["A", "exclusoes_chave"]["anchor_violations"] == 2  # the passage and the word behind it
+    assert built["B", "exclusoes_chave"]["anchor_violations"] == 0
