@@ -563,10 +563,10 @@ ORACLES: dict[str, str] = {
         best AS (SELECT h.policy_id, 'ev_' || chunk_id AS evidence_id, ordinal, rank, greatest(0.0, least(1.0, score)) AS retrieval_score,
                  row_number() OVER (PARTITION BY h.policy_id, chunk_id ORDER BY ordinal, rank) AS n FROM hits h JOIN topics USING (query_id))
         SELECT policy_id, evidence_id, ordinal::INT AS query_ordinal, rank::INT AS rank, retrieval_score FROM best WHERE n = 1""",
-    "question_evidence": f"""WITH {VECTORS.replace("source AS policy_id, source AS document_id", SECTION_POLICY + " AS policy_id, source AS document_id")}, {QUESTIONS}, asked AS MATERIALIZED (SELECT query_id, conv_id, 'pol' || conv_id AS policy_id, {embed('query')} AS v FROM questions),
-        {search('asked', 5, 'q.policy_id = c.policy_id')}, {READING},
+    "question_evidence": f"""WITH {VECTORS}, {QUESTIONS}, asked AS MATERIALIZED (SELECT query_id, conv_id, 'src' || conv_id % 25 AS policy_id, {embed('query')} AS v FROM questions),
+        {search('asked', 5, 'q.policy_id = c.policy_id')}, {READING.replace(SECTION_POLICY, 'source')},
         open_q AS (SELECT query_id, conv_id FROM asked WHERE query_id NOT IN (SELECT query_id FROM hits)),
-        filled AS (SELECT query_id, rank AS position, evidence_id FROM open_q JOIN reading ON conv_id % 2 = 0 AND policy_id = 'pol' || (conv_id // 2) WHERE rank <= 10)
+        filled AS (SELECT query_id, rank AS position, evidence_id FROM open_q JOIN reading ON conv_id % 2 = 0 AND policy_id = 'src' || conv_id % 3 WHERE rank <= 10)
         SELECT query_id, rank::INT AS position, 'ev_' || chunk_id AS evidence_id, 'search' AS origin FROM hits
         UNION ALL SELECT query_id, position::INT, evidence_id, 'fallback' FROM filled
         UNION ALL SELECT query_id, NULL::INT, NULL, 'notice' FROM open_q WHERE query_id NOT IN (SELECT query_id FROM filled)""",
@@ -794,7 +794,14 @@ ORACLES["insurer_prompts"] = f"""WITH l AS (SELECT doc_id, line, row_number() OV
   read AS (SELECT doc_id FROM named JOIN best USING (doc_id) GROUP BY 1 HAVING bool_and(contains(lower(b), lower(c)))),
   p AS (SELECT doc_id::VARCHAR AS policy_id, {lit(INSURER_HEAD)} || '## Página 1' || chr(10) || coalesce(nullif({strip('text')}, ''), '(sem texto)') AS prompt FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM read))
   SELECT policy_id, substr(sha256(prompt), 1, 12) AS prompt_hash, length(prompt)::INT AS prompt_chars FROM p"""
-ORACLES["cited_evidence"] = f"""WITH offered AS MATERIALIZED ({ORACLES["question_evidence"]}),
+POLICY_QUESTIONS = f"""WITH {VECTORS.replace("source AS policy_id, source AS document_id", SECTION_POLICY + " AS policy_id, source AS document_id")}, {QUESTIONS}, asked AS MATERIALIZED (SELECT query_id, conv_id, 'pol' || conv_id AS policy_id, {embed('query')} AS v FROM questions),
+        {search('asked', 5, 'q.policy_id = c.policy_id')}, {READING},
+        open_q AS (SELECT query_id, conv_id FROM asked WHERE query_id NOT IN (SELECT query_id FROM hits)),
+        filled AS (SELECT query_id, rank AS position, evidence_id FROM open_q JOIN reading ON conv_id % 2 = 0 AND policy_id = 'pol' || (conv_id // 2) WHERE rank <= 10)
+        SELECT query_id, rank::INT AS position, 'ev_' || chunk_id AS evidence_id, 'search' AS origin FROM hits
+        UNION ALL SELECT query_id, position::INT, evidence_id, 'fallback' FROM filled
+        UNION ALL SELECT query_id, NULL::INT, NULL, 'notice' FROM open_q WHERE query_id NOT IN (SELECT query_id FROM filled)"""
+ORACLES["cited_evidence"] = f"""WITH offered AS MATERIALIZED ({POLICY_QUESTIONS}),
   a AS (SELECT query_id, CASE WHEN split_part(query_id, '-', 1)::BIGINT % 3 = 0 THEN ['ev_x'] ELSE [evidence_id, 'ev_x'] END AS ids FROM offered WHERE position = 2),
   m AS (SELECT o.*, coalesce(list_contains(ids, evidence_id), false) AS hit FROM offered o JOIN a USING (query_id))
   SELECT query_id, position, evidence_id, origin FROM m WHERE hit OR query_id NOT IN (SELECT query_id FROM m WHERE hit)"""
