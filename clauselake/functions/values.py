@@ -8,12 +8,12 @@ read gives null, never an exception.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.catalog import CITATION_KEYS
 from clauselake.functions.text import fold, is_blank, strip
-from clauselake.plans.once import let
+from clauselake.plans.once import compute_once, let
 
 RAW_KEYS = ["amount", "currency", "number", "unit", "date", "start", "end", "text", "value_text", *CITATION_KEYS]
 RAW_VALUE = "struct<" + ",".join(f"`{key}`:string" for key in RAW_KEYS) + ">"
@@ -123,30 +123,42 @@ def _normalized(**parts: Column) -> Column:
     return value
 
 
+def normalized_parts(field_type: Column, raw: Column) -> Column:
+    """What ``normalize_value`` reads from a raw struct, each part parsed once and only for its own type."""
+
+    def of(kind: str, part: Column) -> Column:
+        return F.when(field_type == kind, part)
+
+    currency = of("money", F.upper(F.coalesce(raw["currency"], F.lit("BRL"))))
+    parts = [
+        of("money", parse_money(raw["amount"])), currency, of("number", number_text(raw["number"])),
+        of("number", parse_decimal(raw["number"])), of("date", parse_date(raw["date"])),
+        of("period", parse_date(raw["start"])), of("period", parse_date(raw["end"])), of("text", fold(raw["text"])),
+    ]
+    names = [name for name in NORMALIZED_TYPES if name != "duration_days"]
+    return F.struct(*[part.alias(name) for name, part in zip(names, parts, strict=True)])
+
+
+def from_parts(parts: Column) -> Column:
+    """Normalised struct of ``normalized_parts``; unreadable gives null."""
+    part = {name: parts[name] for name in NORMALIZED_TYPES if name != "duration_days"}
+    given = {name: column.isNotNull() for name, column in part.items()}
+    valid = (
+        (given["amount"] & part["currency"].rlike("^[A-Z]{3}$")) | given["number"] | given["date"]
+        | (part["start"] <= part["end"]) | given["text"]
+    )
+    return F.when(valid, _normalized(**part, duration_days=F.datediff(part["end"], part["start"])))
+
+
 def normalize_value(field_type: Column, raw: Column) -> Column:
     """Raw struct -> normalised struct by field type; unreadable gives null."""
-    amount = parse_money(raw["amount"])
-    currency = F.upper(F.coalesce(raw["currency"], F.lit("BRL")))
-    number = parse_decimal(raw["number"])
-    date = parse_date(raw["date"])
-    start, end = parse_date(raw["start"]), parse_date(raw["end"])
-    text = fold(raw["text"])
-    return (
-        F.when(
-            (field_type == "money") & amount.isNotNull() & currency.rlike("^[A-Z]{3}$"),
-            _normalized(amount=amount, currency=currency),
-        )
-        .when(
-            (field_type == "number") & number.isNotNull(),
-            _normalized(number_text=number_text(raw["number"]), number=number),
-        )
-        .when((field_type == "date") & date.isNotNull(), _normalized(date=date))
-        .when(
-            (field_type == "period") & (start <= end),
-            _normalized(start=start, end=end, duration_days=F.datediff(end, start)),
-        )
-        .when((field_type == "text") & text.isNotNull(), _normalized(text=text))
-    )
+    return let(normalized_parts(field_type, raw), from_parts)
+
+
+def normalize_once(df: DataFrame, name: str, field_type: Column, raw: Column, where: Column) -> DataFrame:
+    """``df`` with ``normalize_value`` of the rows that fulfil ``where`` as column ``name``; parsing is compiled, unlike in ``let``."""
+    parsed = compute_once(df, __parts=F.when(where, normalized_parts(field_type, raw)))
+    return compute_once(parsed, **{name: from_parts(F.col("__parts"))}).drop("__parts")
 
 
 def to_brl(amount: Column, currency: Column, rate: Column) -> Column:

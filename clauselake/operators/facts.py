@@ -25,7 +25,7 @@ from clauselake.catalog import (
     field_ordinal,
 )
 from clauselake.functions.text import clean_optional, fold, strip
-from clauselake.functions.values import normalize_value, parse_value
+from clauselake.functions.values import normalize_once, parse_value
 from clauselake.plans.once import compute_once
 
 VIOLATIONS = "array<struct<rule:string,field_code:string,reason:string>>"
@@ -205,11 +205,8 @@ def _guarded(requests: DataFrame, responses: DataFrame, evidence: DataFrame) ->
     given = F.col("value_json").isNotNull() & (F.trim("value_json") != "null")
     unreadable = (F.col("status") == "FOUND") & given & F.col("value").isNull()
     found = (F.col("status") == "FOUND") & F.col("value").isNotNull()
-    raw = compute_once(
-        raw,
-        normalized_value=F.when(found, normalize_value(F.col("field_type"), F.col("value"))),
-        excerpts=F.coalesce(collect_excerpts(F.col("value")), F.array().cast("array<string>")),
-    )
+    raw = normalize_once(raw, "normalized_value", F.col("field_type"), F.col("value"), found)
+    raw = compute_once(raw, excerpts=F.coalesce(collect_excerpts(F.col("value")), F.array().cast("array<string>")))
     demoted = unreadable | (found & F.col("normalized_value").isNull())
     raw = (
         raw.withColumn("__demoted", F.coalesce(demoted, F.lit(False)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauselake.catalog import REVIEW_DECISIONS, field_attribute
-from clauselake.functions.values import is_object, normalize_value, parse_value, raw_from_text, scalar_text
+from clauselake.functions.values import is_object, normalize_once, parse_value, raw_from_text, scalar_text
 from clauselake.operators.facts import field_rules
 from clauselake.plans.once import compute_once, let
 
@@ -33,16 +33,16 @@ def _checked_decisions(facts: DataFrame, decisions: DataFrame) -> DataFrame:
     # A typed value takes currency and unit from the fact as the decisions before it left it. Typed corrections keep
     # both, so only accepted objects change them, and whether an object is accepted does not depend on its order.
     joined = compute_once(joined, __own=F.when(corrected & is_object(F.col("value_json")), parse_value(field_type, F.col("value_json"))))
-    sound = normalize_value(field_type, F.col("__own"))
-    accepted = let(sound, lambda n: n.isNotNull() & (F.size(field_rules(F.col("__code"), field_type, n)) == 0))
-    joined = compute_once(joined, __sets=F.when(F.col("__own").isNotNull() & accepted, F.struct("__own.currency", "__own.unit")))
+    joined = normalize_once(joined, "__sound", field_type, F.col("__own"), F.col("__own").isNotNull())
+    accepted = F.col("__sound").isNotNull() & (F.size(field_rules(F.col("__code"), field_type, F.col("__sound"))) == 0)
+    joined = compute_once(joined, __sets=F.when(accepted, F.struct("__own.currency", "__own.unit"))).drop("__sound")
     before = Window.partitionBy("fact_id").orderBy("decided_at", "seq").rowsBetween(Window.unboundedPreceding, -1)
     current = F.coalesce(F.last("__sets", ignorenulls=True).over(before), F.col("__original"))  # a fact's few human decisions
     joined = joined.withColumn("__current", current)
     typed = raw_from_text(field_type, scalar_text(F.col("value_json")), F.col("__current"))
     value = F.when(is_object(F.col("value_json")), F.col("__own")).otherwise(typed)
     joined = compute_once(joined, __value=F.when(corrected & given, value))
-    joined = compute_once(joined, __normalized=normalize_value(field_type, F.col("__value")))
+    joined = normalize_once(joined, "__normalized", field_type, F.col("__value"), F.col("__value").isNotNull())
     rules = field_rules(F.col("__code"), field_type, F.col("__normalized"))
     reason = (
         F.when(~F.coalesce(F.col("decision").isin(*REVIEW_DECISIONS), F.lit(False)), F.lit("INVALID_DECISION"))
