@@ -6,8 +6,8 @@ stand for, with the cost of the swap, or nothing where it may be a repetition or
 interpolated character 4-gram model restores the word. Restored words are looked up in a table of weights, and a
 logistic function of a text's greatest weight and of the sum over its distinct words gives its score.
 
-Everything is learned from the rows that ``learn`` selects, at most ``FIT_ROWS`` labelled texts (those of least id hash,
-equal texts once): word weights are lower bounds of the log odds of being in a toxic text, the character model mixes
+Everything is learned from the rows that ``learn`` selects, all labelled texts (equal
+texts once): word weights are lower bounds of the log odds of being in a toxic text, the character model mixes
 the texts with the weighted words, the logistic function is fitted on the same texts. The model has at most ``WORDS``
 weighted words and 28**4 probabilities whatever the corpus holds, and travels to the tasks, which score whole texts
 where they lie.
@@ -34,10 +34,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauselake.llm.common import Slice, gathered, slices
+from clauselake.llm.common import Slice, gathered, slices, stored, with_ids
 from clauselake.llm.tokens import Words
 
-FIT_ROWS, WORDS, LEAST_WEIGHT = 20_000, 2000, 1.5
+WORDS, LEAST_WEIGHT = 2000, 1.5
 THRESHOLD = 0.3
 SYMBOLS, SPACE, OTHER = 28, 26, 27  # a to z, a space, anything else
 LEXICON_SHARE = 0.2
@@ -261,16 +261,16 @@ def toxic_labels(labels: DataFrame) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
-    """``(text, toxic)``: at most ``FIT_ROWS`` labelled texts that may teach, equal texts once."""
-    teach = docs.filter(F.coalesce(learn, F.lit(False)) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"))
-    chosen = toxic_labels(labels).join(teach.distinct(), F.col("id") == F.col("doc_id"), "left_semi").orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS)
+    """``(text, toxic)``: all labelled texts that may teach, equal texts once."""
+    teach = docs.filter(F.coalesce(learn, F.lit(False)) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"))
+    chosen = toxic_labels(labels).join(teach.distinct(), "id", "left_semi").withColumnRenamed("id", "doc_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("doc_id"))  # FIT_ROWS ids at most
+    rows = with_ids(texts, chosen)
     return rows.groupBy(F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def word_evidence(rows: DataFrame) -> tuple[dict[str, tuple[int, int]], np.ndarray, tuple[int, int]]:
-    """Texts with each word by kind, 4-gram counts, and texts of each kind; sums of partial counts of the tasks."""
+    """Texts with each of the heaviest words by kind, 4-gram counts, and texts of each kind; sums of partial counts of the tasks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches):
@@ -293,17 +293,19 @@ def word_evidence(rows: DataFrame) -> tuple[dict[str, tuple[int, int]], np.ndarr
 
     counted = rows.mapInArrow(count, "word string, code bigint, harmless bigint, toxic bigint")
     summed = counted.groupBy("word", "code").agg(F.sum("harmless").alias("harmless"), F.sum("toxic").alias("toxic"))
-    # Words of harmless texts alone get no weight; what is left is bounded by the toxic texts among FIT_ROWS.
-    table = summed.filter("code is not null or word = '' or toxic >= 2").toArrow().to_pydict()
-    grams, words, size = np.zeros(SYMBOLS**4), {}, (0, 0)
-    for word, code, harmless, toxic in zip(table["word"], table["code"], table["harmless"], table["toxic"], strict=True):
+    summed = stored(summed.filter("code is not null or word = '' or toxic >= 2"), "toxic-words")  # other words get no weight
+    table = summed.filter("code is not null or word = ''").toArrow().to_pydict()  # SYMBOLS**4 rows at most
+    grams, size = np.zeros(SYMBOLS**4), (0, 0)
+    for code, harmless, toxic in zip(table["code"], table["harmless"], table["toxic"], strict=True):
         if code is not None:
             grams[code] = harmless
-        elif word:
-            words[word] = (harmless, toxic)
         else:
             size = (harmless, toxic)
-    return words, grams, size
+    odds = F.log((F.col("toxic") + 0.5) / (size[1] + 1)) - F.log((F.col("harmless") + 0.5) / (size[0] + 1))
+    bound = odds - 1.64 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("harmless") + 0.5))
+    heaviest = summed.filter("code is null and length(word) > 2").withColumn("bound", bound).filter(F.col("bound") >= LEAST_WEIGHT - 1e-9)
+    heaviest = heaviest.orderBy(F.desc("bound"), "word").limit(WORDS)  # the model has no more words
+    return {r["word"]: (r["harmless"], r["toxic"]) for r in heaviest.collect()}, grams, size
 
 
 def word_weights(words: dict[str, tuple[int, int]], size: tuple[int, int]) -> dict[str, float]:
@@ -332,7 +334,7 @@ def fit_logistic(features: np.ndarray, toxic: np.ndarray) -> tuple[float, float,
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Model:
-    rows = labelled(docs, labels, learn)
+    rows = stored(labelled(docs, labels, learn), "labelled-texts")  # read for the words and for the features
     words, grams, size = word_evidence(rows)
     weights = word_weights(words, size)
     corpus = interpolated(grams)
@@ -352,7 +354,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Model:
                 yield pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1]), part.table.column("toxic")], names=["greatest", "total", "toxic"])
 
     table = rows.mapInArrow(featured, "greatest double, total double, toxic int")
-    table = table.groupBy("greatest", "total", "toxic").count().orderBy("greatest", "total", "toxic").toArrow()  # FIT_ROWS at most
+    table = table.groupBy("greatest", "total", "toxic").count().orderBy("greatest", "total", "toxic").toArrow()  # three numbers for each distinct pair of features
     times = table.column("count").to_numpy()
     pairs = np.column_stack([table.column("greatest").to_numpy(), table.column("total").to_numpy()])
     model.logistic = fit_logistic(np.repeat(pairs, times, axis=0), np.repeat(table.column("toxic").to_numpy(), times))
