@@ -7,8 +7,8 @@ whatever the corpus holds. P(word | class) = (c + 0.5) / (N_class + 0.5 * (V_cla
 training words, unknown words sharing one half count. Counts are summed per shard of the words' 64-bit hashes and sent
 back to the groups of documents that asked for them. The score is the scaled forward recursion over the whole text.
 
-Baum-Welch starts from a few steps on a bounded sample (``START_DOCS`` training documents of least id hash) that break
-the symmetry of the states; ``passes`` full steps over all training documents follow.
+Baum-Welch starts from random emissions that break the symmetry of the states; ``START_STEPS`` and then ``passes`` full
+steps follow, each over all training documents.
 
 Defined results: null and empty texts consist of the end alone; rows with a null doc_id are learned from; repeated rows
 count each; without training documents all counts are 0; an empty table gives no rows; extra columns are ignored.
@@ -29,7 +29,7 @@ from clauselake.llm.common import GROUP_BYTES, gathered, pack, shares, slices, s
 from clauselake.llm.tokens import Words
 
 STATES, CLASSES = 8, 4096
-START_DOCS, START_STEPS = 400, 20
+START_STEPS = 2
 BUCKET_BYTES = 64 << 20
 FAN_IN = 1024  # tasks whose expected counts are summed first
 ASKED = "bucket int, grp int, payload binary"
@@ -100,15 +100,10 @@ class Model:
 
 
 def start_model(learned: DataFrame, states: int, classes: int, seed: int) -> Model:
-    """A model from a few steps over START_DOCS documents."""
-    sample = learned.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(START_DOCS).select("text").toArrow()
-    texts = [symbols(h, c, classes) for _, h, c in word_hashes(sample)]
-    tokens = np.concatenate([t for t, _ in texts]) if texts else np.zeros(0, np.int64)
-    lengths = np.concatenate([n for _, n in texts]) if texts else np.zeros(0, np.int64)
-    frequencies = np.bincount(tokens, minlength=classes + 1) + 0.5
-    model = Model.random(states, frequencies / frequencies.sum(), seed)
-    for _ in range(START_STEPS if len(tokens) else 0):
-        model = Model.from_counts(model.expected(tokens, lengths))
+    """A model from START_STEPS full steps; they begin at even frequencies, which cancel in the posteriors of the states."""
+    model = Model.random(states, np.ones(classes + 1), seed)
+    for _ in range(START_STEPS):
+        model = baum_welch(learned, model, classes)
     return model
 
 
