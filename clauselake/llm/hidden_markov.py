@@ -29,7 +29,7 @@ from clauselake.llm.common import GROUP_BYTES, gathered, pack, shares, slices, s
 from clauselake.llm.tokens import Words
 
 STATES, CLASSES = 8, 4096
-START_STEPS = 2
+START_STEPS = 3
 BUCKET_BYTES = 64 << 20
 FAN_IN = 1024  # tasks whose expected counts are summed first
 ASKED = "bucket int, grp int, payload binary"
