@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from clauselake.plans.once import let
 from clauselake.session import ensure_checkpoint_dir
 
 BUNDLE_BYTES = 16 << 20
@@ -55,16 +56,18 @@ def write_bundles(
 def read_bundles(spark: SparkSession, path: str, index: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, piece, text)`` of the pieces that ``index``, whole or filtered, names.
 
-    Only files with a wanted piece are joined; a file is cut where it is read, so its bytes are not copied per piece.
+    Only files with a wanted piece are joined; a file is cut where it is read. Its bytes are bound once, since a column
+    that a lambda reads is copied out of its row for every piece.
     """
     wanted = index.groupBy("file").agg(F.collect_list(F.struct(F.col(key).alias("key"), "piece", "offset", "length")).alias("wanted"))
     content = _files(spark, path, "content").join(wanted, "file")
 
-    def cut(entry: Column) -> Column:
-        part = F.substring("content", (entry["offset"] + 1).cast("int"), (entry["length"] - 1).cast("int"))
+    def cut(file: Column, entry: Column) -> Column:
+        part = F.substring(file, (entry["offset"] + 1).cast("int"), (entry["length"] - 1).cast("int"))
         return F.struct(entry["key"].alias(key), entry["piece"].alias("piece"), part.cast("string").alias(text))
 
-    return content.select(F.inline(F.transform("wanted", cut)))
+    pieces = let(F.col("content"), lambda file: F.transform("wanted", lambda entry: cut(file, entry)))
+    return content.select(F.inline(pieces))
 
 
 def read_document(spark: SparkSession, path: str, index: DataFrame, key: str, value, text: str) -> DataFrame:

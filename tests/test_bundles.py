@@ -1,3 +1,4 @@
+import time
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -47,3 +48,12 @@ def test_wide_report_spans_bundles_in_order(spark, tmp_path):
         assert len(parts) > 10
         ordered = lines.filter(F.col("report_id") == name).orderBy("section", "k1", "k2", "k3").collect()
         assert "\n".join(p["line"] for p in parts) == "\n".join(r["line"] for r in ordered)
+
+
+def test_a_file_is_not_copied_for_every_piece(spark, tmp_path):
+    rows = spark.range(6000).select("id", F.repeat(F.lit("x"), 2500).alias("text"))  # one file of 15 MB
+    index = bundles.write_bundles(rows, str(tmp_path / "b"), "id", "text")
+    assert index.select("file").distinct().count() == 1
+    begin = time.perf_counter()
+    assert bundles.read_bundles(spark, str(tmp_path / "b"), index, "id", "text").filter("length(text) = 2500").count() == 6000
+    assert time.perf_counter() - begin < 10  # 6000 copies of the file take far longer
