@@ -10,6 +10,7 @@ from clauselake.operators.chunks import chunk_pages
 from clauselake.operators.embedding import with_hashed_embedding
 from clauselake.operators.pages import resolve_page_text
 from clauselake.operators.status import current_status
+from clauselake.plans.stored import stored
 from clauselake.sources.keyed_log import KeyedLog
 from clauselake.sources.tables import latest_by_key, upsert
 
@@ -51,8 +52,9 @@ def ingest_stream(
         latest = latest_by_key(batch, PAGE_KEYS, order).drop(ARRIVAL)
         page_log.append(latest, page_log.first_commit(spark, checkpoint) + batch_id)
         touched = batch.select("document_id").distinct()
-        stored = page_log.read(spark, touched)
-        chunk_log.append(index_documents(stored), chunk_log.first_commit(spark, checkpoint) + batch_id, gone=touched)
+        pages_of = stored(page_log.read(spark, touched), "touched-pages")  # read by two steps of the sections
+        fresh = stored(index_documents(pages_of), "touched-chunks")  # its keys are read before its rows are written
+        chunk_log.append(fresh, chunk_log.first_commit(spark, checkpoint) + batch_id, gone=touched)
         page_log.compact(spark)
         chunk_log.compact(spark)
 

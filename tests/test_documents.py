@@ -123,3 +123,24 @@ def test_status_of_a_document_with_a_million_illegible_pages(spark):
     rows = pages.document_status(many.repartition(6).unionByName(few)).filter("stage = 'REVIEW_REQUIRED'").collect()
     found = {r["document_id"]: r["message"].removeprefix("REVIEW: páginas ilegíveis: ") for r in rows}
     assert found == {"big": ", ".join(map(str, range(1, 1_000_001))), "small": "3, 2000"}
+
+
+def test_an_arriving_batch_makes_each_chunk_once(spark, tmp_path, monkeypatch):
+    from clauselake.streaming import ingest
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        made.add(1)
+        return text
+
+    counted = F.udf(count, "string").asNondeterministic()
+    plain = ingest.chunk_pages
+    monkeypatch.setattr(ingest, "chunk_pages", lambda pages: plain(pages).withColumn("text", counted("text")).filter("text <> 'x'"))
+    rows = [("p", "d", i, f"Artigo {i}\n" + "texto da apólice " * 20, None, None, None) for i in range(40)]
+    schema = "policy_id string, document_id string, page_number int, native_text string, ocr_text string, ocr_confidence double, regions array<struct<kind:string,text:string,order:int>>"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = ingest.stream_pages(spark, str(tmp_path / "in"), spark.createDataFrame(rows, schema).schema)
+    ingest.ingest_stream(stream, str(tmp_path / "p"), str(tmp_path / "c"), str(tmp_path / "k"), buckets=2).awaitTermination()
+    assert ingest.ingested_tables(str(tmp_path / "p"), str(tmp_path / "c"), 2)[1].read(spark).count() == 40
+    assert made.value == 40
