@@ -21,11 +21,18 @@ from clauselake.plans.ranking import rank_by_levels
 from clauselake.plans.top_k import top_k
 
 
+def _tokens(text: Column) -> Column:
+    return F.split(strip_accents(F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))), "[^a-z0-9]+")
+
+
 def terms(text: Column) -> Column:
     """Distinct folded terms of three letters or more, without stopwords."""
-    plain = strip_accents(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
-    tokens = F.filter(F.split(plain, "[^a-z0-9]+"), lambda t: F.length(t) >= 3)
-    return F.array_except(tokens, literal_array(STOPWORDS))
+    return F.array_except(F.filter(_tokens(text), lambda t: F.length(t) >= 3), literal_array(STOPWORDS))
+
+
+def known_terms(text: Column, queries: list[list[str]]) -> Column:
+    """The terms of a text that any of the catalog queries holds; what no query asks for cannot score."""
+    return F.array_intersect(_tokens(text), literal_array(list(dict.fromkeys(t for query in queries for t in query))))
 
 
 def catalog_terms(text: str) -> list[str]:
@@ -61,23 +68,21 @@ def _evidence_columns(quoted_chars: int | None = None) -> list[Column]:
 def rank_sections(sections: DataFrame, limit: int = TOP_SECTIONS, quoted_chars: int | None = None) -> DataFrame:
     """Best sections of a policy for every catalog field, zero scores included.
 
-    The ten field queries are literals: each section computes its terms once and
-    fans out to ten (field, score) pairs without a join. The texts return to the
-    winners only.
+    The ten field queries are literals: each section keeps the few terms that
+    any of them holds and fans out to ten (field, score) pairs without a join.
+    The texts return to the winners only.
     """
     limit = max(limit, 1)
-    keyed = compute_once(
-        sections, __terms=terms(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.col("text")))
-    ).select("policy_id", "page_number", "section_index", "__terms")
+    queries = {code: catalog_terms(f"{label} {description}") for code, _, _, label, description in FIELD_TABLE}
+    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.col("text"))
+    keyed = compute_once(sections, __terms=known_terms(text, list(queries.values()))).select("policy_id", "page_number", "section_index", "__terms")
     scored = F.array(
         *[
             F.struct(
                 F.lit(code).alias("field_code"),
-                overlap_score(
-                    literal_array(catalog_terms(f"{label} {description}")), F.col("__terms")
-                ).alias("retrieval_score"),
+                overlap_score(literal_array(query), F.col("__terms")).alias("retrieval_score"),
             )
-            for code, _, _, label, description in FIELD_TABLE
+            for code, query in queries.items()
         ]
     )
     pairs = keyed.select("policy_id", "page_number", "section_index", F.inline(scored))
