@@ -104,7 +104,8 @@ def strip_accents(text: Column) -> Column:
 
     One-to-one letters go through ``translate``. Rows that still hold a
     character that expands to several look up the distinct ones that they hold,
-    and rows with Hangul syllables are spelled out; other rows skip both.
+    and rows with Hangul syllables are spelled out; other rows skip both, and
+    rows that are ASCII by then meet no lambda, which Spark interprets.
     """
     single, images, marks, expanding = _fold_rules()
     pattern = _char_class([char for char, _ in expanding])
@@ -121,7 +122,8 @@ def strip_accents(text: Column) -> Column:
     def spell(plain: Column) -> Column:
         return F.when(plain.rlike(syllables), _split_syllables(plain)).otherwise(plain)
 
-    return let(let(F.translate(text, single + marks, images), expand), spell)
+    plain = F.translate(text, single + marks, images)
+    return F.when(plain.rlike(r"[^\x00-\x7f]"), let(let(plain, expand), spell)).otherwise(plain)
 
 
 def fold(text: Column) -> Column:

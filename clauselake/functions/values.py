@@ -109,10 +109,9 @@ def scalar_text(value_json: Column) -> Column:
 def parse_value(field_type: Column, value_json: Column) -> Column:
     """JSON value -> raw struct; scalars go through the typed-text rule."""
     null_currency = value_json.rlike(r'"currency"\s*:\s*null')
-    parsed = let(
-        F.from_json(value_json, RAW_VALUE),
-        lambda raw: raw.withField("currency", F.when(null_currency, F.lit("NONE")).otherwise(raw["currency"])),
-    )
+    parsed = F.from_json(value_json, RAW_VALUE)
+    marked = let(parsed, lambda raw: raw.withField("currency", F.lit("NONE")))
+    parsed = F.when(null_currency, marked).otherwise(parsed)  # lambdas are interpreted: only for the rows that need one
     return F.when(is_object(value_json), parsed).otherwise(raw_from_text(field_type, scalar_text(value_json)))
 
 

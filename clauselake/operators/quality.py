@@ -79,23 +79,18 @@ def issue_counts(issues: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def comparison_issue_counts(pairs: DataFrame, issues: DataFrame) -> DataFrame:
-    """Counts of both sides of a comparison; the counts are joined, not the issues."""
-    counts = issue_counts(issues)
+    """Counts of both sides of a comparison; the counts are joined, not the issues.
 
-    def side(name: str) -> DataFrame:
-        return counts.select(
-            F.col("policy_id").alias(f"policy_id_{name}"),
-            *[F.col(c).alias(f"{c}_{name}") for c in COUNT_COLUMNS.values()],
-        )
-
-    joined = pairs.join(side("a"), "policy_id_a", "left").join(side("b"), "policy_id_b", "left")
-    zero = F.lit(0).cast("bigint")
-    return joined.select(
-        *pairs.columns,
-        *[
-            (F.coalesce(f"{c}_a", zero) + F.coalesce(f"{c}_b", zero)).alias(c)
-            for c in COUNT_COLUMNS.values()
-        ],
+    Both sides meet the counts in one join, so the issues are derived once. The
+    row number keeps equal pairs apart.
+    """
+    numbered = pairs.withColumn("__row", F.monotonically_increasing_id())
+    sides = numbered.select("*", F.explode(F.array("policy_id_a", "policy_id_b")).alias("policy_id"))
+    return (
+        sides.join(issue_counts(issues), "policy_id", "left")
+        .groupBy("__row", *pairs.columns)
+        .agg(*[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in COUNT_COLUMNS.values()])
+        .drop("__row")
     )
 
 
