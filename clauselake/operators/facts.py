@@ -188,16 +188,33 @@ def build_facts(requests: DataFrame, responses: DataFrame, evidence: DataFrame)
     ``rejects`` has one row per rejected policy with the first error in catalog
     order. No fact of such a policy is returned.
     """
+    rejects = batch_rejects(requests, responses, evidence)
     tagged = _guarded(requests, responses, evidence)
-    rejects = (
-        tagged.filter(F.col("batch_error").isNotNull())
-        .select("policy_id", "batch_error.field_code", "batch_error.error_code")
-        .distinct()
-    )
     facts = tagged.filter(F.col("batch_error").isNull()).drop("batch_error", "excerpts")
     return cross_field_rules(facts), rejects
 
 
+def batch_rejects(requests: DataFrame, responses: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The first error of each policy in catalog order, an unknown evidence before a broken contract.
+
+    Rules and anchors turn FOUND into NEEDS_REVIEW only, which no contract
+    refuses, so neither values nor texts are read and only ids are shuffled.
+    """
+    answered = complete_requests(requests, responses.withColumn("value", F.lit(None).cast("string")))
+    cited = answered.select(
+        "policy_id", "field_code", F.explode_outer(F.array_distinct("evidence_ids")).alias("evidence_id"),
+        contract_error(F.col("status"), F.col("confidence"), F.col("evidence_ids")).alias("broken"),
+    )
+    offered = evidence.select("policy_id", "evidence_id", F.col("quoted_text").isNotNull().alias("quoted"))
+    known = F.col("evidence_id").isNull() | F.coalesce("quoted", F.lit(False))
+    error = F.when(~known, F.lit("EVIDENCE_UNKNOWN")).otherwise(F.col("broken"))
+    first = F.struct(
+        field_ordinal(F.col("field_code")).alias("ordinal"), "field_code", known.alias("known"), error.alias("error_code")
+    )
+    met = cited.join(offered, ["policy_id", "evidence_id"], "left").filter(error.isNotNull())
+    return met.groupBy("policy_id").agg(F.min(first).alias("e")).select("policy_id", "e.field_code", "e.error_code")
+
+
 def _guarded(requests: DataFrame, responses: DataFrame, evidence: DataFrame) -> DataFrame:
     field_type = field_attribute(F.col("field_code"), "field_type")
     raw = complete_requests(requests, responses).withColumn("field_type", field_type)

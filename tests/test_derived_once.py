@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clauselake.functions import text, values
-from clauselake.operators import quality
+from clauselake.operators import facts, quality
 
 
 def leaves(df):
@@ -24,6 +24,29 @@ def test_comparison_counts_derive_the_issues_once(spark):
     assert leaves(counted) == 2
 
 
+def test_rejects_read_ids_and_equal_those_of_whole_facts(spark):
+    codes = ["limite_agregado", "prazo_notificacao_sinistro", "exclusoes_chave"]
+    requests = facts.request_grid(spark.createDataFrame([(str(i),) for i in range(7)], "policy_id string"), codes)
+    rows = [
+        ("0", 0, codes[0], "FOUND", '"x"', 0.5, ["e0"]), ("0", 1, codes[1], "FOUND", "5", 1.5, ["e0"]),
+        ("1", 0, codes[0], "FOUND", "5", 0.5, ["e0", None]), ("1", 1, codes[1], "ODD", "5", 0.5, ["e0", "gone"]),
+        ("2", 0, codes[2], "FOUND", '{"text":"diz “nada”"}', 0.5, ["e0"]), ("2", 1, codes[1], "FOUND", "-5", 0.5, ["e0"]),
+        ("3", 0, codes[2], "NOT_FOUND", None, 0.5, []), ("4", 0, codes[2], "FOUND", "1", 0.5, []),
+        ("5", 0, codes[1], "FOUND", "1", 0.5, ["e1"]), ("6", 0, codes[1], None, "1", 2.0, None),
+    ]
+    schema = "policy_id string, position int, field_code string, status string, value string, confidence double, evidence_ids array<string>"
+    responses = spark.createDataFrame(rows, schema).withColumn("requires_human_review", F.lit(False))
+    evidence = spark.createDataFrame(
+        [(str(i), e, None if e == "e1" else "texto") for i in range(7) for e in ("e0", "e1")], "policy_id string, evidence_id string, quoted_text string"
+    )
+    built, rejects = facts.build_facts(requests, responses, evidence)
+    whole = facts._guarded(requests, responses, evidence).filter("batch_error is not null").select("policy_id", "batch_error.field_code", "batch_error.error_code").distinct()
+    assert sorted(map(tuple, rejects.collect())) == sorted(map(tuple, whole.collect()))
+    assert rejects.count() == 5 and built.select("policy_id").distinct().count() == 2
+    plan = rejects._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "contains" not in plan.lower()
+
+
 def test_parsing_without_lambdas_gives_the_same_values(spark):
     given = ["{\"currency\" : null, \"amount\":\"1\"}", "{\"x\":{\"currency\":null},\"currency\":\"USD\"}", "{\"currency\":\"EUR\"}", "{bad", "{}", None]
     df = spark.createDataFrame([(g,) for g in given], "json string").repartition(1)
