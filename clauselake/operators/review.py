@@ -58,20 +58,8 @@ def _checked_decisions(facts: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
-def apply_decisions(facts: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(facts after review, rejected decisions).
-
-    ``decisions(fact_id, decision, decided_by, value_json, note, decided_at,
-    seq)``. Typed values take currency and unit from the fact as the
-    valid decisions before them left it. Valid ones apply in (decided_at, seq) order: a correction sets the value, a confirmation or
-    correction makes the fact FOUND and clears the flag, a divergence raises the
-    flag and leaves status and value. The decisions of a fact are reduced by
-    partial aggregates, so a fact with very many decisions is no hot task.
-    """
-    checked = _checked_decisions(facts, decisions)
-    rejects = checked.filter(F.col("reason").isNotNull()).select(
-        "fact_id", "decision", "decided_by", "seq", "reason", "rules"
-    )
+def _merged(checked: DataFrame) -> DataFrame:
+    """The accepted decisions of a fact: the last one, the last correction, and whether one resolved it."""
     order = F.struct("decided_at", "seq")
     given = F.when(F.try_parse_json("value_json").isNotNull(), F.col("value_json"))
     shown = F.when(F.col("decision") == "CORRIGIDO", F.to_json("__value")).when(F.col("decision") == "CONFIRMADO", given)
@@ -80,7 +68,7 @@ def apply_decisions(facts: DataFrame, decisions: DataFrame) -> tuple[DataFrame,
     last = F.struct("decision", "decided_by", "decided_at", payload.alias("payload"))
     correction = F.struct(F.col("__value").alias("value"), F.col("__normalized").alias("normalized_value"))
     corrected = F.col("decision") == "CORRIGIDO"
-    merged = (
+    return (
         checked.filter(F.col("reason").isNull())
         .groupBy("fact_id")
         .agg(
@@ -89,6 +77,34 @@ def apply_decisions(facts: DataFrame, decisions: DataFrame) -> tuple[DataFrame,
             F.bool_or(F.col("decision") != "DIVERGENTE").alias("__resolved"),
         )
     )
+
+
+def recorded_decisions(facts: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The review state of each fact that ``decisions`` decide; ``facts(fact_id, field_code, value)`` are read once."""
+    return _merged(_checked_decisions(facts, decisions)).select(
+        "fact_id",
+        F.col("__last.decision").alias("revisao_status"),
+        F.col("__last.payload").alias("revisao_decisao"),
+        F.col("__last.decided_by").alias("revisao_por"),
+        F.col("__last.decided_at").cast("string").alias("revisao_em"),
+    )
+
+
+def apply_decisions(facts: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts after review, rejected decisions).
+
+    ``decisions(fact_id, decision, decided_by, value_json, note, decided_at,
+    seq)``. Typed values take currency and unit from the fact as the
+    valid decisions before them left it. Valid ones apply in (decided_at, seq) order: a correction sets the value, a confirmation or
+    correction makes the fact FOUND and clears the flag, a divergence raises the
+    flag and leaves status and value. The decisions of a fact are reduced by
+    partial aggregates, so a fact with very many decisions is no hot task.
+    """
+    checked = _checked_decisions(facts, decisions)
+    rejects = checked.filter(F.col("reason").isNotNull()).select(
+        "fact_id", "decision", "decided_by", "seq", "reason", "rules"
+    )
+    merged = _merged(checked)
     decided = F.col("__last").isNotNull()
     has_correction = F.col("__correction").isNotNull()
 
@@ -124,31 +140,44 @@ SKIP_REASONS = {
 }
 
 
-def bulk_feedback(
-    facts: DataFrame, corrections: DataFrame, decided_by: str, note: Column
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(facts after review, applied, skipped) for a list of proposed corrections.
-
-    An unknown decision word means CORRIGIDO with a value and DIVERGENTE without.
-    ``corrections(fact_id, decision, value_json, decided_at, seq)``.
-    """
+def _proposed(corrections: DataFrame, decided_by: str, note: Column) -> DataFrame:
+    """Corrections as decisions. An unknown decision word means CORRIGIDO with a value and DIVERGENTE without."""
     word = F.upper(F.coalesce("decision", F.lit("")))
     has_value = F.col("value_json").isNotNull() & (F.trim("value_json") != "null")
     decision = F.when(word.isin(*REVIEW_DECISIONS), word).otherwise(
         F.when(has_value, F.lit("CORRIGIDO")).otherwise(F.lit("DIVERGENTE"))
     )
-    decisions = corrections.select(
+    return corrections.select(
         "fact_id", decision.alias("decision"), F.lit(decided_by).alias("decided_by"), "value_json",
         note.alias("note"), "decided_at", "seq",
     )
-    reviewed, rejects = apply_decisions(facts, decisions)
+
+
+def feedback_outcomes(facts: DataFrame, corrections: DataFrame, decided_by: str, note: Column) -> DataFrame:
+    """Each proposed correction with its decision, or the reason for skipping it.
+
+    Facts and corrections are read once; of ``facts`` only fact_id, field_code
+    and value are used.
+    """
+    checked = _checked_decisions(facts, _proposed(corrections, decided_by, note))
     reason = None
     for key, name in SKIP_REASONS.items():
         reason = (F if reason is None else reason).when(F.col("reason") == key, F.lit(name))
-    skipped = rejects.select("fact_id", "seq", reason.alias("reason"))
-    applied = (
-        decisions.join(rejects.select("fact_id", "seq"), ["fact_id", "seq"], "left_anti")
-        .join(facts.select("fact_id", "field_code"), "fact_id")
-        .select("fact_id", "field_code", "decision", "seq")
+    return checked.select(
+        "fact_id", F.col("__code").alias("field_code"), "seq",
+        F.when(F.col("reason").isNull(), F.col("decision")).alias("decision"), reason.alias("reason"),
     )
+
+
+def bulk_feedback(
+    facts: DataFrame, corrections: DataFrame, decided_by: str, note: Column
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(facts after review, applied, skipped) for a list of proposed corrections.
+
+    ``corrections(fact_id, decision, value_json, decided_at, seq)``.
+    """
+    reviewed, _ = apply_decisions(facts, _proposed(corrections, decided_by, note))
+    outcomes = feedback_outcomes(facts, corrections, decided_by, note)
+    applied = outcomes.filter(F.col("reason").isNull()).select("fact_id", "field_code", "decision", "seq")
+    skipped = outcomes.filter(F.col("reason").isNotNull()).select("fact_id", "seq", "reason")
     return reviewed, applied, skipped

@@ -166,14 +166,28 @@ def raw_facts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def normalized_facts(spark: SparkSession, folder: str) -> DataFrame:
-    raw = compute_once(
+def parsed_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw facts with their type and raw value."""
+    return compute_once(
         raw_facts(spark, folder).withColumn("field_type", field_attribute(F.col("field_code"), "field_type")),
         value=parse_value(F.col("field_type"), F.col("value_json")),
     )
+
+
+def fact_id() -> Column:
+    return F.concat(F.lit("FAC-"), F.col("policy_id"), F.lit("-"), F.col("field_code"))
+
+
+def review_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """What a decision needs of a fact: id, field and raw value; no rule or normalised value takes part."""
+    return parsed_facts(spark, folder).select(fact_id().alias("fact_id"), "field_code", "value")
+
+
+def normalized_facts(spark: SparkSession, folder: str) -> DataFrame:
+    raw = parsed_facts(spark, folder)
     found = F.col("status") == "FOUND"
     normalized = normalize_once(raw, "normalized_value", F.col("field_type"), F.col("value"), found)
-    return compute_once(normalized, fact_id=F.concat(F.lit("FAC-"), F.col("policy_id"), F.lit("-"), F.col("field_code")))
+    return compute_once(normalized, fact_id=fact_id())
 
 
 def checked_facts(spark: SparkSession, folder: str) -> DataFrame:
